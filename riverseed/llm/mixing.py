@@ -78,7 +78,8 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         x, b, m = out[todo], bits[todo], mask[todo]
         low, high = x & m, x >> b
         for r in range(4):
-            f = (low + key[todo].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9)
+            turn = np.uint64((r + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+            f = (low + key[todo].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + turn) * np.uint64(0xBF58476D1CE4E5B9)
             f = (f ^ (f >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
             low, high = high ^ ((f >> np.uint64(33)) & m), low
         out[todo] = (high << b) | low
