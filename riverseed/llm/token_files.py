@@ -34,13 +34,17 @@ from .common import file_system, normal_uri, partitions, put_file, slices
 
 #: Sequences in a record batch.
 BATCH = 64
-#: Words whose ids a task remembers.
-MEMORY = 400_000
+#: Words whose ids a worker remembers.
+MEMORY = 1_000_000
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that never joins characters across a space
-    or line feed; the ids of a word are computed once and then looked up."""
+    or line feed; the ids of a word are computed once and then looked up.
+
+    New words are encoded together, with a mark between them that is a token of its
+    own; words that hold the mark are encoded one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
@@ -48,8 +52,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        ids = {c: self._ids(c) for c in "§¶†‡€¤"}
+        self.mark = next((c for c, x in ids.items() if len(x) == 1 and self._ids(f"a {c} b").tolist().count(x[0]) == 1), None)
+        self.mark_id = ids[self.mark][0] if self.mark else None
         self._forget()
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def _forget(self) -> None:
         fresh: list[str] = []
 
@@ -63,13 +73,24 @@ class WordEncoder:
         self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self) -> None:
-        if self.fresh:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.fresh, add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.r_[self.start, len(self.flat) + np.cumsum(length) - length]
-            self.length = np.r_[self.length, length]
-            self.flat = np.r_[self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))]
-            self.fresh.clear()
+        if not self.fresh:
+            return
+        parts, length = [], np.zeros(len(self.fresh), np.int64)
+        alone = [i for i, w in enumerate(self.fresh) if self.mark is None or self.mark in w]
+        cuts = [-1, *alone, len(self.fresh)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo + 1:
+                ids = self._ids(f" {self.mark} ".join(self.fresh[lo + 1 : hi]))
+                at = np.flatnonzero(ids == self.mark_id)
+                length[lo + 1 : hi] = np.diff(np.r_[-1, at, len(ids)]) - 1
+                parts.append(ids[ids != self.mark_id])
+            if hi < len(self.fresh):
+                parts.append(self._ids(self.fresh[hi]))
+                length[hi] = len(parts[-1])
+        self.start = np.r_[self.start, len(self.flat) + np.cumsum(length) - length]
+        self.length = np.r_[self.length, length]
+        self.flat = np.concatenate([self.flat, *parts])
+        self.fresh.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -85,6 +106,16 @@ class WordEncoder:
         return ids, np.add.reduceat(length, np.cumsum(n_words) - n_words) if len(split) else np.empty(0, np.int64)
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """The encoder of this worker process, which outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _schema(seq_len: int, dtype) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
@@ -98,7 +129,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, seq_len: int =
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         dtype = np.uint16 if encoder.size <= 1 << 16 else np.uint32
         shard = TaskContext.get().partitionId()
         schema, step = _schema(seq_len, dtype), seq_len * BATCH
