@@ -9,13 +9,22 @@ distance 63) a pair of Jaccard similarity exactly 0.8 is beyond the distance
 with probability about 3e-6, a more similar one with less. Candidates are then
 confirmed on the full sets.
 
-Equal sets are one node from the start. Candidates come in two steps, so that a
-group of copies isn't expanded into all pairs: first each node is compared with
-the smallest node of the key that it shares most often; confirmed links make
-first components. Then, in keys that hold more than one of these, each node
-outside the key's largest component is compared with the nodes of the others.
-Pairs within a component need no comparison, so no link between components is
-lost.
+Equal sets are one node from the start. A large group of near copies isn't
+expanded into pairs:
+
+1. Nodes are ranked by the sizes of their keys, and in each key the first leads. Of
+   its keys' leaders a node takes the first as its head, if a fifth of their
+   signatures agrees, and both full sets are compared: a link or not, and the
+   node's edits, the shingles that only one of the two has.
+2. Of two nodes of one head the similarity follows from sizes and the number of
+   edits that they share; if one isn't linked to the head, a link needs some.
+   How many bounds a prefix of each node's edits, rarest first, and only nodes
+   that share an edit of that prefix are compared, exactly.
+3. Nodes of different heads are compared when they share a key and no component:
+   in each key, the nodes outside the most frequent family with all others.
+
+So every pair below the signature distance is linked, rejected by its full sets,
+or within one component already.
 
 Edge cases: null or empty text, or text without words, is an empty set and
 linked with nothing; with fewer words than a shingle the whole sequence is one
@@ -128,63 +137,107 @@ def _keyed(nodes: DataFrame, chunks: int) -> DataFrame:
     return nodes.select("node", "n_shingles", "sig").mapInArrow(run, "key long, node long, n int")
 
 
-def _shared(keyed: DataFrame, n_parts: int) -> DataFrame:
-    """``(key, node, n, rep, rep_n)`` for keys of two nodes or more; rep is the
-    key's smallest node. One shuffle; runs of a key are followed across batches
-    and never held."""
+_RUN = "key long, node long, n int, pop long, rep long, rep_n int, rep_pop long, place long"
+
+
+def _shared(keyed: DataFrame, n_parts: int, order: list) -> DataFrame:
+    """The rows ``(key, node, n, pop)`` of keys of two nodes or more, with the key's
+    first row in ``order`` as ``rep`` and the row's place among them. One shuffle;
+    runs of a key are followed across batches and never held."""
+    names = [x.split(" ")[0] for x in _RUN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, rep, rep_n, whether the run's first row is out
+        last = None  # the last run's key, its first node, n and pop, whether that row is out, and its length
         for b in batches:
             if not b.num_rows:
                 continue
-            key, node, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n"))
+            key, *rest = (b.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
             first = np.r_[True, key[1:] != key[:-1]]
             carried = last is not None and key[0] == last[0]
             starts = np.flatnonzero(first)
             run_of = np.cumsum(first) - 1
-            rep, rep_n = node[starts], n[starts]
+            reps = [x[starts] for x in rest]
             size = np.diff(np.r_[starts, len(key)])
+            place = np.arange(len(key)) - starts[run_of]
             if carried:
-                rep, rep_n = rep.copy(), rep_n.copy()
-                rep[0], rep_n[0], size[0] = last[1], last[2], 2
+                place[: size[0]] += last[3]
+                size[0] += last[3]
+                for r, v in zip(reps, last[1], strict=True):
+                    r[0] = v
             keep = size[run_of] > 1
-            cols = [key[keep], node[keep], n[keep], rep[run_of][keep], rep_n[run_of][keep]]
-            if carried and not last[3]:
-                cols = [np.r_[np.array([v], c.dtype), c] for v, c in zip((last[0], last[1], last[2], last[1], last[2]), cols, strict=True)]
-            last = (key[-1], rep[-1], rep_n[-1], bool(size[-1] > 1))
-            yield pa.record_batch([pa.array(c) for c in cols], names=["key", "node", "n", "rep", "rep_n"])
+            cols = [key[keep], *[x[keep] for x in rest], *[r[run_of][keep] for r in reps], place[keep]]
+            if carried and not last[2]:
+                cols = [np.r_[np.array([v], c.dtype), c] for v, c in zip((last[0], *last[1], *last[1], 0), cols, strict=True)]
+            last = (key[-1], [r[-1] for r in reps], bool(size[-1] > 1), int(size[-1]))
+            yield pa.record_batch([pa.array(c) for c in cols], names=names)
 
-    return keyed.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, n int, rep long, rep_n int")
+    return keyed.select("key", "node", "n", "pop").repartition(n_parts, "key").sortWithinPartitions("key", *order).mapInArrow(run, _RUN)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, distance: int) -> DataFrame:
-    """Of ``(a, b)`` pairs of nodes those with signatures within the distance and
-    ``100 * intersection >= percent * union`` on the full sets."""
+def _close(pairs: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
+    """Of pairs ``(a, b, w)`` of nodes those with signatures within the distance."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield b.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= distance))
+                yield b.select(["a", "b", "w"]).filter(pa.array((x != y).sum(1) <= distance))
+
+    sigs = nodes.select("node", "sig")
+    both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
+    return both.select("a", "b", "w", "sig_a", "sig_b").mapInArrow(near, "a long, b long, w int")
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes compared on their full sets: set sizes, ``both`` in
+    common, ``linked``, and the ``edits``, hashes that only one has."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text_b"):
                 xs, ys = (shingle_sets(utf8(b.column(c)), size) for c in ("text_a", "text_b"))
-                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(xs, ys, strict=True)]
-                ok = [100 * i >= percent * (len(x) + len(y) - i) for i, x, y in zip(both, xs, ys, strict=True)]
-                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sigs = nodes.select("node", "sig")
-    close = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
-    close = stash(close, "close")
-    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+                edits = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(xs, ys, strict=True)]
+                n_a, n_b, n_e = (np.fromiter(map(len, v), np.int64, b.num_rows) for v in (xs, ys, edits))
+                both = (n_a + n_b - n_e) // 2
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_e)].astype(np.int32)), pa.array(np.concatenate(edits)))
+                cols = [b.column("a"), b.column("b"), pa.array(n_a), pa.array(n_b), pa.array(both), pa.array(100 * both >= percent * (n_a + n_b - both)), lists]
+                yield pa.record_batch(cols, names=["a", "b", "n_a", "n_b", "both", "linked", "edits"])
+
+    pairs = pairs.select("a", "b")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stash(nodes.join(ends, "node").select("node", F.coalesce("doc_id", F.lit(-1)).alias("doc_key"), "text_key"), "ends")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_key"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     texts = stash(rows.join(bounded(wanted, BROADCAST_ROWS), ["doc_key", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    full = close.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return stash(full.mapInArrow(alike, "a long, b long"), "links")
+    full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    return full.mapInArrow(alike, "a long, b long, n_a long, n_b long, both long, linked boolean, edits array<long>")
+
+
+def _within_families(family: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes of one head of which one isn't linked to it.
+
+    With head size m, removed r and added d shingles of each node, two nodes have
+    ``m - r1 - r2 + s`` shingles in common, s being the edits that they share. For
+    a node not linked to the head, any partner y needs more than
+    ``c * (n_y - m) + r_y`` shared edits, where ``c = percent / (100 + percent)``.
+    """
+    c = percent / (100 + percent)
+    stray = family.where("NOT linked")
+    rows = stash(family.join(stray.select("a").distinct(), "a", "left_semi").selectExpr("a AS head", "b AS node", "n_a AS m", "n_b AS n", "n_a - both AS r", "linked", "edits"), "family")
+    flat = rows.select("head", "node", "linked", F.explode("edits").alias("edit"), F.expr(f"size(edits) - cast(floor({c!r}D * (n - m) + r + 1e-9D) AS int)").alias("prefix"))
+    counts = flat.groupBy("head", "edit").agg(F.count("*").alias("freq"), F.count_if(~F.col("linked")).alias("strays")).where("freq > 1 AND strays > 0")
+    # an edit that no other node has, or no stray node, matches nothing; it stays in the order as the rarest
+    seen = flat.join(counts, ["head", "edit"], "left").groupBy("head", "node", "linked", "prefix").agg(
+        F.count_if(F.col("freq").isNull()).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("freq").isNotNull(), F.struct("freq", "edit")))).alias("e")
+    )
+    seen = stash(seen, "edits")
+    left = seen.where("NOT linked").select("head", F.col("node").alias("x"), F.explode("e.edit").alias("edit"))
+    kept = F.slice("e", F.lit(1), F.greatest(F.least(F.col("prefix").cast("long") - F.col("alone"), F.size("e").cast("long")), F.lit(0).cast("long")).cast("int"))
+    right = seen.withColumn("e", kept).select("head", F.col("node").alias("y"), F.explode("e.edit").alias("edit"))
+    pairs = left.join(right, ["head", "edit"]).where("x != y").select("head", "x", "y").distinct()
+    side = lambda p: rows.select("head", F.col("node").alias(p), "m", *[F.col(k).alias(f"{k}_{p}") for k in ("n", "r", "edits")])
+    both = pairs.join(side("x"), ["head", "x"]).join(side("y").drop("m"), ["head", "y"])
+    common = F.col("m") - F.col("r_x") - F.col("r_y") + F.size(F.array_intersect("edits_x", "edits_y"))
+    return both.withColumn("i", common).where(f"100 * i >= {int(percent)} * (n_x + n_y - i)").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = 32) -> DataFrame:
@@ -195,41 +248,47 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     says that the row has it. ``text_key`` (xxhash64 of the text) tells rows of
     one ``doc_id`` apart.
     """
-    spark = docs.sparkSession
+    parts = max(partitions(docs.sparkSession), 1)
     signed = stash(_signed(docs, shingle_words, chunks), "signed")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     classes = signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(first).alias("x"), F.first("sig").alias("sig"))
     nodes = stash(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n_shingles", "sig", "x.doc_id", "x.text_key"), "nodes")
-    shared = stash(_shared(_keyed(nodes, chunks), max(partitions(spark), 1)), "shared")
-    ratio = "100L * least(n_a, n_b) >= {p}L * greatest(n_a, n_b)".format(p=percent)
-
-    # first step: the smallest node of the keys shared most often
-    most = shared.where("node != rep").selectExpr("node", "rep", "n AS n_a", "rep_n AS n_b").where(ratio).groupBy("node", "rep").count()
-    best = most.groupBy("node").agg(F.max_by("rep", F.struct("count", -F.col("rep"))).alias("rep"))
-    links = _confirmed(best.selectExpr("rep AS a", "node AS b"), nodes, docs, shingle_words, percent, 2 * chunks - 1)
-    first_roots = forest_roots(links.selectExpr("b AS node", "a AS parent"), "roots")
-
-    # second step: between components
-    labelled = shared.join(first_roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
-    labelled = stash(labelled, "labelled")
-    per = labelled.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = labelled.join(per.select("key", "main"), "key")
-    mixed = stash(mixed, "mixed")
-    out = mixed.where("comp != main").selectExpr("key", "node AS a", "n AS n_a", "comp AS comp_a")
-    cross = out.join(mixed.selectExpr("key", "node AS b", "n AS n_b", "comp AS comp_b"), "key").where(f"comp_a != comp_b AND {ratio}")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirmed(cross, nodes, docs, shingle_words, percent, 2 * chunks - 1)
-    over = more
+    ratio = f"100L * least(n_a, n_b) >= {int(percent)}L * greatest(n_a, n_b)"
+
+    # keys that nodes share. In a random order of each key's nodes the places of a node
+    # add up to half the sizes of its keys: that ranks the nodes, and the first leads
+    keyed = _keyed(nodes, chunks).withColumn("pop", F.lit(0).cast("long"))
+    shared = stash(_shared(keyed, parts, [F.xxhash64("node", "key"), "node"]).select("key", "node", "n", "place"), "shared")
+    pop = shared.groupBy("node").agg(F.sum(F.col("place") + 1).alias("pop"))
+    shared = stash(_shared(shared.join(pop, "node"), parts, [F.desc("pop"), "node"]), "led")
+
+    # heads, and the links to them
+    heads = shared.where("node != rep").groupBy("node").agg(F.max_by("rep", F.struct("rep_pop", -F.col("rep"))).alias("a")).select("a", F.col("node").alias("b"), F.lit(0).alias("w"))
+    heads = _close(heads, nodes, WIDTH * chunks * 4 // 5)
+    family = stash(_compared(stash(heads, "heads"), nodes, docs, shingle_words, percent), "compared")
+    roots = forest_roots(family.where("linked").selectExpr("b AS node", "a AS parent"), "roots")
+    inside = stash(_within_families(family, percent), "inside")
+
+    # pairs of different heads and components that share a key
+    fam = family.select(F.col("b").alias("node"), F.col("a").alias("head"))
+    labelled = shared.select("key", "node", "n").join(roots, "node", "left").join(fam, "node", "left")
+    labelled = stash(labelled.select("key", "node", "n", F.coalesce("root", "node").alias("comp"), F.coalesce("head", "node").alias("head")), "labelled")
+    per = labelled.groupBy("key", "head").count().groupBy("key").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("main"), F.count("*").alias("heads")).where("heads > 1")
+    mixed = stash(labelled.join(per.select("key", "main"), "key"), "mixed")
+    out = mixed.where("head != main").selectExpr("key", "node AS a", "n AS n_a", "comp AS comp_a", "head AS head_a")
+    cross = out.join(mixed.selectExpr("key", "node AS b", "n AS n_b", "comp AS comp_b", "head AS head_b"), "key").where(f"comp_a != comp_b AND head_a != head_b AND {ratio}")
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("w")).distinct()
+    close = stash(_close(cross, nodes, 2 * chunks - 1), "close")
+    over = stash(_compared(close, nodes, docs, shingle_words, percent).where("linked").select("a", "b").unionByName(inside), "links")
     for side in ("a", "b"):
-        up = first_roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        up = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         over = over.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     final = components(over.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "final").toDF("comp", "top")
 
-    comp = nodes.join(first_roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(final, "comp", "left").select("node", "f1", "f2", "n_shingles", "doc_id", F.coalesce("top", "comp").alias("comp"))
+    comp = nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(final, "comp", "left").select("f1", "f2", "n_shingles", "doc_id", F.coalesce("top", "comp").alias("comp"))
     comp = stash(comp, "comp")
     ids = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_set = stash(comp.join(ids, "comp").select("f1", "f2", F.col("n_shingles").alias("m"), "component_id"), "by_set").withColumn("found", F.lit(True))
-    # `m` is a join key under its own name, so that no clash with the rows' columns is left
     joined = signed.join(by_set, [signed.f1 == by_set.f1, signed.f2 == by_set.f2, signed.n_shingles == by_set.m], "left")
     cid = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "text_key", "n_shingles", cid.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
