@@ -1,9 +1,193 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the given tables, and their DuckDB SQL.
+
+Samples are the values of ``events`` by user and time; bases are the letters of
+``documents`` and ``benchmark`` texts.
+"""
+
+from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.signal_math import hash64, quantize
+from ..operators import mapping, signal, sketch
 
 FLAGSHIP = "map_passages"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+MAX_OCC = 50
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("read_id"), (F.row_number().over(w) - 1).alias("pos"), F.col("value").alias("pa"))
+
+
+_S = "s AS (SELECT user_id::BIGINT AS read_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS pos, value AS pa FROM events)"
+
+
+@_query(f"WITH {_S} SELECT read_id, pos, (pa + 10.0::DOUBLE) * 0.5::DOUBLE AS pa FROM s WHERE (pa + 10.0::DOUBLE) * 0.5::DOUBLE > 30 AND (pa + 10.0::DOUBLE) * 0.5::DOUBLE < 200")
+def q01_calibrate_filter(spark, sf_dir):
+    return signal.calibrate(_samples(spark, sf_dir), 10.0, 0.5)
+
+
+@_query("SELECT user_id::BIGINT AS read_id, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY user_id")
+def q02_read_stats(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("long").alias("read_id")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+
+
+@_query(f"WITH {_S}, m AS (SELECT read_id, avg(pa) AS a, stddev_pop(pa) AS d FROM s GROUP BY read_id) SELECT read_id, pos, round((pa - a) / d, 6) + 0.0::DOUBLE AS z FROM s JOIN m USING (read_id) WHERE d > 0 AND abs((pa - a) / d) < 3")
+def q03_zscore_clip(spark, sf_dir):
+    return signal.z_scores(_samples(spark, sf_dir)).withColumn("z", F.round("z", 6) + F.lit(0.0))
+
+
+@_query(
+    f"WITH {_S}, c AS (SELECT *, pos // 16 AS chunk_no FROM s), g AS (SELECT read_id, chunk_no, sum(count(*)) OVER w AS n, sum(sum(pa)) OVER w AS s1, sum(sum(pa * pa)) OVER w AS s2 FROM c GROUP BY read_id, chunk_no WINDOW w AS (PARTITION BY read_id ORDER BY chunk_no)) "
+    "SELECT read_id, chunk_no::BIGINT AS chunk_no, pos, round((pa - s1 / n) / sqrt(s2 / n - (s1 / n) * (s1 / n)), 5) + 0.0::DOUBLE AS z FROM c JOIN g USING (read_id, chunk_no) WHERE s2 / n - (s1 / n) * (s1 / n) > 1e-9"
+)
+def q04_running_zscore(spark, sf_dir):
+    return signal.running_z_scores(_samples(spark, sf_dir), 16).withColumn("z", F.round("z", 5) + F.lit(0.0))
+
+
+@_query(f"WITH {_S} SELECT read_id, pos, round(sum(pa) OVER w, 4) AS s1, round(sum(pa * pa) OVER w, 4) AS s2 FROM s WINDOW w AS (PARTITION BY read_id ORDER BY pos)")
+def q05_prefix_sums(spark, sf_dir):
+    w = Window.partitionBy("read_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return _samples(spark, sf_dir).select("read_id", "pos", F.round(F.sum("pa").over(w), 4).alias("s1"), F.round(F.sum(F.col("pa") * F.col("pa")).over(w), 4).alias("s2"))
+
+
+def _t_sql(w: int) -> str:
+    frames = f"l AS (PARTITION BY read_id ORDER BY pos ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), r AS (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)"
+    cols = ", ".join(f"count(pa) OVER {x} AS c{x}, avg(pa) OVER {x} AS m{x}, avg(pa * pa) OVER {x} AS q{x}" for x in "lr")
+    return f"WITH {_S}, t AS (SELECT read_id, pos, {cols} FROM s WINDOW {frames}) SELECT read_id, pos, round(abs(mr - ml) / sqrt(greatest((ql - ml * ml + qr - mr * mr) / {w}, 1.1754943508222875e-38)), 4) AS t FROM t WHERE cl = {w} AND cr = {w}"
+
+
+@_query(_t_sql(3))
+def q06_tstat_short(spark, sf_dir):
+    return signal.t_statistic(_samples(spark, sf_dir), 3).withColumn("t", F.round("t", 4))
+
+
+@_query(_t_sql(9))
+def q07_tstat_long(spark, sf_dir):
+    return signal.t_statistic(_samples(spark, sf_dir), 9).withColumn("t", F.round("t", 4))
+
+
+@_query()
+def q08_peaks_and_events(spark, sf_dir):
+    return signal.events(_samples(spark, sf_dir), thresholds=(1.5, 1.5)).withColumn("ev", F.round("ev", 6))
+
+
+def _quantize_sql(z: str, fr: float) -> str:
+    c1 = (1 - fr) / 2
+    return f"(trunc((CASE WHEN {z} BETWEEN -2 AND 2 THEN {fr}::DOUBLE * ((({z} + 3) / 6 - {1 / 6!r}) / {5 / 6 - 1 / 6!r}) WHEN ({z} + 3) / 6 < 0.5 THEN {fr}::DOUBLE + {c1!r}::DOUBLE * (({z} + 3) / 6) ELSE {fr + c1!r}::DOUBLE + {c1!r}::DOUBLE * (({z} + 3) / 6) END) * 15)::INT & 15)"
+
+
+_Z = f"WITH {_S}, m AS (SELECT read_id, avg(pa) AS a, stddev_pop(pa) AS d FROM s GROUP BY read_id), z AS (SELECT read_id, pos, round((pa - a) / d, 6)::DOUBLE AS z FROM s JOIN m USING (read_id) WHERE d > 0 AND abs((pa - a) / d) < 3)"
+
+
+def _quantized(spark, sf_dir, fr):
+    return q03_zscore_clip(spark, sf_dir).select("read_id", "pos", quantize(F.col("z"), fr).alias("bucket"))
+
+
+@_query(f"{_Z} SELECT read_id, pos, {_quantize_sql('z', 0.4)} AS bucket FROM z")
+def q14_quantize(spark, sf_dir):
+    return _quantized(spark, sf_dir, 0.4)
+
+
+@_query(f"{_Z} SELECT read_id, pos, {_quantize_sql('z', 0.6)} AS bucket FROM z")
+def q15_quantize_fast(spark, sf_dir):
+    return _quantized(spark, sf_dir, 0.6)
+
+
+def _hash_ctes(source: str, key: str, keep: str, name: str) -> str:
+    """The hash, one step in each select; the last is ``<name>7`` with column k."""
+    m, out, at = 4294967295, [], source
+    steps = [f"{key} & {m}", f"(({m} - k) + (k << 21)) & {m}", "xor(k, k >> 24)", f"(k + (k << 3) + (k << 8)) & {m}", "xor(k, k >> 14)", f"(k + (k << 2) + (k << 4)) & {m}", "xor(k, k >> 28)", f"(k + ((k & 1) << 31)) & {m}"]
+    for i, step in enumerate(steps):
+        out.append(f"{name}{i} AS (SELECT {keep}, {step} AS k FROM {at})")
+        at = f"{name}{i}"
+    return ", ".join(out)
+
+
+@_query(f"WITH o AS (SELECT l_orderkey::BIGINT AS key FROM lineitem GROUP BY 1), {_hash_ctes('o', 'key', 'key', 'h')} SELECT key, k AS hash FROM h7")
+def q18_hash64(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("key")).distinct().withColumn("hash", hash64(F.col("key")))
+
+
+_PORE = f"codes AS (SELECT range::BIGINT AS code FROM range(4096)), {_hash_ctes('codes', 'code', 'code', 'p')}, lv AS (SELECT code, (k % 10000) / 100.0::DOUBLE AS level FROM p7), st AS (SELECT avg(level) AS a, stddev_pop(level) AS d FROM lv), pore AS (SELECT code, (level - a) / d AS z FROM lv, st), pq AS (SELECT code, {_quantize_sql('z', 0.4)} AS b FROM pore)"
+
+
+def _seed_ctes(table: str, key: str, n: str) -> str:
+    base = f"{n}t AS (SELECT {key}::BIGINT AS id, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM {table}), {n}l AS (SELECT id, p, (ascii(s[p]) - 97) % 4 AS c FROM (SELECT id, s, unnest(range(1, length(s) + 1)) AS p FROM {n}t))"
+    code = " + ".join(f"lead(c, {i}) OVER w * {4 ** (5 - i)}" for i in range(6))
+    gram = " + ".join(f"(lead(b, {i}) OVER w)::BIGINT * {16 ** (7 - i)}" for i in range(8))
+    return f"{base}, {n}k AS (SELECT id, p, {code} AS code FROM {n}l WINDOW w AS (PARTITION BY id ORDER BY p)), {n}q AS (SELECT id, p, b FROM {n}k JOIN pq USING (code)), {n}g AS (SELECT id, p, {gram} AS gram FROM {n}q WINDOW w AS (PARTITION BY id ORDER BY p)), {n}f AS (SELECT id, (p - 1)::INT AS pos, gram FROM {n}g WHERE gram IS NOT NULL), {_hash_ctes(n + 'f', 'gram', 'id, pos', n + 'h')}, {n} AS (SELECT id, pos, k AS hash FROM {n}h7)"
+
+
+_Q = _seed_ctes("benchmark", "item_id", "qs")
+_T = _seed_ctes("documents", "doc_id", "ts")
+
+
+@_query(f"WITH {_PORE}, {_Q} SELECT id, pos, hash FROM qs")
+def q19_sketch_regular(spark, sf_dir):
+    return sketch.seeds(_table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@_query(f"WITH {_PORE}, {_T}, o AS (SELECT hash, count(*) AS n_occ FROM ts GROUP BY hash) SELECT n_occ::BIGINT AS n_occ, count(*)::BIGINT AS n_hashes FROM o GROUP BY n_occ")
+def q23_occ_histogram(spark, sf_dir):
+    return mapping.occurrences(sketch.seeds(_table(spark, sf_dir, "documents"), "doc_id")).groupBy("n_occ").agg(F.count("*").alias("n_hashes"))
+
+
+_ANCHORS = f"o AS (SELECT hash FROM ts GROUP BY hash HAVING count(*) <= {MAX_OCC}), an AS (SELECT qs.id AS qid, qs.pos AS q_pos, ts.id AS tid, ts.pos AS t_pos FROM qs JOIN o USING (hash) JOIN ts USING (hash))"
+
+
+def _anchors(spark, sf_dir):
+    return mapping.seed_matches(sketch.seeds(_table(spark, sf_dir, "benchmark"), "item_id"), sketch.seeds(_table(spark, sf_dir, "documents"), "doc_id"), MAX_OCC)
+
+
+@_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS} SELECT qid, q_pos, tid, t_pos FROM an")
+def q26_seed_join(spark, sf_dir):
+    return _anchors(spark, sf_dir).select("qid", "q_pos", "tid", "t_pos")
+
+
+_BINS = "bins AS (SELECT qid, tid, floor((t_pos - q_pos) / 25.0)::BIGINT AS bin, count(*)::BIGINT AS cnt, min(t_pos) AS t_start, max(t_pos) AS t_end FROM an GROUP BY ALL)"
+
+
+@_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_BINS} SELECT qid, tid, bin, cnt, t_start, t_end FROM bins WHERE cnt >= 15 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cnt DESC, tid, bin) = 1")
+def map_passages(spark, sf_dir):
+    return mapping.best_placement(mapping.diagonal_bins(_anchors(spark, sf_dir)))
+
+
+@_query("SELECT label, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'tp' WHEN quality = 0 AND toxic = 0 THEN 'fp' WHEN quality = 1 THEN 'fn' ELSE 'tn' END AS label FROM labels) GROUP BY label")
+def q46_confusion(spark, sf_dir):
+    label = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "tp").when((F.col("quality") == 0) & (F.col("toxic") == 0), "fp").when(F.col("quality") == 1, "fn").otherwise("tn")
+    counts = _table(spark, sf_dir, "labels").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@_query("SELECT l_returnflag AS tool, round(avg(1000 * l_extendedprice / l_quantity), 3) AS mean_rate, round(median(1000 * l_extendedprice / l_quantity), 3) AS median_rate FROM lineitem WHERE l_quantity > 0 GROUP BY l_returnflag")
+def q48_throughput(spark, sf_dir):
+    rate = 1000 * F.col("l_extendedprice") / F.col("l_quantity")
+    return _table(spark, sf_dir, "lineitem").where("l_quantity > 0").groupBy(F.col("l_returnflag").alias("tool")).agg(F.round(F.avg(rate), 3).alias("mean_rate"), F.round(F.median(rate), 3).alias("median_rate"))
+
+
+@_query("SELECT source AS target, count(*)::BIGINT AS reads, round(count(*) / sum(count(*)) OVER (), 6) AS read_share, round(sum(n_chars) / sum(sum(n_chars)) OVER (), 6) AS base_share FROM documents GROUP BY source")
+def q51_relative_abundance(spark, sf_dir):
+    g = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("target")).agg(F.count("*").alias("reads"), F.sum("n_chars").alias("b"))
+    w = Window.partitionBy()
+    return g.select("target", "reads", F.round(F.col("reads") / F.sum("reads").over(w), 6).alias("read_share"), F.round(F.col("b") / F.sum("b").over(w), 6).alias("base_share"))
