@@ -223,17 +223,20 @@ def _within_families(family: DataFrame, percent: int) -> DataFrame:
     c = percent / (100 + percent)
     stray = family.where("NOT linked")
     rows = stash(family.join(stray.select("a").distinct(), "a", "left_semi").selectExpr("a AS head", "b AS node", "n_a AS m", "n_b AS n", "n_a - both AS r", "linked", "edits"), "family")
-    flat = rows.select("head", "node", "linked", F.explode("edits").alias("edit"), F.expr(f"size(edits) - cast(floor({c!r}D * (n - m) + r + 1e-9D) AS int)").alias("prefix"))
+    flat = rows.select("head", "node", "linked", "m", "n", "r", F.explode("edits").alias("edit"), F.expr(f"size(edits) - cast(floor({c!r}D * (n - m) + r + 1e-9D) AS int)").alias("prefix"))
     counts = flat.groupBy("head", "edit").agg(F.count("*").alias("freq"), F.count_if(~F.col("linked")).alias("strays")).where("freq > 1 AND strays > 0")
     # an edit that no other node has, or no stray node, matches nothing; it stays in the order as the rarest
-    seen = flat.join(counts, ["head", "edit"], "left").groupBy("head", "node", "linked", "prefix").agg(
+    seen = flat.join(counts, ["head", "edit"], "left").groupBy("head", "node", "linked", "m", "n", "r", "prefix").agg(
         F.count_if(F.col("freq").isNull()).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("freq").isNotNull(), F.struct("freq", "edit")))).alias("e")
     )
-    seen = stash(seen, "edits")
-    left = seen.where("NOT linked").select("head", F.col("node").alias("x"), F.explode("e.edit").alias("edit"))
-    kept = F.slice("e", F.lit(1), F.greatest(F.least(F.col("prefix").cast("long") - F.col("alone"), F.size("e").cast("long")), F.lit(0).cast("long")).cast("int"))
-    right = seen.withColumn("e", kept).select("head", F.col("node").alias("y"), F.explode("e.edit").alias("edit"))
-    pairs = left.join(right, ["head", "edit"]).where("x != y").select("head", "x", "y").distinct()
+    seen = stash(seen.withColumn("k", F.size("e")), "edits")
+    left = seen.where("NOT linked").select("head", "m", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("r").alias("r_x"), F.col("k").alias("k_x"), F.posexplode("e.edit").alias("at_x", "edit"))
+    kept = F.slice("e", F.lit(1), F.greatest(F.least(F.col("prefix").cast("long") - F.col("alone"), F.col("k").cast("long")), F.lit(0).cast("long")).cast("int"))
+    right = seen.withColumn("e", kept).select("head", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("r").alias("r_y"), F.col("k").alias("k_y"), F.col("linked").alias("linked_y"), F.posexplode("e.edit").alias("at_y", "edit"))
+    # at the first edit that a pair shares, what is left of both lists must do
+    needed = f"ceil({c!r}D * (n_x + n_y) - 1e-9D) - m + r_x + r_y"
+    may = f"least(k_x - at_x, k_y - at_y) >= {needed} AND 100 * least(n_x, n_y) >= {int(percent)} * greatest(n_x, n_y) AND x != y AND (linked_y OR x < y)"
+    pairs = left.join(right, ["head", "edit"]).where(may).select("head", "x", "y").distinct()
     side = lambda p: rows.select("head", F.col("node").alias(p), "m", *[F.col(k).alias(f"{k}_{p}") for k in ("n", "r", "edits")])
     both = pairs.join(side("x"), ["head", "x"]).join(side("y").drop("m"), ["head", "y"])
     common = F.col("m") - F.col("r_x") - F.col("r_y") + F.size(F.array_intersect("edits_x", "edits_y"))
