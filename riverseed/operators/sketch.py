@@ -15,29 +15,104 @@ K, GRAM = 6, 8
 _DROP = bytes(i for i in range(256) if not (65 <= i <= 90 or 97 <= i <= 122))
 
 
+def bases(text: bytes, strand: int = 0) -> np.ndarray:
+    """Base codes of the text's letters; strand 1 is the reverse complement."""
+    base = (np.frombuffer(text.translate(None, _DROP).lower(), np.uint8).astype(np.int64) - 97) % 4
+    return 3 - base[::-1] if strand else base
+
+
+def kmer_codes(base: np.ndarray, k: int = K) -> np.ndarray:
+    n = len(base) - k + 1
+    return sum(base[i : n + i] << 2 * (k - 1 - i) for i in range(k)) if n > 0 else np.empty(0, np.int64)
+
+
+def revcomp_codes(code: np.ndarray, k: int = K) -> np.ndarray:
+    """Codes of the reverse complements of k-mers."""
+    return sum((3 - (code >> 2 * i & 3)) << 2 * (k - 1 - i) for i in range(k))
+
+
+def kept(levels: np.ndarray, diff: float) -> np.ndarray:
+    """Places of the values that differ by ``diff`` or more from the last one kept."""
+    if diff <= 0 or not len(levels):
+        return np.arange(len(levels))
+    out, last = [], np.inf
+    for i, v in enumerate(levels.tolist()):
+        if abs(v - last) >= diff:
+            out.append(i)
+            last = v
+    return np.array(out, np.int64)
+
+
+def grams(buckets: np.ndarray, e: int = GRAM, bits: int = 4) -> np.ndarray:
+    n = len(buckets) - e + 1
+    return sum(buckets[i : n + i] << bits * (e - 1 - i) for i in range(e)) if n > 0 else np.empty(0, np.int64)
+
+
+def minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Places of hashes that are the least of some ``w`` in a row, ties included; of a
+    shorter run the last of its least ones."""
+    n = len(hashes)
+    if w <= 1 or not n:
+        return np.arange(n)
+    if n < w:
+        return np.array([n - 1 - int(np.argmin(hashes[::-1]))])
+    least = np.lib.stride_tricks.sliding_window_view(hashes, w).min(axis=1)
+    pad = np.r_[np.full(w - 1, -1), least, np.full(w - 1, -1)]
+    return np.flatnonzero(np.lib.stride_tricks.sliding_window_view(pad, w).max(axis=1) == hashes)
+
+
 def seed_hashes(text: bytes, buckets: np.ndarray) -> np.ndarray:
     """Hash of the e-gram that starts at each place of the text's letters."""
-    base = (np.frombuffer(text.translate(None, _DROP).lower(), np.uint8).astype(np.int64) - 97) % 4
-    n = len(base) - K + 1
-    if n < GRAM:
-        return np.empty(0, np.int64)
-    code = sum(base[i : n + i] << 2 * (K - 1 - i) for i in range(K))
-    q = buckets[code]
-    gram = sum(q[i : n - GRAM + 1 + i] << 4 * (GRAM - 1 - i) for i in range(GRAM))
-    return hash64_np(gram)
+    return hash64_np(grams(buckets[kmer_codes(bases(text))]))
 
 
-def seeds(rows: DataFrame, key: str) -> DataFrame:
+def sketch(text: bytes, levels: np.ndarray, buckets: np.ndarray, strand: int = 0, w: int = 0, diff: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds of a text read as bases."""
+    code = kmer_codes(bases(text, strand))
+    at = kept(levels[code], diff)
+    h = hash64_np(grams(buckets[code[at]]))
+    pick = minimizers(h, w)
+    return at[: len(h)][pick], h[pick]
+
+
+def seeds(rows: DataFrame, key: str, strand: int = 0, w: int = 0, diff: float = 0.0, fine_range: float = 0.4) -> DataFrame:
     """``(id, pos, hash)`` of the whole ``text`` of each row; no shuffle."""
-    buckets = quantize_np(pore_levels(K))
+    levels = pore_levels(K)
+    buckets = quantize_np(levels, fine_range)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                found = [seed_hashes(t or b"", buckets) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                n = [len(x) for x in found]
-                ids = part.column("id").take(pa.array(np.repeat(np.arange(len(n)), n)))
-                yield pa.record_batch([ids, pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), pa.array(np.concatenate(found))], names=["id", "pos", "hash"])
+                found = [sketch(t or b"", levels, buckets, strand, w, diff) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                ids = part.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found])))
+                yield pa.record_batch([ids, *[pa.array(np.concatenate([x[i] for x in found]).astype(t)) for i, t in ((0, np.int32), (1, np.int64))]], names=["id", "pos", "hash"])
 
     return rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, pos int, hash long")
+
+
+def kmers(rows: DataFrame, key: str) -> DataFrame:
+    """``(id, pos, code, rc_code, level)`` of each k-mer of the ``text``."""
+    levels = pore_levels(K)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+                code = kmer_codes(bases(t or b""))
+                yield pa.record_batch([pa.array(np.full(len(code), i, np.int64)), pa.array(np.arange(len(code), dtype=np.int32)), pa.array(code), pa.array(revcomp_codes(code)), pa.array(levels[code])], names=["id", "pos", "code", "rc_code", "level"])
+
+    return rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, pos int, code long, rc_code long, level double")
+
+
+def collapse(rows: DataFrame, diff: float) -> DataFrame:
+    """``(read_id, pos, z)`` rows that differ by ``diff`` from the last one kept of their
+    read, numbered by ``ev``. A read's values meet in one row (its length bounds that)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                s = sorted((x["pos"], x["z"]) for x in b.column("s")[i].as_py())
+                at = kept(np.array([z for _, z in s]), diff)
+                yield pa.record_batch([pa.array([b.column("read_id")[i].as_py()] * len(at), pa.int64()), pa.array([s[j][0] for j in at], pa.int32()), pa.array([s[j][1] for j in at], pa.float64()), pa.array(range(len(at)), pa.int32())], names=["read_id", "pos", "z", "ev"])
+
+    return rows.groupBy("read_id").agg(F.collect_list(F.struct("pos", "z")).alias("s")).mapInArrow(run, "read_id long, pos int, z double, ev int")
