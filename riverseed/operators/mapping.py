@@ -27,3 +27,67 @@ def diagonal_bins(anchors: DataFrame, width: int = 25) -> DataFrame:
 def best_placement(bins: DataFrame, least: int = 15) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("cnt"), "tid", "bin")
     return bins.where(F.col("cnt") >= least).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def mid_occ(index: DataFrame, frac: float = 0.01, low: int = 50, high: int = 500_000) -> DataFrame:
+    """One row ``mid_occ``: the count at the place ``(1 - frac) * n`` of the ``n`` hashes in
+    order of their counts, plus one, within the limits. Works on the histogram of counts."""
+    h = occurrences(index).groupBy("n_occ").agg(F.count("*").alias("n"))
+    w = Window.orderBy("n_occ")
+    h = h.select("n_occ", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    at = F.floor(F.lit(1 - frac) * F.col("total"))
+    return h.where(F.col("upto") > at).agg(F.least(F.greatest(F.min("n_occ") + 1, F.lit(low)), F.lit(high)).cast("long").alias("mid_occ"))
+
+
+def match_counts(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """Anchors of each query and target without a limit, as products of counts by hash:
+    frequent hashes make no pairs of places."""
+    q = queries.groupBy("hash", F.col("id").alias("qid")).agg(F.count("*").alias("nq"))
+    t = index.groupBy("hash", F.col("id").alias("tid")).agg(F.count("*").alias("nt"))
+    return q.join(t, "hash").groupBy("qid", "tid").agg(F.sum(F.col("nq") * F.col("nt")).alias("n_anchors"))
+
+
+def frequent_in_read(queries: DataFrame, frac: float) -> DataFrame:
+    """Seeds of hashes that make at most ``frac`` of their read's seeds."""
+    n = F.count("*").over(Window.partitionBy("id"))
+    m = F.count("*").over(Window.partitionBy("id", "hash"))
+    return queries.withColumn("m", m).withColumn("n", n).where(F.col("m") <= frac * F.col("n")).drop("m", "n")
+
+
+def tandem(queries: DataFrame) -> DataFrame:
+    """``tandem``: whether the seed before or after has the same hash."""
+    w = Window.partitionBy("id").orderBy("pos")
+    same = lambda c: F.coalesce(c.over(w) == F.col("hash"), F.lit(False))
+    return queries.withColumn("tandem", same(F.lag("hash")) | same(F.lead("hash")))
+
+
+def repeat_length(queries: DataFrame, index: DataFrame, max_occ: int, span: int) -> DataFrame:
+    """``(qid, rep_len)``: length covered by the seeds dropped for their occurrences, each
+    from its place + 1 over span + 1 places. Intervals that only touch stay apart, which
+    leaves the sum as it is."""
+    often = occurrences(index).where(F.col("n_occ") > max_occ).select("hash")
+    iv = queries.join(often, "hash", "left_semi").select(F.col("id").alias("qid"), (F.col("pos") + 1).alias("st"), (F.col("pos") + 2 + span).alias("en"))
+    before = F.max("en").over(Window.partitionBy("qid").orderBy("st", "en").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.col("en") - F.greatest(F.col("st"), F.coalesce(before, F.col("st"))), F.lit(0))
+    return iv.select("qid", new.alias("x")).groupBy("qid").agg(F.sum("x").alias("rep_len"))
+
+
+def all_pairs(index: DataFrame, max_occ: int) -> DataFrame:
+    """Anchors of all against all: pairs of different owners, the lesser name (in byte
+    order) as the query, over hashes of at most ``max_occ`` places."""
+    rare = occurrences(index).where(F.col("n_occ").between(2, max_occ)).select("hash")
+    kept = index.join(rare, "hash")
+    q = kept.select("hash", F.col("id").alias("qid"), F.col("pos").alias("q_pos"))
+    t = kept.select("hash", F.col("id").alias("tid"), F.col("pos").alias("t_pos"))
+    return q.join(t, "hash").where(F.col("qid").cast("string") < F.col("tid").cast("string")).drop("hash")
+
+
+def paf(rows: DataFrame) -> DataFrame:
+    """The twelve columns and the tags as one tab-separated ``line`` for each row; where
+    ``tid`` is null the read is unmapped and its places are ``*``."""
+    star = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
+    cols = [F.col("qid").cast("string"), F.col("q_len").cast("string"), star("qs"), star("qe"), F.when(F.col("tid").isNull(), "*").when(F.col("rev") == 1, "-").otherwise("+"), star("tid"), star("t_len"), star("rs"), star("re")]
+    n_match = F.coalesce((F.col("qe") - F.col("qs") - 1).cast("string"), F.lit("*"))
+    block = F.coalesce((F.col("re") - F.col("rs")).cast("string"), F.lit("*"))
+    tags = [F.concat(F.lit("cm:i:"), F.coalesce("cnt", F.lit(0)).cast("string")), F.concat(F.lit("s1:i:"), F.coalesce("score", F.lit(0)).cast("string"))]
+    return rows.select("qid", F.concat_ws("\t", *cols, n_match, block, F.coalesce("mapq", F.lit(0)).cast("string"), *tags).alias("line"))
