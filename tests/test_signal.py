@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riverseed.functions.signal_math import hash64, hash64_np, quantize, quantize_np
 from riverseed.operators.signal import peaks, segment
 from riverseed.operators.sketch import seed_hashes
-from riverseed.plans import catalogue
+from riverseed.plans import catalogue, mappings  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 GOLDEN = {0: 4290886808, 1: 3079993582, 2: 1865025060, 255: 1746887881, 0x12345678: 391856246, 0xFFFFFFFF: 3365156203}
