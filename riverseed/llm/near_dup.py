@@ -223,12 +223,12 @@ def _within_families(family: DataFrame, percent: int) -> DataFrame:
     c = percent / (100 + percent)
     stray = family.where("NOT linked")
     rows = stash(family.join(stray.select("a").distinct(), "a", "left_semi").selectExpr("a AS head", "b AS node", "n_a AS m", "n_b AS n", "n_a - both AS r", "linked", "edits"), "family")
-    flat = rows.select("head", "node", "linked", "m", "n", "r", F.explode("edits").alias("edit"), F.expr(f"size(edits) - cast(floor({c!r}D * (n - m) + r + 1e-9D) AS int)").alias("prefix"))
-    counts = flat.groupBy("head", "edit").agg(F.count("*").alias("freq"), F.count_if(~F.col("linked")).alias("strays")).where("freq > 1 AND strays > 0")
-    # an edit that no other node has, or no stray node, matches nothing; it stays in the order as the rarest
-    seen = flat.join(counts, ["head", "edit"], "left").groupBy("head", "node", "linked", "m", "n", "r", "prefix").agg(
-        F.count_if(F.col("freq").isNull()).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("freq").isNotNull(), F.struct("freq", "edit")))).alias("e")
-    )
+    node = ["head", "node", "linked", "m", "n", "r", "prefix", "total"]
+    flat = rows.withColumn("prefix", F.expr(f"size(edits) - cast(floor({c!r}D * (n - m) + r + 1e-9D) AS int)")).withColumn("total", F.size("edits")).select(*node, F.explode("edits").alias("edit"))
+    counts = flat.groupBy("head", "edit").agg(F.count("*").alias("freq"), F.count_if(~F.col("linked")).alias("strays")).where("freq > 1 AND strays > 0").drop("strays")
+    # an edit that no other node has, or no stray node, matches nothing and isn't joined; it stays in the order as the rarest
+    seen = flat.join(counts, ["head", "edit"]).groupBy(*node).agg(F.sort_array(F.collect_list(F.struct("freq", "edit"))).alias("e"))
+    seen = seen.withColumn("alone", F.col("total") - F.size("e"))
     seen = stash(seen.withColumn("k", F.size("e")), "edits")
     left = seen.where("NOT linked").select("head", "m", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("r").alias("r_x"), F.col("k").alias("k_x"), F.posexplode("e.edit").alias("at_x", "edit"))
     kept = F.slice("e", F.lit(1), F.greatest(F.least(F.col("prefix").cast("long") - F.col("alone"), F.col("k").cast("long")), F.lit(0).cast("long")).cast("int"))
