@@ -28,16 +28,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8): that of
-    the smallest ``doc_id``; of rows that share it one."""
-    found = near_dup.near_duplicates(docs)
-    kept = found.where("kept").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    """One row of each group of near duplicates (five-word shingles, 0.8): that of the
+    smallest ``doc_id`` (null last) and then ``text_key``. Rows that share an id, or have
+    none, are as good as any others; rows without words are in no group and stay."""
+    least, repeated = near_dup.least_of_groups(docs)
+    least = least.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    one = rows.join(kept, F.expr("doc_id <=> _id AND text_key = _key"), "left_semi")
-    # rows that are equal in id and text go too
-    again = found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
-    return (one if again else one.dropDuplicates(["doc_id", "text_key"])).select(*COLUMNS)
+    one = rows.where(worded).join(least, F.expr("doc_id <=> _id AND text_key = _key"), "left_semi")
+    one = one.dropDuplicates(["doc_id", "text_key"]) if repeated else one
+    return one.unionByName(rows.where(~worded)).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

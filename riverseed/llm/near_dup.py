@@ -243,14 +243,9 @@ def _within_families(family: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("i", common).where(f"100 * i >= {int(percent)} * (n_x + n_y - i)").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = 32) -> DataFrame:
-    """Components of near duplicates: ``doc_id, text_key, n_shingles, component_id,
-    kept`` for each row of ``docs`` (``doc_id``, ``text``).
-
-    ``component_id`` is the smallest ``doc_id`` reachable over links; ``kept``
-    says that the row has it. ``text_key`` (xxhash64 of the text) tells rows of
-    one ``doc_id`` apart.
-    """
+def _grouped(docs: DataFrame, shingle_words: int, percent: int, chunks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`_signed`, and each distinct set (``f1, f2, n_shingles``) with the
+    least ``doc_id, text_key`` of its rows and its component's number ``comp``."""
     parts = max(partitions(docs.sparkSession), 1)
     signed = stash(_signed(docs, shingle_words, chunks), "signed")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
@@ -288,10 +283,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         over = over.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     final = components(over.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "final").toDF("comp", "top")
 
-    comp = nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(final, "comp", "left").select("f1", "f2", "n_shingles", "doc_id", F.coalesce("top", "comp").alias("comp"))
-    comp = stash(comp, "comp")
+    comp = nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(final, "comp", "left").select("f1", "f2", "n_shingles", "doc_id", "text_key", F.coalesce("top", "comp").alias("comp"))
+    return signed, stash(comp, "comp")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = 32) -> DataFrame:
+    """Components of near duplicates: ``doc_id, text_key, n_shingles, component_id,
+    kept`` for each row of ``docs`` (``doc_id``, ``text``).
+
+    ``component_id`` is the smallest ``doc_id`` reachable over links; ``kept``
+    says that the row has it. ``text_key`` (xxhash64 of the text) tells rows of
+    one ``doc_id`` apart.
+    """
+    signed, comp = _grouped(docs, shingle_words, percent, chunks)
     ids = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_set = stash(comp.join(ids, "comp").select("f1", "f2", F.col("n_shingles").alias("m"), "component_id"), "by_set").withColumn("found", F.lit(True))
     joined = signed.join(by_set, [signed.f1 == by_set.f1, signed.f2 == by_set.f2, signed.n_shingles == by_set.m], "left")
     cid = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "text_key", "n_shingles", cid.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def least_of_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = 32) -> tuple[DataFrame, bool]:
+    """``(doc_id, text_key)`` of the least row of each component, nulls last, and whether
+    rows of ``docs`` with words are equal in both. Components are told apart by their
+    own number, so rows that only share a ``doc_id``, or have none, stay apart; rows
+    without words are in no component."""
+    signed, comp = _grouped(docs, shingle_words, percent, chunks)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x")
+    repeated = not signed.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
+    return stash(comp.groupBy("comp").agg(least).select("x.doc_id", "x.text_key"), "least"), repeated
