@@ -13,14 +13,18 @@ dropped. What is left is the host's template; its gaps are the slots.
 Slots are then extracted: a slot is content if it lies in an ``article`` or
 ``main`` element where the page has one, and in none of the elements (or classes)
 that hold menus, headers, footers, sidebars, notices, adverts, forms or comments.
-Text nodes that belong to a template of ``MIN_PAGES`` pages or more are furniture.
+Text nodes that belong to a template of ``MIN_PAGES`` pages or more are furniture,
+but not in an ``article`` or ``main`` element, nor in a content slot: an element of the
+template that on some page has text of its own that isn't the template's (of ``html``
+and ``body`` only their own text, else all inside). A page with no other text keeps it.
 A page of a host without a template is one slot with the same rules.
 
 Text: character references are decoded, white space inside a block is one space,
 blocks are joined by a line feed. Nothing else is dropped or capped.
 
 Edge cases: null or empty html gives an empty text; unclosed elements end with
-their parents; a null URL is a host of its own; repeated rows count as pages.
+their parents; a null URL is a host of its own; pages of one host with equal html
+count once in its template.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stash
@@ -59,6 +63,8 @@ HINTS = re.compile(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Paths of elements that hold the whole page.
+WHOLE = re.compile(r"/html(?:\[[^/]*)?(?:/body(?:\[[^/]*)?)?|/body(?:\[[^/]*)?")
 #: A paragraph ends where one of these begins.
 P_ENDS = BLOCK - frozenset("option caption summary".split())
 
@@ -141,9 +147,21 @@ def main_depth(path: str) -> bool:
     return False
 
 
-def extract(page: str, furniture: frozenset[int] | set[int] = frozenset()) -> str:
+def in_slot(path: str, slots: frozenset[int]) -> bool:
+    """Whether a path is, or lies in, a content slot (hashes of paths)."""
+    if _hash(path) in slots:
+        return True
+    ends = [i for i, c in enumerate(path) if c == "/" and i]
+    return any(not WHOLE.fullmatch(path[:i]) and _hash(path[:i]) in slots for i in ends)
+
+
+def extract(page: str, furniture: frozenset[int] = frozenset(), slots: frozenset[int] = frozenset()) -> str:
     """The content slots' text of a page; ``furniture``: hashes of the roles of text
-    nodes that are part of the template."""
+    nodes that are part of the template; ``slots``: hashes of the paths of content slots."""
+    return _extract(page, furniture, slots) or (_extract(page, frozenset(), slots) if furniture else "")
+
+
+def _extract(page: str, furniture: frozenset[int], slots: frozenset[int]) -> str:
     blocks: dict[bool, list[str]] = {True: [], False: []}
     run: list[str] = []
     where = (False, False)
@@ -155,6 +173,7 @@ def extract(page: str, furniture: frozenset[int] | set[int] = frozenset()) -> st
             blocks[where[0]].append(s)
 
     kept: dict[str, tuple[bool, bool]] = {}
+    content: dict[str, bool] = {}
     for kind, name, value, path in tokens(page):
         if kind == "text":
             if path not in kept:
@@ -162,8 +181,11 @@ def extract(page: str, furniture: frozenset[int] | set[int] = frozenset()) -> st
             if kept[path] != where:
                 flush()
                 where = kept[path]
-            if furniture and where[1] and (r := role("text", "", value, path)) and _hash(r) in furniture:
-                continue
+            if furniture and where == (False, True) and (r := role("text", "", value, path)) and _hash(r) in furniture:
+                if path not in content:
+                    content[path] = in_slot(path, slots)
+                if not content[path]:
+                    continue
             run.append(value)
         elif name in BLOCK:
             flush()
@@ -173,16 +195,11 @@ def extract(page: str, furniture: frozenset[int] | set[int] = frozenset()) -> st
     return "\n".join(blocks[True] or blocks[False])
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m.group(1).lower() if m else ""
-
-
 _SUMS = "host string, role long, text boolean, pages long, total long, low long, high long, place double"
 
 
 def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the occurrence vectors of a task's pages; role 0 counts the pages."""
+    """Sums of the occurrence vectors of a task's distinct pages; role 0 counts them."""
     names = [x.split(" ")[0] for x in _SUMS.split(", ")]
     types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     sums: dict[tuple[str, int, bool], list] = {}
@@ -194,15 +211,15 @@ def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for whole in batches:
         for b in slices(whole, "html"):
-            for pid, url, page in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                host, seen = _host(url), {}
-                for i, (kind, _, value, path) in enumerate(tokens(page or "")):
+            for host, digest, page in zip(*(b.column(c).to_pylist() for c in ("host", "digest", "html")), strict=True):
+                seen = {}
+                for i, (kind, _, value, path) in enumerate(tokens(page)):
                     r = role(kind, value, value, path)
                     if r is not None:
                         x = seen.setdefault((_hash(r) or 1, kind == "text"), [0, i])
                         x[0] += 1
                 for (r, text), (n, place) in [*seen.items(), ((0, False), (1, 0))]:
-                    h = _hash(f"{pid} {url} {n}")
+                    h = _hash(f"{digest} {n}")
                     s = sums.setdefault((host, r, text), [0, 0, 0, 0, 0.0])
                     s[0] += 1
                     s[1] += n
@@ -221,14 +238,25 @@ def in_order(sequence: list[int], members: list[int]) -> bool:
     return len(sequence) % k == 0 and all(x == members[i % k] for i, x in enumerate(sequence))
 
 
-def page_faults(page: str, classes: list[list[int]]) -> set[int]:
-    """Numbers of the classes that break order or nesting on a page."""
+def page_faults(page: str, classes: list[list[int]], texts: frozenset[int] = frozenset()) -> tuple[set[int], set[int]]:
+    """Numbers of the classes that break order or nesting on a page, and its content
+    slots: hashes of the paths of elements of the classes that have text of their own
+    outside ``texts``, the classes' text nodes."""
     of = {r: c for c, members in enumerate(classes) for r in members}
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, (kind, _, value, path) in enumerate(tokens(page)):
+    known, own = {""}, set()
+    for i, (kind, name, value, path) in enumerate(tokens(page)):
         r = role(kind, value, value, path)
-        if r is not None and (c := of.get(_hash(r) or 1)) is not None:
-            places[c].append((i, _hash(r) or 1))
+        if r is None:
+            continue
+        h = _hash(r) or 1
+        if (c := of.get(h)) is not None:
+            places[c].append((i, h))
+            if kind == "open" and name in STRUCTURE:
+                known.add(f"{path}/{value}")
+        if kind == "text" and h not in texts:
+            own.add(path)
+    slots = {_hash(p) for p in own & known}
     bad = {c for c, found in places.items() if not in_order([r for _, r in found], classes[c])}
     spans = []
     for c, found in places.items():
@@ -236,20 +264,22 @@ def page_faults(page: str, classes: list[list[int]]) -> set[int]:
             spans.append((len(classes[c]), c, [i for i, _ in found]))
     spans.sort(reverse=True)
     for k, (_, big, at) in enumerate(spans):
-        for _, small, own in spans[k + 1 :]:
+        for _, small, inner in spans[k + 1 :]:
             if big not in bad and small not in bad:
-                gaps = np.searchsorted(at, own)
-                around = np.searchsorted(own, at)
+                gaps = np.searchsorted(at, inner)
+                around = np.searchsorted(inner, at)
                 if gaps.min() != gaps.max() and around.min() != around.max():
                     bad.add(small)
-    return bad
+    return bad, slots
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """``(host, pages, classes)``: valid nested classes of each host with two pages or
-    more, each ``(roles, text)`` in the order of the page."""
+    """``(host, pages, classes, slots)``: valid nested classes of each host with two
+    distinct pages or more, each ``(roles, text)`` in the order of the page, and the
+    hashes of the paths of its content slots."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    sums = src.mapInArrow(_roles, _SUMS).groupBy("host", "role", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "low", "high", "place")])
+    distinct = src.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).groupBy("host", F.md5("html").alias("digest")).agg(F.first("html").alias("html"))
+    sums = distinct.mapInArrow(_roles, _SUMS).groupBy("host", "role", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "low", "high", "place")])
     sums = stash(sums.where("pages > 1"), "roles")
     hosts = sums.where("role = 0").select("host", F.col("pages").alias("host_pages"))
     frequent = sums.where("role != 0").join(hosts, "host").where(f"pages >= {SUPPORT} * host_pages")
@@ -259,28 +289,36 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     found = stash(per_host.select("host", F.col("host_pages").alias("pages"), "classes"), "classes")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        faults: dict[tuple[str, int], int] = defaultdict(int)
+        faults, slots = set(), set()
         for whole in batches:
             for b in slices(whole, "html"):
                 for host, page, classes in zip(*(b.column(c).to_pylist() for c in ("host", "html", "classes")), strict=True):
-                    for c in page_faults(page or "", [x["roles"] for x in classes]):
-                        faults[host, c] += 1
-        if faults:
-            yield pa.record_batch([pa.array([k[0] for k in faults]), pa.array([k[1] for k in faults], pa.int64()), pa.array(list(faults.values()), pa.int64())], names=["host", "number", "pages"])
-
-    bad = _with_templates(src, found).where("classes IS NOT NULL").select("host", "html", "classes").mapInArrow(check, "host string, number long, pages long")
-    bad = bad.groupBy("host").agg(F.collect_set("number").alias("bad"))
-    valid = F.filter("classes", lambda x, i: ~F.array_contains(F.coalesce("bad", F.array().cast("array<bigint>")), i.cast("long")))
-    return stash(found.join(bad, "host", "left").select("host", "pages", valid.alias("classes")), "templates")
+                    texts = frozenset(r for x in classes for r, text in zip(x["roles"], x["text"], strict=True) if text)
+                    bad, own = page_faults(page or "", [x["roles"] for x in classes], texts)
+                    faults.update((host, c) for c in bad)
+                    slots.update((host, p) for p in own)
+        if faults or slots:
+            rows = [*((h, c, None) for h, c in faults), *((h, None, p) for h, p in slots)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "number", "slot"])
+
+    seen = _with_templates(src, found).where("classes IS NOT NULL").select("host", "html", "classes").mapInArrow(check, "host string, number long, slot long")
+    seen = seen.groupBy("host").agg(F.collect_set("number").alias("bad"), F.collect_set("slot").alias("slots"))
+    none = F.array().cast("array<bigint>")
+    valid = F.filter("classes", lambda x, i: ~F.array_contains(F.coalesce("bad", none), i.cast("long")))
+    return stash(found.join(seen, "host", "left").select("host", "pages", valid.alias("classes"), F.coalesce("slots", none).alias("slots")), "templates")
+
+
+def host_of() -> Column:
+    """The host of ``url``; empty without one."""
+    url = F.coalesce(F.col("url"), F.lit(""))
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def _with_templates(src: DataFrame, templates: DataFrame) -> DataFrame:
     """Pages with their host's classes (null: none). Templates are broadcast up to a
     size; beyond it pages are dealt by host, where large hosts can be split."""
-    url = F.coalesce(F.col("url"), F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     size = templates.agg(F.sum(F.aggregate("classes", F.lit(0), lambda a, x: a + F.size(x.roles)))).first()[0] or 0
-    return src.withColumn("host", host).join(F.broadcast(templates) if size <= BROADCAST_TOKENS else templates, "host", "left")
+    return src.withColumn("host", host_of()).join(F.broadcast(templates) if size <= BROADCAST_TOKENS else templates, "host", "left")
 
 
 def main_text(pages: DataFrame, templates: DataFrame | None = None) -> DataFrame:
@@ -289,12 +327,13 @@ def main_text(pages: DataFrame, templates: DataFrame | None = None) -> DataFrame
     templates = deduce_templates(pages) if templates is None else templates
     furniture = F.when(F.col("pages") >= MIN_PAGES, F.flatten(F.transform("classes", lambda x: F.arrays_zip(x.roles.alias("roles"), x.text.alias("text")))))
     furniture = F.transform(F.filter(furniture, lambda x: x["text"]), lambda x: x["roles"])
-    slim = templates.select("host", "classes", furniture.alias("furniture"))
+    slim = templates.select("host", "classes", furniture.alias("furniture"), "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "html"):
-                texts = [extract(page or "", frozenset(f or ())) for page, f in zip(b.column("html").to_pylist(), b.column("furniture").to_pylist(), strict=True)]
+                columns = (b.column(c).to_pylist() for c in ("html", "furniture", "slots"))
+                texts = [extract(page or "", frozenset(f or ()), frozenset(s or ())) for page, f, s in zip(*columns, strict=True)]
                 yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return _with_templates(src, slim).select("page_id", "url", "html", "furniture").mapInArrow(run, "page_id long, url string, text string")
+    return _with_templates(src, slim).select("page_id", "url", "html", "furniture", "slots").mapInArrow(run, "page_id long, url string, text string")
