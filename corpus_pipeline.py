@@ -3,7 +3,7 @@ decontamination, mixing to target weights, token files.
 
 Each stage takes ``(spark, docs, sf_dir)``: ``docs`` is what the stage before it
 returned, written and read again. All but the last return the columns of
-``documents``.
+``documents``, the mixture also where each row stands in it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from riverseed.llm.common import stash, work_dir
 from riverseed.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Where a row stands in the mixture.
+PLACE = ["shard", "slot", "place"]
 #: Words in a block of the mixture.
 BLOCK_WORDS = 512
 
@@ -49,14 +51,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture by source: a row for each document's share of each block taken."""
-    return mixing.mix_documents(docs.select(*COLUMNS), block_words=BLOCK_WORDS).select(*COLUMNS)
+    """The mixture by source: a row for each document's share of each block taken, and
+    where in the mixture it stands."""
+    return mixing.mix_documents(docs.select(*COLUMNS), block_words=BLOCK_WORDS).select(*COLUMNS, *PLACE)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture as token files, and what they hold: a row for each of its rows."""
+    """The mixture as token files, one for each of its shards and in its order, and what
+    they hold: a row for each of its rows."""
     out = work_dir(spark, "pipeline-tokens")
-    token_files.write_token_files(docs, out, tokenizer_path())
+    token_files.write_token_files(docs, out, tokenizer_path(), order=mixing.ORDER, whole=True)
     return token_files.read_documents(spark, out)
 
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ from pyspark.sql import functions as F
 from .common import partitions, slices, stash, utf8, words
 
 WEIGHTS = (1, 2, 3)
+#: Whether a byte is ASCII white space.
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The mixture's order: slots are numbered by source, so a source's slots, and in them
+#: the documents of the block, follow each other inside a shard.
+ORDER = ["shard", "slot", "source", "place"]
 
 
 def targets(sizes: dict[str | None, int], most: float = 3.0, weights: tuple[float, ...] = WEIGHTS) -> dict[str | None, float]:
@@ -168,17 +174,18 @@ def overlaps(rows: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix_taken(docs: DataFrame, block_words: int = 32, **options) -> DataFrame:
-    """What the mixture takes of each row of ``docs`` (``doc_id``, ``text``, ``source``):
-    ``doc_id, size, source, source_size, target, taken``."""
+    """What the mixture holds of each row of ``docs`` (``doc_id``, ``text``, ``source``):
+    ``doc_id, size, source, source_size, target, taken``, the words counted in the
+    mixture as it was written."""
+    docs = docs.select("doc_id", "text", "source")
     rows = stash(placed(docs), "placed")
     slots, kinds = mixture(rows, block_words, **options)
-    uses = slots.groupBy("source", "block").agg(F.count("*").alias("uses"))
-    parts = overlaps(rows, block_words).select("doc_id", "text_key", "start", "source", "block", (F.col("w1") - F.col("w0")).alias("w"))
+    mixed = stash(_pieces(docs, rows, slots, block_words), "mixture")
     null_safe = lambda df: df.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    taken = null_safe(parts).join(null_safe(uses).drop("source"), ["source_key", "block"]).groupBy("source_key", "start").agg(F.sum(F.col("w") * F.col("uses")).alias("taken"))
+    taken = null_safe(mixed).groupBy("source_key", F.col("row_start").alias("at")).agg(F.sum(F.size(words(F.col("text")))).alias("taken"))
     # a document with words is the only one of its source at its start; those without are not in `taken`
     left = null_safe(rows).withColumn("at", F.when(F.col("size") > 0, F.col("start"))).drop("start")
-    out = left.join(taken.withColumnRenamed("start", "at"), ["source_key", "at"], "left").select("doc_id", "size", "source", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = left.join(taken, ["source_key", "at"], "left").select("doc_id", "size", "source", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     kinds = kinds.withColumnRenamed("source", "s2")
     return out.join(F.broadcast(kinds), F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "size", "source", "source_size", "target", "taken")  # a row a source
 
@@ -186,38 +193,62 @@ def mix_taken(docs: DataFrame, block_words: int = 32, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
     """The mixture as documents: for each slot and each document in its block a row
     with the document's columns, ``text`` being its words there (white space
-    between them as it was) and ``n_chars`` their length, with ``shard`` and ``slot``.
-    Documents without words aren't in it."""
-    names = docs.columns
+    between them as it was) and ``n_chars`` their length, with ``shard`` and ``slot``,
+    ``place``, the words before it in its block, and ``row_start``, those of its source
+    before its document. The mixture is in the order of :data:`ORDER`. Documents
+    without words aren't in it."""
     rows = stash(placed(docs), "placed")
     slots, _ = mixture(rows, block_words, **options)
-    parts = overlaps(rows, block_words).select("doc_id", "text_key", "source", "block", "w0", "w1")
+    return _pieces(docs, rows, slots, block_words)
+
+
+def _pieces(docs: DataFrame, rows: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """The rows of :func:`mix_documents`, of ``rows`` of :func:`placed` and slots.
+
+    Rows equal in id, text and source have takes each; the other columns are those
+    of one of them."""
+    names = docs.columns
+    key = ["_dk", "_no", "_tk", "_sk"]
+    source_key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("_sk")
+    parts = overlaps(rows, block_words).select("doc_id", "text_key", "source", "start", "block", "w0", "w1")
     same = F.expr("p.source <=> s.source AND p.block = s.block")
-    takes = parts.alias("p").join(slots.alias("s"), same).groupBy("p.doc_id", "p.text_key").agg(F.collect_set(F.struct("s.shard", "s.slot", "p.w0", "p.w1")).alias("takes"))
-    takes = takes.select(F.coalesce("doc_id", F.lit(-1)).alias("_dk"), F.col("text_key").alias("_tk"), "takes")
-    left = docs.withColumns({"_dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_tk": F.xxhash64("text")})
-    picked = left.join(takes, ["_dk", "_tk"]).drop("_dk", "_tk")
+    place = F.greatest(F.col("p.start") - F.col("p.block") * F.lit(block_words), F.lit(0).cast("long")).alias("place")
+    takes = parts.alias("p").join(slots.alias("s"), same).groupBy("p.doc_id", "p.text_key", "p.source", "p.start").agg(F.collect_list(F.struct("s.shard", "s.slot", "p.w0", "p.w1", place)).alias("takes"))
+    takes = takes.select(F.coalesce("doc_id", F.lit(-1)).alias("_dk"), F.col("doc_id").isNull().alias("_no"), F.col("text_key").alias("_tk"), source_key, F.col("start").alias("row_start"), "takes")
+    left = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_dk"), F.col("doc_id").isNull().alias("_no"), F.xxhash64("text").alias("_tk"), source_key)
+    if not rows.where("size > 0").groupBy("doc_id", "text_key", "source").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(key)
+    picked = left.join(takes, key).drop(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(rb"[^\x20\x09-\x0D]+")
-        at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+        at_chars = names.index("n_chars") if "n_chars" in names else None
         for whole in batches:
             for b in slices(whole, "text"):
-                index, texts, shard, slot = [], [], [], []
-                for i, (t, takes) in enumerate(zip(utf8(b.column("text")), b.column("takes").to_pylist(), strict=True)):
-                    at = [m.span() for m in word.finditer(t)]
-                    for x in sorted(takes, key=lambda x: (x["shard"], x["slot"])):
-                        index.append(i)
-                        texts.append(t[at[x["w0"]][0] : at[x["w1"] - 1][1]].decode())
-                        shard.append(x["shard"])
-                        slot.append(x["slot"])
-                cols = [b.column(c).take(pa.array(index, pa.int64())) for c in names]
-                cols[at_text] = pa.array(texts, pa.string())
+                parts = utf8(b.column("text"))
+                data = b"".join(parts)
+                edge = np.cumsum([0, *map(len, parts)])
+                black = np.r_[~SPACES[np.frombuffer(data, np.uint8)], False]
+                # a word begins after white space or where its text begins
+                begins, ends = black.copy(), np.zeros(len(black) + 1, bool)
+                begins[1:] &= ~black[:-1]
+                begins[edge[:-1]] = black[edge[:-1]]
+                ends[1:] = black
+                ends[:-1] &= ~black
+                ends[edge[1:]] |= np.r_[False, black][edge[1:]]
+                begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+                takes = b.column("takes")
+                take = takes.flatten()
+                field = lambda c, take=take: take.field(c).to_numpy(zero_copy_only=False)
+                index = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(takes), 0).to_numpy(zero_copy_only=False))
+                first = np.searchsorted(begins, edge[:-1])[index]
+                lo, hi = begins[first + field("w0")], ends[first + field("w1") - 1]
+                texts = pa.array([data[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()).cast(pa.string())
+                index = pa.array(index, pa.int64())
+                cols = [texts if c == "text" else b.column(c).take(index) for c in names]
                 if at_chars is not None:
-                    cols[at_chars] = pa.array([len(t) for t in texts], b.schema.field("n_chars").type)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(shard, pa.int64()), pa.array(slot, pa.int64())], names=[*names, "shard", "slot"])
+                    cols[at_chars] = pc.utf8_length(texts).cast(b.schema.field("n_chars").type)
+                cols += [*(take.field(c) for c in ("shard", "slot", "place")), b.column("row_start").take(index)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "shard", "slot", "place", "row_start"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return picked.mapInArrow(run, f"{kind}, shard long, slot long")
+    return picked.mapInArrow(run, f"{kind}, shard long, slot long, place long, row_start long")

@@ -1,6 +1,6 @@
 """Token ids as Arrow files of equal-length sequences.
 
-A folder holds, for each shard of a range of ``doc_id``, ``shard-N.arrow`` (the
+A folder holds, for each shard of a range of ``doc_id`` (or of a given number), ``shard-N.arrow`` (the
 Arrow stream format with a footer: record batches of ``ids``, a fixed-size list
 of ``seq_len`` unsigned integers, and ``mask``, a fixed-size list of booleans,
 false on the padding of a shard's last sequence) and ``shard-N.docs.arrow``
@@ -120,9 +120,10 @@ def _schema(seq_len: int, dtype) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, seq_len: int = 2048, end_id: int = 1, order: list[str] | None = None, shards: int | None = None) -> list[dict]:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, seq_len: int = 2048, end_id: int = 1, order: list[str] | None = None, shards: int | None = None, whole: bool = False) -> list[dict]:
     """Encode ``docs`` (``doc_id``, ``text``) into the folder ``out`` and return the
-    manifest's shards. ``order``: columns to go by instead of ``doc_id``."""
+    manifest's shards. ``order``: columns to go by instead of ``doc_id``; ``whole``: the
+    first of them numbers the shards, from 0."""
     out = normal_uri(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, seq_len: int =
     order = order or ["doc_id"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.xxhash64("text").alias("_tie"))
     by = [f"_o{i}" for i in range(len(order))]
-    dealt = rows.repartitionByRange(shards or partitions(docs.sparkSession), *by).sortWithinPartitions(*by, "_tie").select("doc_id", "text")
+    if whole:
+        last = rows.agg(F.max(by[0])).first()[0]
+        dealt = rows.repartitionById(1 if last is None else last + 1, F.col(by[0]).cast("int"))
+    else:
+        dealt = rows.repartitionByRange(shards or partitions(docs.sparkSession), *by)
+    dealt = dealt.sortWithinPartitions(*by, "_tie").select("doc_id", "text")
     found = dealt.mapInArrow(run, "shard long, n_docs long, n_tokens long").collect()  # a row a shard
     manifest, at = [], 0
     for r in sorted(found):

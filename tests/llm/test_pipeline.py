@@ -1,8 +1,12 @@
 """The pipeline's stages on small tables."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from riverseed.llm import mixing, queries, token_files
+from riverseed.llm.common import work_dir
 
 
 def documents(spark, rows):
@@ -16,3 +20,44 @@ def test_near_duplicates_keep_unrelated_rows_of_one_id(spark):
     got = sorted((str(r.doc_id), r.text or "") for r in pipeline.near_duplicate_stage(spark, documents(spark, rows), "").collect())
     want = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (9, text("f") + " end"), (None, ""), (None, " ")]
     assert got == sorted((str(i), t) for i, t in want)
+
+
+def test_token_files_follow_the_mixture(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1300)), "ab"[i % 2]) for i in range(8)]
+    mixed = pipeline.mixing_stage(spark, documents(spark, rows), "").cache()
+    pieces = sorted(mixed.collect(), key=lambda r: (r.shard, r.slot, r.source, r.place))
+    got = sorted(pipeline.token_stage(spark, mixed, "").collect(), key=lambda r: r.start)
+    encoder = token_files.encoder_for(queries.tokenizer_path())
+    n = [len(encoder.encode([r.text])[0]) + 1 for r in pieces]
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(r.doc_id, k) for r, k in zip(pieces, n, strict=True)]
+    assert [r.doc_id for r in got] != sorted(r.doc_id for r in got)
+    # a file for each shard of the mixture
+    out = work_dir(spark, "t")
+    shards = token_files.write_token_files(mixed, out, queries.tokenizer_path(), order=mixing.ORDER, whole=True)
+    assert {m["shard"]: m["n_docs"] for m in shards} == Counter(r.shard for r in pieces)
+
+
+def test_mixture_counts_are_those_of_its_text(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100 + i)), "ab"[i % 2]) for i in range(6)]
+    # equal rows, rows of one id and text in two sources, and rows without an id
+    docs = documents(spark, rows + [rows[0], rows[0], (1, rows[0][1], "a"), (0, rows[0][1], "b"), (None, rows[0][1], "a"), (-1, rows[0][1], "a")])
+    taken = mixing.mix_taken(docs).collect()
+    mixed = Counter()
+    for r in mixing.mix_documents(docs, 32).collect():
+        mixed[r.doc_id, r.source] += len(r.text.split())
+    want = Counter()
+    for r in taken:
+        want[r.doc_id, r.source] += r.taken
+    assert len(taken) == docs.count() and mixed == +want
+    total = Counter()
+    for r in taken:
+        total[r.source] += r.taken
+    assert all(abs(total[r.source] - r.target) <= 64 for r in taken)
+
+
+def test_mixture_cuts_texts_at_words(spark):
+    texts = ["a b", "c", " \td\n\ne  f ", "€ é", None, "", "g" * 5, " h", "i "]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)]).coalesce(1)
+    pieces = mixing.mix_documents(docs, 2).collect()
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in pieces)
+    assert set(got) == {(0, "a b", 3), (1, "c", 1), (2, "d", 1), (2, "e  f", 4), (3, "€ é", 3), (6, "ggggg", 5), (7, "h", 1), (8, "i", 1)}
