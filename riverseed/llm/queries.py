@@ -93,7 +93,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.personal_data(_table(spark, sf_dir, "documents"))
     count = lambda n: F.size(F.filter("base", lambda x: x.k == n)).cast("long")
     return rows.select(
-        "doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+        "doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

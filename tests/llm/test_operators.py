@@ -132,10 +132,73 @@ def test_boosting_selects_what_it_has_learned():
     x = rng.integers(0, 8, (3000, len(pii.FEATURES)))
     y = (x[:, 1] > 3) & (x[:, 4] > 2)
     model = pii.fit_boosted(x, y, np.arange(3000) % 3 == 0)
-    assert model.trees and math.isfinite(model.threshold)
+    assert model.trees and model.thresholds
     assert not pii.fit_boosted(x, np.zeros(3000, bool), np.arange(3000) % 3 == 0).trees
 
 
+def test_personal_data_adds_what_the_base_misses(spark):
+    """Forms that no base pattern matches, beside look-alikes, learned from texts with base forms only."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+
+    def card(valid=True):
+        d = "4" + digits(14)
+        total = sum((v := int(c) * (1 + (j + 1) % 2)) - 9 * (v > 9) for j, c in enumerate(reversed(d)))
+        return d + str((-total + (not valid)) % 10)
+
+    dotted = lambda c: ".".join(c[i : i + 4] for i in range(0, 16, 4))
+    base = [lambda: f"{word()}.{digits(2)}@{word()}.example.com", lambda: f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}", card, lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f'token = "{key()}"', lambda: f"password={key()[:18]}"]
+    other = [lambda: card(False), lambda: f"{rng.randrange(300, 999)}.{digits(3)}.{digits(1)}.{digits(1)}", lambda: word() * 6, lambda: "20" + digits(2) + "-11-" + digits(2), lambda: digits(24), lambda: f"{word()} @ the.{digits(1)}"]
+    hidden = [(0, lambda: f"{word()}.{digits(2)} [at] {word()}.example[dot]com"), (2, lambda: dotted(card())), (3, lambda: f"({digits(3)}) 555-{digits(4)}"), (4, lambda: "AK" + key().upper()[:20])]
+    texts, want, decoys = [], set(), set()
+    for i in range(900):
+        parts = [word() for _ in range(20)]
+        if i < 600:
+            parts.insert(10, rng.choice(base + other)())
+        elif i < 750:
+            k, made = rng.choice(hidden)
+            m = made()
+            at = len(" ".join(parts[:10])) + 1
+            parts.insert(10, m)
+            want.add((i, k, at, at + len(m)))
+        else:
+            decoys.add(i)
+            parts.insert(10, rng.choice([lambda: dotted(card(False)), *other])())
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = pii.personal_data(docs).collect()
+    added = {(r.doc_id, x.k, x.s, x.e) for r in rows for x in r.spans if x not in r.base}
+    assert all(set(r.base) <= set(r.spans) for r in rows)
+    free = {x for x in added if x[0] >= 600}
+    assert len(free & want) >= 0.8 * len(want) and len(free & want) >= 0.9 * len(free)
+    assert {k for _, k, _, _ in free & want} == {0, 2, 3, 4}
+    assert not any(d in decoys for d, *_ in free) or sum(d in decoys for d, *_ in free) <= 0.05 * len(decoys)
+    none = pii.personal_data(docs.where("false"))
+    assert none.count() == 0
+
+
+def test_personal_data_digests_match_brute_force(spark):
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def ok(k, m):
+        d = re.sub("[^0-9]", "", m)
+        luhn = sum((v := int(c) * (1 + j % 2)) - 9 * (v > 9) for j, c in enumerate(reversed(d))) % 10 == 0
+        return {"email": True, "ip": k == "ip" and all(int(p) <= 255 for p in m.split(".")), "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[k]
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op10_personal_data(spark, SF).collect():
+        spans = [(k, *m.span()) for k in plain for m in re.finditer(plain[k], texts[r.doc_id]) if ok(k, m.group())]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+        have = [x.split(":") for x in r.spans.split(",")] if r.spans else []
+        assert {f"{k}:{s}:{e}" for k, s, e in spans} <= set(r.spans.split(",")) and len(have) == r.n_spans
+        order = [(pii.ALL_KINDS.index(k), int(s)) for k, s, _ in have]
+        assert order == sorted(order)
+        for n, k in enumerate(plain):
+            assert r[f"n_{k}"] == sum(x[0] == k for x in spans)
+
+
 def test_quality_statistics_and_rules(spark):
     got = {r.doc_id: r for r in quality_rules.text_statistics(spark.createDataFrame([(1, "a b c a b c\nx#\nx#\n \n"), (2, None)], "doc_id long, text string")).collect()}
     assert (got[1].n_words, got[1].n_symbols, got[1].n_dup_lines, got[1].n_repeat_words) == (8, 2, 1, 6)
