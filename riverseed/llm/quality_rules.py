@@ -174,5 +174,7 @@ def quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, m
     """Statistics and verdict of each row of ``docs`` (with its columns ``keep``), and the rules."""
     marks = bounded_labels(labels, max_labels)
     wanted = marks.select("_id").distinct()
-    rules = learn(text_statistics(docs.join(F.broadcast(wanted), docs.doc_id == wanted["_id"], "left_semi")), marks, **options)
+    # written first: a filter on statistics must not sink below the join and read all texts
+    labelled = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), F.col("doc_id") == wanted["_id"], "left_semi"), "labelled")
+    rules = learn(text_statistics(labelled), marks, **options)
     return apply_rules(text_statistics(docs, keep), rules), rules

@@ -213,6 +213,39 @@ def test_quality_statistics_and_rules(spark):
     assert rules.rules and share.get((1, False), 0) <= 0.02 * share[1, True] and share[0, False] >= share.get((0, True), 0)
 
 
+def test_quality_counts_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["a", "b", "c", "d#", "Wo", "x$|", "é<", "1", " ", "  ", "\t", "\n", "\n\n", "\x0b", "\r", "\u00a0", "!?", "%&"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(80))) for _ in range(300)] + ["", None, "a b c " * 60, "one", "a b", "a a a a", LONG, "\n".join(["same line"] * 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, _ = quality_rules.quality(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        t = t or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = [tuple(ws[j : j + 3]) for j in range(len(ws) - 2)]
+        often = Counter(grams)
+        inside = {k for j, g in enumerate(grams) if often[g] > 1 for k in range(j, j + 3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
+        assert r.base_failed == (len(ws) < 50 or 100 * len(inside) > 50 * len(ws)) and not (r.base_failed and r.kept)
+
+
+def test_quality_rules_are_the_expression(spark):
+    """The verdict of the emitted expression, against the rules applied in Python."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows, rules = quality_rules.quality(docs, labels)
+    for r in rows.collect():
+        x = r.asDict()
+        w, chars, lines = max(x["n_words"], 1), max(x["word_chars"], 1), max(x["n_lines"], 1)
+        f = {"word_len": x["word_chars"] / w, "symbol_share": x["n_symbols"] / w, "dup_line_share": x["n_dup_lines"] / lines, "repeat_share": x["n_repeat_words"] / w, "upper_share": x["n_upper"] / chars, "digit_share": x["n_digits"] / chars, "mark_share": x["n_marks"] / w, "words_a_line": x["n_words"] / lines, "distinct_share": x["n_distinct"] / w, "log_words": math.log(x["n_words"] + 1)}
+        first = next((i for i, rule in enumerate(rules.rules, 1) if all((f[n] > t) if op == ">" else (f[n] <= t) for n, op, t in rule)), 0)
+        assert x["rule"] == first and x["kept"] == (not x["base_failed"] and first == 0)
+
+
 def test_mixing(spark):
     t = mixing.targets({"a": 100, "b": 100, "c": 10, None: 90})
     assert t["c"] == 30 and math.isclose(sum(t.values()), 300) and t[None] < t["b"]
