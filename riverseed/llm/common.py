@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +44,28 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> DataFrame:
     """``df`` (a written table) marked for broadcast if it has at most ``max_rows``
-    rows; beyond that the join shuffles both sides."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    rows and, where rows have texts or lists, about ``max_bytes`` bytes; beyond that
+    the join shuffles both sides."""
+    size = F.lit(0) if max_bytes is None else F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, held = df.agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= max_rows and held <= (max_bytes or 0) else df
+
+
+def skew_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` (a written table or a scan, read more than once) joined to ``unique``, which
+    has a row for each value of ``keys`` at most. Keys with more than a tenth of a task's
+    even share of the rows are at most ``10 * partitions``: what ``unique`` has of them is
+    broadcast, and only the other rows are shuffled, so that no key makes a large task."""
+    sizes = rows.groupBy(*keys).count()
+    limit = rows.count() // (10 * max(partitions(rows.sparkSession), 1)) + 1
+    heavy = stash(sizes.where(F.col("count") > limit).drop("count").dropna(), "heavy")
+    if heavy.isEmpty():
+        return rows.join(unique, keys, how)
+    few = stash(unique.join(F.broadcast(heavy), keys, "left_semi"), "heavy-rows")
+    light = rows.join(F.broadcast(heavy), keys, "left_anti").join(unique.join(F.broadcast(heavy), keys, "left_anti"), keys, how)
+    return rows.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(few), keys, how).unionByName(light)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -128,9 +145,9 @@ def components(edges: DataFrame, what: str) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = stash(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), what)
+        large = stash(skew_join(both, low, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), what)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = skew_join(large, low, ["a"])
         small = stash(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct(), what)
         same = small.join(e, ["a", "b"], "left_anti").isEmpty() and small.count() == e.count()
         e = small

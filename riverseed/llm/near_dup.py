@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, forest_roots, partitions, slices, stash, utf8
+from .common import bounded, components, forest_roots, partitions, skew_join, slices, stash, utf8
 
 WIDTH = 6
 #: Rows of node keys that may be broadcast (16 bytes each).
@@ -280,10 +280,11 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int, chunks: int) ->
     over = stash(_compared(close, nodes, docs, shingle_words, percent).where("linked").select("a", "b").unionByName(inside), "links")
     for side in ("a", "b"):
         up = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        over = over.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+        over = stash(skew_join(over, up, [side], "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side)), "over")
     final = components(over.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "final").toDF("comp", "top")
 
-    comp = nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(final, "comp", "left").select("f1", "f2", "n_shingles", "doc_id", "text_key", F.coalesce("top", "comp").alias("comp"))
+    comp = stash(nodes.drop("sig").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")), "rooted")
+    comp = skew_join(comp, final, ["comp"], "left").select("f1", "f2", "n_shingles", "doc_id", "text_key", F.coalesce("top", "comp").alias("comp"))
     return signed, stash(comp, "comp")
 
 
@@ -297,10 +298,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """
     signed, comp = _grouped(docs, shingle_words, percent, chunks)
     ids = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_set = stash(comp.join(ids, "comp").select("f1", "f2", F.col("n_shingles").alias("m"), "component_id"), "by_set").withColumn("found", F.lit(True))
-    joined = signed.join(by_set, [signed.f1 == by_set.f1, signed.f2 == by_set.f2, signed.n_shingles == by_set.m], "left")
-    cid = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "text_key", "n_shingles", cid.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = ["f1", "f2", "n_shingles"]
+    by_set = stash(skew_join(comp, ids, ["comp"]).select(*key, "component_id"), "by_set")
+    rows = signed.drop("sig")
+    joined = skew_join(rows.where("n_shingles > 0"), by_set, key).select("doc_id", "text_key", "n_shingles", "component_id")
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def least_of_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, chunks: int = 32) -> tuple[DataFrame, bool]:
