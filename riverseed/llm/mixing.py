@@ -28,12 +28,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stash, utf8, words
+from .common import bounded, partitions, slices, stash, utf8, words
 
 WEIGHTS = (1, 2, 3)
+#: Sources of a mixture, and shares of sources in shards, that the driver holds.
+MAX_SOURCES, MAX_CELLS = 100_000, 2_000_000
+#: Partial sums that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Whether a byte is ASCII white space.
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: The mixture's order: slots are numbered by source, so a source's slots, and in them
@@ -121,9 +125,10 @@ def placed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
     local = stash(src.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(run, f"{kind}, start_in long, part long"), "local")
     sums = local.groupBy("source", "part").agg(F.sum("size").alias("s"))
-    before = sums.alias("x").join(sums.alias("y"), F.expr("x.source <=> y.source AND y.part < x.part")).groupBy("x.source", "x.part").agg(F.sum("y.s").alias("before"))
-    before = stash(before.select(F.col("source").alias("s2"), F.col("part").alias("p2"), "before"), "before")
-    out = local.join(F.broadcast(before), F.expr("source <=> s2 AND part = p2"), "left")  # at most ranges + sources rows
+    # at most a row for each range of a source, in all ranges + sources
+    sums = sums.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = stash(sums.select(F.col("source").alias("s2"), F.col("part").alias("p2"), "before"), "before")
+    out = local.join(bounded(before, BROADCAST_ROWS, BROADCAST_BYTES), F.expr("source <=> s2 AND part = p2"), "left")
     return out.select("doc_id", "source", "size", "text_key", *(keep or []), (F.col("start_in") + F.coalesce("before", F.lit(0))).alias("start"))
 
 
@@ -131,10 +136,15 @@ def mixture(rows: DataFrame, block_words: int = 32, shard_slots: int = 4096, see
     """The slots of the mixture, ``(source, block, shard, slot, pass_no)``, and the
     sources, ``(source, source_size, target)``, of ``rows`` (of :func:`placed`).
 
-    ``shard_slots`` is raised so that there are at most some 20,000 shards to draw.
+    ``shard_slots`` is raised so that there are at most some 20,000 shards to draw, and
+    ``MAX_CELLS`` shares of sources in shards. Sources are labels of the collection: a
+    table with more than ``MAX_SOURCES`` of them is an error.
     """
     spark = rows.sparkSession
-    sums = {r.source: r.n or 0 for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # a row a source
+    found = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sums = {r.source: r.n or 0 for r in found}
     want = targets(sums, most, weights)
     names = list(want)
     kinds = spark.createDataFrame([(s, int(sums[s]), float(want[s])) for s in names], "source string, source_size long, target double")
@@ -142,7 +152,7 @@ def mixture(rows: DataFrame, block_words: int = 32, shard_slots: int = 4096, see
     # a source's last block may be short: its slots are counted by its mean block
     mean = np.array([sums[s] / b if b else 1 for s, b in zip(names, blocks, strict=True)])
     slots = np.array([want[s] for s in names]) / mean
-    shard_slots = max(shard_slots, int(slots.sum()) // 20_000)
+    shard_slots = max(shard_slots, int(slots.sum()) // min(20_000, max(MAX_CELLS // max(len(names), 1), 1)))
     drawn = draw_shards(slots, (np.ceil(most) * blocks).astype(np.int64), shard_slots, seed)
     first = np.cumsum(drawn, axis=0) - drawn
     plan = [(int(k), int(s), int(first[k, s]), int(drawn[k, s]), int(blocks[s])) for k, s in zip(*np.nonzero(drawn), strict=True)]
@@ -160,7 +170,7 @@ def mixture(rows: DataFrame, block_words: int = 32, shard_slots: int = 4096, see
     wide = spark.createDataFrame(plan, schema).repartition(partitions(spark))
     slots_df = wide.mapInArrow(run, "source_no int, block long, shard long, slot long, pass_no long")
     numbered = spark.createDataFrame(list(enumerate(names)), "source_no int, source string")
-    return slots_df.join(F.broadcast(numbered), "source_no").drop("source_no"), kinds  # a row a source
+    return slots_df.join(F.broadcast(numbered), "source_no").drop("source_no"), kinds  # MAX_SOURCES rows at most
 
 
 def overlaps(rows: DataFrame, block_words: int) -> DataFrame:
@@ -187,7 +197,7 @@ def mix_taken(docs: DataFrame, block_words: int = 32, **options) -> DataFrame:
     left = null_safe(rows).withColumn("at", F.when(F.col("size") > 0, F.col("start"))).drop("start")
     out = left.join(taken, ["source_key", "at"], "left").select("doc_id", "size", "source", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     kinds = kinds.withColumnRenamed("source", "s2")
-    return out.join(F.broadcast(kinds), F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "size", "source", "source_size", "target", "taken")  # a row a source
+    return out.join(F.broadcast(kinds), F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "size", "source", "source_size", "target", "taken")  # MAX_SOURCES rows at most
 
 
 def mix_documents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
