@@ -8,7 +8,7 @@ window's prefix at a place where the window fits (positional and length bounds)
 become candidates. These are verified word by word on the document's text.
 
 Rarity is counted over all documents. The benchmark's shingles are broadcast
-only up to ``BROADCAST_ROWS`` rows; beyond that the joins shuffle.
+only up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` of words; beyond that the joins shuffle.
 
 Edge cases: null or wordless text has no words, no hits; null or wordless items
 have no windows; a null ``item_id`` is left out of the list of items, yet its
@@ -23,9 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, let, stash
+from .common import bounded, let, skew_join, stash
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 SHINGLE = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII but digits and lower-case letters.
@@ -67,8 +67,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text")).alias("ws")).where("size(ws) > 0")
     last = F.greatest(F.size("ws") - F.lit(window), F.lit(0))
     windows = items.select("item_id", "ws", F.explode(F.sequence(F.lit(0), last)).alias("i")).select("item_id", F.slice("ws", F.col("i") + 1, F.lit(window)).alias("win"))
-    windows = windows.groupBy("win").agg(F.collect_set("item_id").alias("items")).select(F.monotonically_increasing_id().alias("win_id"), "win", "items")
-    windows = stash(windows, "windows")
+    # numbered once; which items have a window is looked up at the end
+    windows = stash(windows, "item-windows")
+    owners = windows.where("item_id IS NOT NULL")
+    windows = stash(windows.groupBy("win").agg(F.lit(0)).select(F.monotonically_increasing_id().alias("win_id"), "win"), "windows")
     width = F.least(F.size("win"), F.lit(SHINGLE))
     sizes = sorted(r[0] for r in windows.select(width.alias("k")).distinct().collect())  # some of 1..SHINGLE
     if not sizes:
@@ -76,7 +78,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
     tokens = [windows.where(width == k).select(F.lit(k).alias("k"), "win_id", F.size("win").alias("len"), F.posexplode(_shingles(F.col("win"), k)).alias("offset", "sh")) for k in sizes]
     tokens = stash(reduce(DataFrame.unionByName, tokens), "tokens")
-    hint = F.broadcast if tokens.count() <= BROADCAST_ROWS else (lambda df: df)  # windows, tokens and prefixes are no more rows than these
+    n_tokens, n_bytes = tokens.count(), windows.agg(F.sum(F.length(F.array_join("win", " ")))).first()[0]
+    hint = F.broadcast if n_tokens <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES else (lambda df: df)  # windows and prefixes are no more rows than tokens
 
     # every place of the benchmark's shingles in the corpus
     known = stash(tokens.select("k", "sh").distinct(), "known")
@@ -91,15 +94,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     places = places.where("start >= 0 AND start + len <= n_words").select("doc_key", "text_key", "start", "win_id").distinct()
 
     # verification on the words of each candidate document
-    cands = places.join(hint(windows), "win_id").groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("start", "win", "items")).alias("cands"))
+    cands = places.join(hint(windows), "win_id").groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("start", "win_id", "win")).alias("cands"))
     cands = stash(cands, "cands")
     narrow = bounded(cands.select("doc_key", "text_key"), BROADCAST_ROWS)
     texts = rows.join(narrow, ["doc_key", "text_key"], "left_semi").select("doc_key", "text_key", "text").dropDuplicates(["doc_key", "text_key"])
     same = lambda ws: F.filter("cands", lambda c: F.slice(ws, c.start + F.lit(1), F.size(c.win)) == c.win)
     true = cands.join(texts, ["doc_key", "text_key"]).select("doc_key", "text_key", let(item_words(F.col("text")), same).alias("hits"))
     span = F.sort_array(F.transform("hits", lambda h: F.struct(h.start.alias("s"), (h.start + F.size(h.win)).alias("e"))))
-    hits = true.where("size(hits) > 0").select("doc_key", "text_key", F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("item_ids"), span.alias("spans"))
-    hits = stash(hits.withColumn("n_hit", _covered(F.col("spans"))), "hits")
-
-    out = counted.select("doc_id", "doc_key", "text_key", F.size("ws").cast("long").alias("n_words")).join(bounded(hits, BROADCAST_ROWS // 20), ["doc_key", "text_key"], "left")
+    wins = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h.win_id)))
+    hits = stash(true.where("size(hits) > 0").select("doc_key", "text_key", wins.alias("wins"), span.alias("spans")).withColumns({"n_hit": _covered(F.col("spans")), "set_key": F.sha2(F.array_join(F.col("wins").cast("array<string>"), ","), 256)}), "hits")
+    # the items of each distinct set of windows
+    sets = hits.groupBy("set_key").agg(F.first("wins").alias("wins")).select("set_key", F.explode("wins").alias("win_id"))
+    named = sets.join(hint(windows), "win_id").join(owners, "win").select("set_key", "item_id").distinct().groupBy("set_key").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    named = stash(named, "sets")
+    small = bounded(named, BROADCAST_ROWS // 20, BROADCAST_BYTES)
+    hits = hits.drop("wins")
+    hits = hits.join(small, "set_key", "left") if small is not named else skew_join(hits, named, ["set_key"], "left")
+    hits = stash(hits.select("doc_key", "text_key", "n_hit", "spans", F.coalesce("item_ids", strings).alias("item_ids")), "hits")
+
+    out = counted.select("doc_id", "doc_key", "text_key", F.size("ws").cast("long").alias("n_words")).join(bounded(hits, BROADCAST_ROWS // 20, BROADCAST_BYTES), ["doc_key", "text_key"], "left")
     return out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", strings).alias("item_ids"), F.coalesce("spans", ranges).alias("spans"))
