@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, lm_score, mixing, near_dup, pii, quality_rules, token_counts, token_files, warc
-from .common import stash, work_dir, words
+from .common import skew_join, stash, work_dir, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.convert(spark, arcs, out)
     rows = stash(warc.read_warc(spark, out), "warc-rows")
     to = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return rows.join(to, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    own = rows.where("refers_to_id IS NULL").withColumn("refers_to", F.lit(None).cast("long")).select(*out)
+    return skew_join(rows.where("refers_to_id IS NOT NULL"), to, ["refers_to_id"], "left").select(*out).unionByName(own)
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

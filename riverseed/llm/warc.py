@@ -15,9 +15,9 @@ Archives are written by tasks into files of about ``file_bytes`` each, one gzip
 member a record, named when whole. They are read back with Spark's own binary
 reader, so any store that Spark reads will do.
 
-Edge cases: a null payload is empty; a null URL is written as ``urn:none``, a
+Edge cases: no rows make an archive of its head alone; a null payload is empty; a null URL is written as ``urn:none``, a
 space in a URL as %20; a damaged or cut record ends its file's reading (the rest
-can't be framed) and is reported as ``damaged``.
+can't be framed) and is reported as ``damaged``; repeated rows are records each.
 """
 
 from __future__ import annotations
@@ -37,10 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import normal_uri, put_file, slices
+from .common import normal_uri, put_file, skew_join, slices, stash
 
 V1 = "URL IP-address Archive-date Content-type Archive-length"
 V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+#: Repeated payloads that may be broadcast (some 200 bytes each).
+BROADCAST_ROWS = 200_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 
 
@@ -126,7 +128,10 @@ def write_arc(pages: DataFrame, out: str, version: int = 1, file_bytes: int = 16
         yield from _rolled(batches, out, ".arc.gz", lambda name: arc_head(version, name), record, file_bytes)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, _WRITTEN).agg(F.sum("records")).first()[0] or 0
+    n = rows.mapInArrow(run, _WRITTEN).agg(F.sum("records")).first()[0] or 0
+    if not n:
+        put_file(f"{out}/part-empty.arc.gz", lambda s: s.write(_member(arc_head(version, "part-empty.arc.gz"))))
+    return n
 
 
 def _members(data: bytes) -> Iterator[bytes]:
@@ -270,15 +275,23 @@ def convert(spark: SparkSession, arcs: str, out: str, min_revisit: int = 1000, f
     heads = read_arc(spark, arcs, with_block=False).where(f"payload_bytes >= {int(min_revisit)} AND NOT damaged")
     top = heads.groupBy("payload_sha1", "payload_bytes").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "file", "place", "url")).alias("x")).where("n > 1")
     top = top.select("payload_sha1", "payload_bytes", F.concat_ws("#", "x.file", F.col("x.place").cast("string")).alias("to"), F.col("x.url").alias("to_url"))
+    top = stash(top, "repeated")
     rows = read_arc(spark, arcs).where("NOT damaged")
-    rows = rows.join(F.broadcast(top) if top.count() <= 200_000 else top, ["payload_sha1", "payload_bytes"], "left")
+    if top.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(top), ["payload_sha1", "payload_bytes"], "left")
+    else:  # found on rows without their blocks, which then are dealt by place
+        places = skew_join(stash(heads.select("payload_sha1", "payload_bytes", "file", "place"), "heads"), top, ["payload_sha1", "payload_bytes"])
+        rows = rows.join(places.select("file", "place", "to", "to_url"), ["file", "place"], "left")
     other = F.col("to") != F.concat_ws("#", "file", F.col("place").cast("string"))
     rows = rows.select("file", "place", "url", "ip", "date", "content_type", "payload_sha1", F.when(other, F.col("to")).alias("refers"), F.when(other, F.col("to_url")).alias("refers_url"), "block")
 
     def run(batches):
         yield from _rolled(batches, out, ".warc.gz", _warcinfo, lambda r, name, offset: warc_record(r), file_bytes)
 
-    return rows.mapInArrow(run, _WRITTEN).agg(F.sum("records")).first()[0] or 0
+    n = rows.mapInArrow(run, _WRITTEN).agg(F.sum("records")).first()[0] or 0
+    if not n:
+        put_file(f"{out}/part-empty.warc.gz", lambda s: s.write(_member(_warcinfo("part-empty.warc.gz"))))
+    return n
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riverseed.llm import decontaminate, html_extract, lm_score, mixing, near_dup, pii, quality_rules, queries, token_counts, token_files, warc
-from riverseed.llm.common import components, work_dir
+from riverseed.llm.common import components, skew_join, work_dir
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 700}x" for i in range(30_000))
@@ -74,6 +74,14 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skew_join_is_a_join(spark, how):
+    rows = spark.createDataFrame([(i, [7, None, i % 50][i % 3]) for i in range(3000)], "v long, k long")
+    unique = spark.createDataFrame([(k, -k) for k in range(0, 60, 2)] + [(7, -7)], "k long, x long")
+    got, want = (Counter(map(tuple, f.select("v", "k", "x").collect())) for f in (skew_join(rows, unique, ["k"], how), rows.join(unique, "k", how)))
+    assert got == want and len(want) > 1000
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -306,6 +314,31 @@ def test_archives_round_trip(spark, version):
     assert rows[3].payload_bytes == 0 and rows[4].payload_bytes == 20 and rows[None].url == "http://e" and rows[2].url == "urn:none"
 
 
+def test_archives_edges(spark):
+    """No rows, repeated rows, columns with names used inside; many repeats beyond the broadcast bound."""
+    pages = spark.createDataFrame([(i % 7, "http://a", "x" * (999 + i % 3), 1) for i in range(40)] + [(None, None, None, 1)], "page_id long, url string, html string, k int")
+    pages = pages.withColumns({c: F.lit(1) for c in ("file", "place", "block", "to", "record_id", "payload_sha1", "n", "x")})
+    for limit in (200_000, 0):
+        warc.BROADCAST_ROWS = limit
+        for rows, n in ((pages, 41), (pages.where("false"), 0)):
+            arcs, out = work_dir(spark, "arc"), work_dir(spark, "warc")
+            assert warc.write_arc(rows, arcs) == n and warc.convert(spark, arcs, out) == n
+            found = warc.read_warc(spark, out).collect()
+            assert len(found) == n
+            if n:
+                kinds = Counter((r.payload_bytes, r.record_type) for r in found)
+                assert kinds[1000, "response"] == kinds[1001, "response"] == 1 and kinds[999, "revisit"] == 0 and kinds[1000, "revisit"] == 12
+    warc.BROADCAST_ROWS = 200_000
+
+
+def test_archive_query_edges(spark):
+    folder = work_dir(spark, "sf")
+    for rows in ([], [(1, "u", "y" * 1500), (1, "u", "y" * 1500), (2, "u", "y" * 1500), (3, None, None)]):
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.mode("overwrite").parquet(f"{folder}/pages.parquet")
+        got = sorted(tuple(r) for r in queries.op5_warc(spark, folder).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+        assert got == ([(1, 1500, "revisit", 2), (1, 1500, "revisit", 2), (2, 1500, "response", None), (3, 0, "response", None)] if rows else [])
+
+
 def test_archive_damage():
     body = warc.arc_head(1, "x") + warc.arc_record(1, "x", "http://a", "20080102030405", b"hello", 0) + b"http://b 0.0.0.0 2008 text/html 99\ncut"
     found = list(warc.parse_arc(body))
