@@ -283,23 +283,49 @@ def test_lm(spark):
     assert lm_score.lm_scores(table(spark, []), "true").count() == 0
 
 
-def test_lm_is_normalised_and_learns():
-    rng = np.random.default_rng(2)
+def test_lm_does_not_depend_on_layout_and_beats_the_base(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(lm_score, "SHARE", 60_000)  # several copies
+    monkeypatch.setattr(lm_score, "GROWTH", 1)
+    train = "crc32(cast(doc_id AS string)) % 7 != 2"
+    one, other = ({r.doc_id: r for r in lm_score.lm_scores(d, train).collect()} for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    for i, r in one.items():
+        assert math.isclose(r.score, other[i].score, rel_tol=1e-4, abs_tol=1e-2) and math.isclose(r.base_score, other[i].base_score, rel_tol=1e-9)
+    held = [r for r in one.values() if not r.train]
+    n = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / n > sum(r.base_score for r in held) / n + 0.02
+
+
+def test_lm_deals_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARE", 2_000)
+    monkeypatch.setattr(lm_score, "GROWTH", 1)
+    docs = spark.createDataFrame([(1 if i % 3 else i, "a b c d" if i % 3 else f"x{i} y z") for i in range(6000)], "doc_id long, text string").repartition(3)
+    model = lm_score.start_model(np.empty(0, np.uint64), np.empty(0, np.int64), np.ones(lm_score.CLASSES), 1)
+    sizes = lm_score._dealt(docs, model, 5).groupBy("share").count().collect()
+    assert sum(r["count"] for r in sizes) == 6000 and len(sizes) == 5 * lm_score.ROUNDS and max(r["count"] for r in sizes) < 600
+
+
+def test_lm_is_normalised_and_learns(spark):
+    flat = np.array([b"aa", b"bb", b"cc", b"dd"], dtype=object)
     w = np.array([10, 20, 30, 40], np.uint64)
-    m = lm_score.start_model(w, np.array([9, 7, 5, 3]), 2, 4)
-    t = lm_score.Trainer(m, 0)
-    h = np.tile(w, 3000)
+    m = lm_score.start_model(w, np.array([9, 7, 5, 3]), np.arange(lm_score.CLASSES), 4)
+    t = lm_score.Trainer(m, [0])
+    ids = m.outputs(np.tile(w, 3000), np.tile(flat, 3000))
     before = after = 0.0
     for model in (m, None):
         if model is None:
             for _ in range(6):
-                t.texts(h, np.array([len(h)]))
+                t.texts(ids, np.array([len(ids)]))
             model = t.m
-        s = (model.r @ model.c[0])[m.outputs(w[:1])] + (model.r @ model.c[1])[m.outputs(w[3:])]
+        s = (model.r @ model.c[0])[ids[:1]] + (model.r @ model.c[1])[ids[3:4]]
         p = np.exp(s @ model.q.T + model.b)
-        p = (p / p.sum())[0, m.outputs(w[1:2])[0]]
+        p = (p / p.sum())[0, ids[1]]
         before, after = after, float(p)
-    assert after > 0.5 > before and rng is not None
+    assert after > 0.5 > before
+    z = lm_score._normalisers(spark, t.m)
+    s = (t.m.r[3] @ t.m.c[0] + t.m.r[7] @ t.m.c[1]) @ t.m.q.T + t.m.b
+    assert math.isclose(np.exp(s.astype(float) - z[7, 3]).sum(), 1, rel_tol=1e-4)
+    assert lm_score.copies_for(10) == 1 < lm_score.copies_for(10**8) < lm_score.copies_for(10**12)
 
 
 @pytest.mark.parametrize("version", [1, 2])
