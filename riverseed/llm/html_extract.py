@@ -10,21 +10,31 @@ valid if their tokens come in one order on every page, and nest if every other
 class lies within one gap of theirs; classes that break this on some page are
 dropped. What is left is the host's template; its gaps are the slots.
 
-Slots are then extracted: a slot is content if it lies in an ``article`` or
-``main`` element where the page has one, and in none of the elements (or classes)
-that hold menus, headers, footers, sidebars, notices, adverts, forms or comments.
-Text nodes that belong to a template of ``MIN_PAGES`` pages or more are furniture,
-but not in an ``article`` or ``main`` element, nor in a content slot: an element of the
-template that on some page has text of its own that isn't the template's (of ``html``
-and ``body`` only their own text, else all inside). A page with no other text keeps it.
-A page of a host without a template is one slot with the same rules.
+What fills the slots decides what is content. On each page the text that isn't the
+template's is added up for the innermost template element around it, and by host
+over its pages. From the page's root the content region goes down into the
+element that holds ``SHARE`` of the text of the region so far, as long as it stands
+once on a page and leaves no heading of the pages' own outside; an ``article`` or
+``main`` element is as deep as it goes. So menus, adverts or notices beside the region
+go whatever their markup is called. Inside the region
+
+* text nodes of the template go, unless their element has text of its own on some
+  page, or lies in an ``article`` or ``main`` element;
+* slots in elements that are labelled as menus, headers, footers, sidebars, notices,
+  adverts, forms or comments (by element or class name; the part that stays a
+  heuristic, since readers' comments fill slots like an article does) go; such slots
+  count for no region.
+
+A page without its host's region, or of a host with one distinct page, is taken as one
+slot with the same labels, where an ``article`` or ``main`` element is preferred. A page
+whose region has nothing but template text keeps that.
 
 Text: character references are decoded, white space inside a block is one space,
 blocks are joined by a line feed. Nothing else is dropped or capped.
 
 Edge cases: null or empty html gives an empty text; unclosed elements end with
 their parents; a null URL is a host of its own; pages of one host with equal html
-count once in its template.
+count once in its template; no pages give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,12 +49,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import skew_join, slices, stash
 
 #: Share of a host's pages that have a template's tokens.
 SUPPORT = 0.9
-#: Pages that a host needs for its text nodes to count as furniture.
-MIN_PAGES = 12
+#: Share of a region's text that an element needs to be the region instead.
+SHARE = 0.6
 #: Template tokens in all that may be broadcast.
 BROADCAST_TOKENS = 500_000
 
@@ -57,6 +67,7 @@ BLOCK = frozenset(
 STRUCTURE = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 li dd dt tr td th tbody thead tfoot option hr pre blockquote caption summary".split())
 BOILERPLATE = frozenset("aside button dialog footer form head label menu nav search select header".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|aside|menu|nav\w*|breadcrumbs?|footer|foot|masthead|site-header|page-header|topbar|toolbar|cookies?|consent|notice|alert|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|comments?|replies|reply|respond|disqus|discussion|skip|search|form)(?:$|[\s_-])",
     re.I,
@@ -139,12 +150,9 @@ def is_boilerplate(path: str) -> bool:
     return False
 
 
-def main_depth(path: str) -> bool:
-    for label in path.split("/")[1:]:
-        name, _, attributes = label.partition("[")
-        if name in MAIN or "role=main" in attributes or "itemprop=articleBody" in attributes:
-            return True
-    return False
+def is_main(label: str) -> bool:
+    name, _, attributes = label.partition("[")
+    return name in MAIN or "role=main" in attributes or "itemprop=articleBody" in attributes
 
 
 def in_slot(path: str, slots: frozenset[int]) -> bool:
@@ -155,13 +163,26 @@ def in_slot(path: str, slots: frozenset[int]) -> bool:
     return any(not WHOLE.fullmatch(path[:i]) and _hash(path[:i]) in slots for i in ends)
 
 
-def extract(page: str, furniture: frozenset[int] = frozenset(), slots: frozenset[int] = frozenset()) -> str:
+def main_depth(path: str) -> bool:
+    return any(map(is_main, path.split("/")[1:]))
+
+
+def inside(path: str, region: str) -> bool:
+    return not region or path == region or path.startswith(region + "/")
+
+
+def extract(page: str, furniture: frozenset[int] = frozenset(), slots: frozenset[int] = frozenset(), region: str = "") -> str:
     """The content slots' text of a page; ``furniture``: hashes of the roles of text
-    nodes that are part of the template; ``slots``: hashes of the paths of content slots."""
-    return _extract(page, furniture, slots) or (_extract(page, frozenset(), slots) if furniture else "")
+    nodes that are part of the template; ``slots``: hashes of the paths of content
+    slots; ``region``: the path of the host's content region, empty for none."""
+    if region:
+        text = _extract(page, furniture, slots, region) or _extract(page, frozenset(), slots, region)
+        if text or any(inside(path, region) for *_, path in tokens(page)):
+            return text
+    return _extract(page, furniture, slots, "") or (_extract(page, frozenset(), slots, "") if furniture else "")
 
 
-def _extract(page: str, furniture: frozenset[int], slots: frozenset[int]) -> str:
+def _extract(page: str, furniture: frozenset[int], slots: frozenset[int], region: str) -> str:
     blocks: dict[bool, list[str]] = {True: [], False: []}
     run: list[str] = []
     where = (False, False)
@@ -174,14 +195,15 @@ def _extract(page: str, furniture: frozenset[int], slots: frozenset[int]) -> str
 
     kept: dict[str, tuple[bool, bool]] = {}
     content: dict[str, bool] = {}
+    main = any(map(is_main, region.split("/")[1:]))
     for kind, name, value, path in tokens(page):
         if kind == "text":
             if path not in kept:
-                kept[path] = (main_depth(path), not is_boilerplate(path))
+                kept[path] = (main if region else main_depth(path), inside(path, region) and not is_boilerplate(path))
             if kept[path] != where:
                 flush()
                 where = kept[path]
-            if furniture and where == (False, True) and (r := role("text", "", value, path)) and _hash(r) in furniture:
+            if furniture and where[1] and not main_depth(path) and (r := role("text", "", value, path)) and _hash(r) in furniture:
                 if path not in content:
                     content[path] = in_slot(path, slots)
                 if not content[path]:
@@ -238,45 +260,108 @@ def in_order(sequence: list[int], members: list[int]) -> bool:
     return len(sequence) % k == 0 and all(x == members[i % k] for i, x in enumerate(sequence))
 
 
-def page_faults(page: str, classes: list[list[int]], texts: frozenset[int] = frozenset()) -> tuple[set[int], set[int]]:
-    """Numbers of the classes that break order or nesting on a page, and its content
-    slots: hashes of the paths of elements of the classes that have text of their own
-    outside ``texts``, the classes' text nodes."""
+def crossing(sequence: list[int], size: dict[int, int]) -> set[int]:
+    """Classes that don't nest, of ``sequence``, the classes of a page's tokens in turn, each
+    with ``size`` tokens: of two classes that have tokens in two gaps of each other the
+    smaller. One pass over the tokens with the stack of classes that are open."""
+    bad, stack, left = set(), [], dict(size)
+    for c in sequence:
+        if c in bad:
+            continue
+        if left[c] == size[c]:
+            stack.append(c)
+        while stack[-1] != c:  # the classes above have begun inside a gap of c and aren't at their end
+            if size[stack[-1]] > size[c]:
+                bad.add(c)
+                stack.remove(c)
+                break
+            bad.add(stack.pop())
+        if c in bad:
+            continue
+        left[c] -= 1
+        if not left[c]:
+            stack.pop()
+    return bad
+
+
+def page_faults(page: str, classes: list[list[int]], texts: frozenset[int] = frozenset()) -> tuple[set[int], dict[str, list[int]]]:
+    """Numbers of the classes that break order or nesting on a page, and for the path of
+    each innermost element of the classes: characters of text outside ``texts``, the
+    classes' text nodes; how many of those are its own, not deeper down; how many of
+    headings; and how often the element stands on the page. Slots labelled as
+    boilerplate count for nothing."""
     of = {r: c for c, members in enumerate(classes) for r in members}
-    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    known, own = {""}, set()
-    for i, (kind, name, value, path) in enumerate(tokens(page)):
+    places: dict[int, list[int]] = defaultdict(list)
+    sequence: list[int] = []
+    paths: dict[str, list[int]] = {"": [0, 0, 0, 1]}
+    innermost: dict[str, str] = {"": ""}
+    heading = False
+
+    def known(path: str) -> str:
+        if path not in innermost:
+            innermost[path] = path if path in paths else known(path.rpartition("/")[0])
+        return innermost[path]
+
+    for kind, name, value, path in tokens(page):
         r = role(kind, value, value, path)
         if r is None:
             continue
         h = _hash(r) or 1
         if (c := of.get(h)) is not None:
-            places[c].append((i, h))
+            places[c].append(h)
+            sequence.append(c)
             if kind == "open" and name in STRUCTURE:
-                known.add(f"{path}/{value}")
-        if kind == "text" and h not in texts:
-            own.add(path)
-    slots = {_hash(p) for p in own & known}
-    bad = {c for c, found in places.items() if not in_order([r for _, r in found], classes[c])}
-    spans = []
-    for c, found in places.items():
-        if c not in bad and len(found) == len(classes[c]):  # once on this page
-            spans.append((len(classes[c]), c, [i for i, _ in found]))
-    spans.sort(reverse=True)
-    for k, (_, big, at) in enumerate(spans):
-        for _, small, inner in spans[k + 1 :]:
-            if big not in bad and small not in bad:
-                gaps = np.searchsorted(at, inner)
-                around = np.searchsorted(inner, at)
-                if gaps.min() != gaps.max() and around.min() != around.max():
-                    bad.add(small)
-    return bad, slots
+                at = f"{path}/{value}"
+                paths.setdefault(at, [0, 0, 0, 0])[3] += 1
+                innermost[at] = at
+        if kind != "text":
+            if name in HEADINGS:
+                heading = kind == "open"
+            elif name in BLOCK:
+                heading = False
+        elif h not in texts and not is_boilerplate(path):
+            n, x = len(value.strip()), paths[known(path)]
+            x[0] += n
+            x[1] += n if path in paths else 0
+            x[2] += n if heading else 0
+    bad = {c for c, found in places.items() if not in_order(found, classes[c])}
+    once = {c: len(classes[c]) for c, found in places.items() if c not in bad and 1 < len(found) == len(classes[c])}
+    return bad | crossing([c for c in sequence if c in once], once), paths
+
+
+def content_region(paths: dict[str, tuple[int, int, bool]]) -> str:
+    """The path of the content region, empty for the whole page; ``paths``: characters of
+    text and of headings of each innermost element, and whether it stands once a page."""
+    text, heads = defaultdict(int), defaultdict(int)
+    for path, (n, k, _) in paths.items():
+        while True:
+            text[path] += n
+            heads[path] += k
+            if not path:
+                break
+            path = path.rpartition("/")[0]
+    below = defaultdict(list)
+    for path, (_, _, once) in paths.items():
+        if path and once:
+            above = path.rpartition("/")[0]
+            while above and above not in paths:
+                above = above.rpartition("/")[0]
+            below[above].append(path)
+    at = ""
+    while not (at and is_main(at.rpartition("/")[2])):
+        found = max(below[at], key=lambda p: (text[p], p), default=None)
+        if found is None or not text[found] or text[found] < SHARE * text[at]:
+            break
+        if heads[found] < heads[at] and not is_main(found.rpartition("/")[2]):
+            break
+        at = found
+    return "" if WHOLE.fullmatch(at) else at
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """``(host, pages, classes, slots)``: valid nested classes of each host with two
-    distinct pages or more, each ``(roles, text)`` in the order of the page, and the
-    hashes of the paths of its content slots."""
+    """``(host, pages, classes, slots, region)``: valid nested classes of each host with two
+    distinct pages or more, each ``(roles, text)`` in the order of the page, the hashes of
+    the paths of its content slots, and the path of its content region."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     distinct = src.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).groupBy("host", F.md5("html").alias("digest")).agg(F.first("html").alias("html"))
     sums = distinct.mapInArrow(_roles, _SUMS).groupBy("host", "role", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "low", "high", "place")])
@@ -288,24 +373,41 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     per_host = classes.groupBy("host", "host_pages").agg(F.array_sort(F.collect_list(F.struct(F.transform("m", lambda x: x.role).alias("roles"), F.transform("m", lambda x: x.text).alias("text")))).alias("classes"))
     found = stash(per_host.select("host", F.col("host_pages").alias("pages"), "classes"), "classes")
 
+    names = ["host", "number", "path", "chars", "own", "heads", "most"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        faults, slots = set(), set()
+        faults, sums = set(), defaultdict(lambda: [0, 0, 0, 0])
         for whole in batches:
             for b in slices(whole, "html"):
                 for host, page, classes in zip(*(b.column(c).to_pylist() for c in ("host", "html", "classes")), strict=True):
                     texts = frozenset(r for x in classes for r, text in zip(x["roles"], x["text"], strict=True) if text)
-                    bad, own = page_faults(page or "", [x["roles"] for x in classes], texts)
+                    bad, paths = page_faults(page, [x["roles"] for x in classes], texts)
                     faults.update((host, c) for c in bad)
-                    slots.update((host, p) for p in own)
-        if faults or slots:
-            rows = [*((h, c, None) for h, c in faults), *((h, None, p) for h, p in slots)]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "number", "slot"])
-
-    seen = _with_templates(src, found).where("classes IS NOT NULL").select("host", "html", "classes").mapInArrow(check, "host string, number long, slot long")
-    seen = seen.groupBy("host").agg(F.collect_set("number").alias("bad"), F.collect_set("slot").alias("slots"))
+                    for path, x in paths.items():
+                        have = sums[host, path]
+                        have[:3] = [i + j for i, j in zip(have, x[:3], strict=False)]
+                        have[3] = max(have[3], x[3])
+        rows = [*((h, c, *[None] * 5) for h, c in faults), *((h, None, p, *x) for (h, p), x in sums.items())]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = [{x["path"]: (x["chars"], x["heads"], x["most"] == 1) for x in p} for p in b.column("paths").to_pylist()]
+            slots = [[_hash(x["path"]) for x in p if x["own"]] for p in b.column("paths").to_pylist()]
+            yield pa.record_batch([b.column("host"), b.column("bad"), pa.array(slots, pa.list_(pa.int64())), pa.array(list(map(content_region, paths)), pa.string())], names=["host", "bad", "slots", "region"])
+
+    # distinct pages again: copies of one page don't outweigh the others
+    seen = _with_templates(distinct.select("host", "html"), found).where("classes IS NOT NULL").select("host", "html", "classes").mapInArrow(check, "host string, number long, path string, chars long, own long, heads long, most long")
+    seen = stash(seen, "checked")
+    bad = seen.where("number IS NOT NULL").groupBy("host").agg(F.collect_set("number").alias("bad"))
+    sums = seen.where("path IS NOT NULL").groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("chars", "own", "heads")], F.max("most").alias("most"))
+    sums = sums.groupBy("host").agg(F.collect_list(F.struct("path", "chars", "own", "heads", "most")).alias("paths"))  # elements of the template
     none = F.array().cast("array<bigint>")
+    fit = sums.join(bad, "host", "left").select("host", F.coalesce("bad", none).alias("bad"), "paths").mapInArrow(regions, "host string, bad array<long>, slots array<long>, region string")
     valid = F.filter("classes", lambda x, i: ~F.array_contains(F.coalesce("bad", none), i.cast("long")))
-    return stash(found.join(seen, "host", "left").select("host", "pages", valid.alias("classes"), F.coalesce("slots", none).alias("slots")), "templates")
+    return stash(found.join(fit, "host", "left").select("host", "pages", valid.alias("classes"), F.coalesce("slots", none).alias("slots"), F.coalesce("region", F.lit("")).alias("region")), "templates")
 
 
 def host_of() -> Column:
@@ -315,25 +417,26 @@ def host_of() -> Column:
 
 
 def _with_templates(src: DataFrame, templates: DataFrame) -> DataFrame:
-    """Pages with their host's classes (null: none). Templates are broadcast up to a
-    size; beyond it pages are dealt by host, where large hosts can be split."""
+    """Pages (with ``host`` or ``url``) with their host's classes (null: none). Templates are
+    broadcast up to a size; beyond it pages are dealt by host, those of large hosts split."""
     size = templates.agg(F.sum(F.aggregate("classes", F.lit(0), lambda a, x: a + F.size(x.roles)))).first()[0] or 0
-    return src.withColumn("host", host_of()).join(F.broadcast(templates) if size <= BROADCAST_TOKENS else templates, "host", "left")
+    src = src if "host" in src.columns else src.withColumn("host", host_of())
+    return src.join(F.broadcast(templates), "host", "left") if size <= BROADCAST_TOKENS else skew_join(src, templates, ["host"], "left")
 
 
 def main_text(pages: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """``page_id, url, text`` of each row of ``pages`` (``page_id``, ``url``, ``html``)."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     templates = deduce_templates(pages) if templates is None else templates
-    furniture = F.when(F.col("pages") >= MIN_PAGES, F.flatten(F.transform("classes", lambda x: F.arrays_zip(x.roles.alias("roles"), x.text.alias("text")))))
+    furniture = F.flatten(F.transform("classes", lambda x: F.arrays_zip(x.roles.alias("roles"), x.text.alias("text"))))
     furniture = F.transform(F.filter(furniture, lambda x: x["text"]), lambda x: x["roles"])
-    slim = templates.select("host", "classes", furniture.alias("furniture"), "slots")
+    slim = templates.select("host", "classes", furniture.alias("furniture"), "slots", "region")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "html"):
-                columns = (b.column(c).to_pylist() for c in ("html", "furniture", "slots"))
-                texts = [extract(page or "", frozenset(f or ()), frozenset(s or ())) for page, f, s in zip(*columns, strict=True)]
+                columns = (b.column(c).to_pylist() for c in ("html", "furniture", "slots", "region"))
+                texts = [extract(page or "", frozenset(f or ()), frozenset(s or ()), r or "") for page, f, s, r in zip(*columns, strict=True)]
                 yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return _with_templates(src, slim).select("page_id", "url", "html", "furniture", "slots").mapInArrow(run, "page_id long, url string, text string")
+    return _with_templates(src, slim).select("page_id", "url", "html", "furniture", "slots", "region").mapInArrow(run, "page_id long, url string, text string")
