@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, lm_score, mixing, near_dup, pii, quality_rules, token_counts, token_files, warc
-from .common import skew_join, stash, work_dir, words
+from .common import skew_join, stash, work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,25 +57,27 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts of all documents under two tokenizer versions (words; word and symbol
-    pieces), deletes of the documents labelled toxic, and counts of the first version
-    revised to words with a letter or digit; two batches come twice."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    n_words, n_alnum = F.size(words(F.col("text"))), F.size(F.filter(words(F.col("text")), lambda w: w.rlike("[A-Za-z0-9]")))
-    n_pieces = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]+|[0-9]|[!-/:-@\[-`{-~]"))
+    """Inserts of all documents under two tokenizers, deletes of the documents labelled
+    toxic, and counts of the first tokenizer revised to those with an end id; two batches
+    come twice, and the first ones are compacted in between."""
+    files = {"word_bpe_49k": tokenizer_path(), "byte_bpe_50k": tokenizer_path("byte_bpe_50k.json")}
+    keys = ["doc_id", "source", "lang"]
     toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    counts = stash(docs.select("doc_id", "source", "lang", n_words.cast("long").alias("w"), n_alnum.cast("long").alias("a"), n_pieces.cast("long").alias("p")), "counts")
+    counts = stash(token_counts.token_lengths(_table(spark, sf_dir, "documents"), files, keys), "counts")
     gone = counts.join(toxic, "doc_id", "left_semi")
     left = counts.join(toxic, "doc_id", "left_anti")
-    one = lambda rows, op, version, tokens, was=None: token_counts.changes(rows, op, version, F.col(tokens), None if was is None else F.col(was))
+    one = lambda rows, op, version, tokens=None, was=None: token_counts.changes(rows, op, version, F.col(version) if tokens is None else tokens, was)
     rollup = token_counts.Rollup(spark, work_dir(spark, "rollup"))
     batches = {
-        "1-words": one(counts, "insert", "words-1", "w"),
-        "2-pieces": one(counts, "insert", "pieces-1", "p"),
-        "3-toxic": one(gone, "delete", "words-1", "w").unionByName(one(gone, "delete", "pieces-1", "p")),
-        "4-revised": one(left, "revise", "words-1", "a", "w"),
+        "1-words": one(counts, "insert", "word_bpe_49k"),
+        "2-bytes": one(counts, "insert", "byte_bpe_50k"),
+        "3-toxic": one(gone, "delete", "word_bpe_49k").unionByName(one(gone, "delete", "byte_bpe_50k")),
+        "4-revised": one(left, "revise", "word_bpe_49k", F.col("word_bpe_49k") + 1, F.col("word_bpe_49k")),
     }
-    for name in ("1-words", "2-pieces", "2-pieces", "3-toxic", "4-revised", "3-toxic"):
+    for name in ("1-words", "2-bytes", "2-bytes"):
+        rollup.commit(name, batches[name])
+    rollup.compact()
+    for name in ("3-toxic", "1-words", "4-revised", "3-toxic"):
         rollup.commit(name, batches[name])
     return rollup.totals()
 

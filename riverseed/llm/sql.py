@@ -26,15 +26,6 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND
   CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM t
 """
 
-OP7 = rf"""
-WITH c AS (
-  SELECT doc_id, source, lang, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS gone,
-    len(list_filter({_WORDS.format("coalesce(text, '')")}, lambda x: regexp_matches(x, '[A-Za-z0-9]')))::BIGINT AS a,
-    len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|[!-/:-@\[-`{{-~]'))::BIGINT AS p FROM documents),
-v AS (SELECT source, lang, 'words-1' AS version, a AS n FROM c WHERE NOT gone UNION ALL SELECT source, lang, 'pieces-1', p FROM c WHERE NOT gone)
-SELECT source, lang, version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM v GROUP BY ALL
-"""
-
 _ITEM_WORDS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')".format(_LOWER)
 OP9 = f"""
 WITH i AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
@@ -49,4 +40,4 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_near_duplicates": OP4, "op5_warc": OP5, "op7_token_counts": OP7, "op9_decontamination": OP9}
+SQL: dict[str, str] = {"op4_near_duplicates": OP4, "op5_warc": OP5, "op9_decontamination": OP9}

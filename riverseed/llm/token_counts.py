@@ -7,21 +7,31 @@ language and tokenizer version and written as the batch's folder. A batch is
 committed by a marker file of its name; a batch that is already committed is
 left alone, and an uncommitted folder (a lost driver's) is written anew and isn't
 read. Totals are the sums over committed batches: additive, so batches may come
-in any order, and compaction replaces many folders by one.
+in any order. Compaction sums the committed batches into one folder and names them
+in a file of its own; from then on that folder is read in their place, and their
+names stay committed. Whether a reader sees the file or not, the totals are equal.
+
+Counts come from tokenizer files: :func:`token_lengths` encodes whole texts.
 
 Edge cases: null source, language or version are groups of their own; a null
-count is 0; an unknown ``op`` is an error; groups that fall to no documents and
-no tokens are left out of the totals.
+count is 0, so is that of a null or empty text; an unknown ``op`` is an error; groups
+that fall to no documents and no tokens are left out of the totals; repeated rows
+count each; an empty batch commits and changes nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, normal_uri, put_file
+from .common import file_system, normal_uri, put_file, slices
 
 KEYS = ("source", "lang", "version")
 CHANGES = "op string, doc_id long, source string, lang string, version string, tokens long, was long"
@@ -42,13 +52,33 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, normal_uri(folder)
 
-    def committed(self) -> list[str]:
+    def _files(self, what: str) -> list[str]:
         from pyarrow import fs as afs
 
-        fs, path = file_system(f"{self.folder}/_commits")
+        fs, path = file_system(f"{self.folder}/{what}")
         files = fs.get_file_info(afs.FileSelector(path, allow_not_found=True))
         return sorted(f.base_name for f in files if f.type == afs.FileType.File and not f.base_name.startswith("_"))
 
+    def _compacted(self) -> dict:
+        """The folder of the last compaction and the batches that it holds."""
+        found = self._files("_compactions")
+        if not found:
+            return {"folder": None, "batches": []}
+        fs, path = file_system(f"{self.folder}/_compactions/{found[-1]}")
+        with fs.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def committed(self) -> list[str]:
+        return self._files("_commits")
+
+    def compact(self) -> None:
+        """Sum the committed batches into one folder that is read instead of them."""
+        done, number = self.committed(), len(self._files("_compactions"))
+        folder = f"compact-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{self.folder}/{folder}")
+        body = json.dumps({"folder": folder, "batches": done}).encode()
+        put_file(f"{self.folder}/_compactions/{number:08d}-{folder}", lambda s: s.write(body))
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it was applied before."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch):
@@ -60,11 +90,13 @@ class Rollup:
         return True
 
     def totals(self) -> DataFrame:
-        done = self.committed()
+        old = self._compacted()
+        fresh = sorted(set(self.committed()) - set(old["batches"]))
+        folders = [*filter(None, [old["folder"]]), *[f"batch-{b}" for b in fresh]]
         schema = "source string, lang string, version string, docs long, tokens long"
-        if not done:
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        parts = self.spark.read.schema(schema).parquet(*[f"{self.folder}/batch-{b}" for b in done])
+        parts = self.spark.read.schema(schema).parquet(*[f"{self.folder}/{x}" for x in folders])
         return parts.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens")).where("docs != 0 OR tokens != 0")
 
 
@@ -72,3 +104,35 @@ def changes(rows: DataFrame, op: str, version: str, tokens: Column, was: Column
     """Changes of one kind for ``rows`` (``doc_id``, ``source``, ``lang``)."""
     old = F.lit(None).cast("long") if was is None else was.cast("long")
     return rows.select(F.lit(op).alias("op"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("version"), tokens.cast("long").alias("tokens"), old.alias("was"))
+
+
+_TOKENIZERS: dict = {}
+
+
+def tokenizer_for(path: str):
+    """The tokenizer of a file, loaded once in a worker process."""
+    if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
+        from tokenizers import Tokenizer
+
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        _TOKENIZERS[path].encode_special_tokens = True  # their strings in a text are ordinary text
+    return _TOKENIZERS[path]
+
+
+def token_lengths(docs: DataFrame, tokenizers: dict[str, str], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each row and the number of tokens of its whole ``text`` by
+    each tokenizer, ``{name: path of its file}``, as columns of those names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "_text"):
+                texts = [t or "" for t in b.column("_text").to_pylist()]
+                n = [pa.array([len(e) for e in tokenizer_for(p).encode_batch_fast(texts, add_special_tokens=False)], pa.int64()) for p in tokenizers.values()]
+                yield pa.record_batch([*[b.column(c) for c in keep], *n], names=[*keep, *tokenizers])
+
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    schema = rows.select(*keep).schema
+    for name in tokenizers:
+        schema = schema.add(name, "long")
+    return rows.mapInArrow(run, schema)

@@ -396,3 +396,31 @@ def test_rollup(spark):
     assert r.totals().agg(F.sum("docs"), F.sum("tokens")).first() == (len(DOCS) - 1, 5 * len(DOCS) - 5 + 3)
     with pytest.raises(ValueError):
         r.commit("../x", insert)
+    # compaction changes no total and forgets no batch
+    want = sorted(map(str, r.totals().collect()))
+    r.compact()
+    assert sorted(map(str, r.totals().collect())) == want and not r.commit("b2", insert)
+    assert r.commit("b4", insert.where("false")) and sorted(map(str, r.totals().collect())) == want
+    assert r.commit("b5", insert) and r.totals().agg(F.sum("docs")).first()[0] == 2 * len(DOCS) - 1
+    r.compact()
+    assert r.totals().agg(F.sum("docs")).first()[0] == 2 * len(DOCS) - 1
+
+
+def test_token_counts_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    files = {n: Tokenizer.from_file(queries.tokenizer_path(f"{n}.json")) for n in ("word_bpe_49k", "byte_bpe_50k")}
+    want = Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for n, t in files.items():
+            if r.doc_id not in toxic:
+                want[r.source, r.lang, n, "docs"] += 1
+                want[r.source, r.lang, n, "tokens"] += len(t.encode(r.text or "", add_special_tokens=False).ids) + (n == "word_bpe_49k")
+    got = Counter()
+    for r in queries.op7_token_counts(spark, SF).collect():
+        got[r.source, r.lang, r.version, "docs"] += r.docs
+        got[r.source, r.lang, r.version, "tokens"] += r.tokens
+    assert got == want
+    edges = token_counts.token_lengths(table(spark), {"k2": queries.tokenizer_path()}, ["doc_id", "k"]).collect()
+    assert len(edges) == len(DOCS) and {r.k2 for r in edges if r.doc_id in (3, 4, 5)} == {0}
