@@ -71,7 +71,7 @@ def draw_shards(want: np.ndarray, limit: np.ndarray, shard_slots: int, seed: int
         room = np.where(used < limit, np.maximum(left, 0), 0)
         if room.sum() <= 0:
             break
-        size = min(shard_slots, total, max(total // 2, 32))
+        size = min(shard_slots, total, max(total // 2, 4))
         n = np.minimum(rng.multinomial(size, room / room.sum()), limit - used)
         used, left = used + n, left - n
         total -= size

@@ -39,8 +39,9 @@ MEMORY = 1_000_000
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins characters across a space
-    or line feed; the ids of a word are computed once and then looked up.
+    """Ids of whole texts. Of a tokenizer that never joins characters across a space or
+    line feed the ids of a word are computed once and then looked up; whether it is one
+    is tried on probes and on the first texts, and if not, whole texts are encoded.
 
     New words are encoded together, with a mark between them that is a token of its
     own; words that hold the mark are encoded one by one.
@@ -56,10 +57,21 @@ class WordEncoder:
         self.mark = next((c for c, x in ids.items() if len(x) == 1 and self._ids(f"a {c} b").tolist().count(x[0]) == 1), None)
         self.mark_id = ids[self.mark][0] if self.mark else None
         self._forget()
+        self.by_word: bool | None = True
+        probes = ["a b", " a", "a ", "the  cat\nsat\n\non it's 12 mats.", "x\t y", ""]
+        self.by_word = self._agrees(probes) and None  # None: the first texts decide
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _agrees(self, texts: list[str]) -> bool:
+        """Whether words give the ids of the whole texts."""
+        return np.array_equal(self._by_word(texts)[0], self._whole(texts)[0])
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
     def _forget(self) -> None:
         fresh: list[str] = []
 
@@ -94,6 +106,11 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
+        if self.by_word is None and texts:
+            self.by_word = self._agrees(texts[:20])
+        return self._by_word(texts) if self.by_word else self._whole(texts)
+
+    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.places) > MEMORY:
             self._forget()
         split = [t.replace("\n", " ").split(" ") for t in texts]

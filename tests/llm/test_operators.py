@@ -106,6 +106,57 @@ def test_word_encoder_is_whole_text_encoding():
         assert e.encode([s])[0].tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids
 
 
+def test_encoder_of_a_tokenizer_that_joins_spaces():
+    e = token_files.WordEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a b", "  two  spaces\nand lines", "", "the the the"]
+    ids, n = e.encode(texts)
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.by_word is False and ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    w = token_files.WordEncoder(queries.tokenizer_path())
+    w.encode(texts)
+    assert w.by_word is True
+
+
+def test_main_text_brute_force(spark):
+    """The pages of the given tables are one article each; cut it out plainly."""
+    import html
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").join(queries.op1_html_main_text(spark, SF).select("page_id", "text", "n_chars"), "page_id").collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S).group(1)
+        blocks = re.split(r"</?(?:p|h1|h2|ul|ol|li|div|section|blockquote|pre|table|tr|td)\b[^>]*>", inner)
+        lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", x))).split()) for x in blocks]
+        want = "\n".join(x for x in lines if x)
+        assert (r.text, r.n_chars) == (want, len(want))
+
+
+def test_mixture_query_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs}
+    of, total = {r.doc_id: r.source for r in docs}, Counter()
+    for d, n in size.items():
+        total[of[d]] += n
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    capped: dict = {}
+    while True:  # the plain rule: give out what is left by weight, stop those above, again
+        free = [s for s in names if s not in capped]
+        left = sum(total.values()) - sum(capped.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s: 3.0 * total[s] for s in free if share[s] > 3 * total[s]}
+        if not over:
+            break
+        capped |= over
+    want = capped | share
+    runs = [queries.op8_mixture(spark, SF).collect() for _ in range(2)]
+    got = {r.doc_id: r for r in runs[0]}
+    assert {r.doc_id: r.taken for r in runs[1]} == {i: r.taken for i, r in got.items()} and len(runs[0]) == len(docs)
+    taken = Counter()
+    for d, r in got.items():
+        assert (r["size"], r.source_size) == (size[d], total[of[d]]) and math.isclose(r.target, want[of[d]]) and 0 <= r.taken <= 3 * r["size"]
+        taken[of[d]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= max(0.02 * want[s], 128) for s in names)
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "over the lazy dog"), (2, "w5x w6x w7x w8x w9x w10x w11x w12x w13x w14x w15x"), (3, None), (None, "fox"), (4, "!!")], "item_id long, text string")
     got = {(r.doc_id, r.n_words): r for r in decontaminate.decontaminate(table(spark), items).collect()}
