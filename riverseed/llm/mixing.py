@@ -63,8 +63,8 @@ def targets(sizes: dict[str | None, int], most: float = 3.0, weights: tuple[floa
 
 def draw_shards(want: np.ndarray, limit: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
     """Slots of each source (column) in each shard (row): multinomial draws by what is
-    still missing of ``want``, at most ``limit`` in all. The last shards halve, so
-    that what the last draw is off by is small."""
+    still missing of ``want``, and no more than that (a shard is then shorter), at most
+    ``limit`` in all. The last shards halve, so that few slots are left to the last draw."""
     total = int(round(want.sum()))
     rng, left, used, rows = np.random.default_rng(seed), want.astype(float).copy(), np.zeros(len(want), np.int64), []
     while total > 0:
@@ -72,9 +72,9 @@ def draw_shards(want: np.ndarray, limit: np.ndarray, shard_slots: int, seed: int
         if room.sum() <= 0:
             break
         size = min(shard_slots, total, max(total // 2, 4))
-        n = np.minimum(rng.multinomial(size, room / room.sum()), limit - used)
+        n = np.minimum(rng.multinomial(size, room / room.sum()), np.minimum(limit - used, np.ceil(room).astype(np.int64)))
         used, left = used + n, left - n
-        total -= size
+        total -= int(n.sum())
         rows.append(n)
     return np.array(rows, np.int64).reshape(len(rows), len(want))
 
