@@ -38,40 +38,45 @@ def _scores(dq: np.ndarray, dr: np.ndarray, o: Options, limits: bool = True) ->
     return s
 
 
+def tried(total: np.ndarray, seen: np.ndarray, start: int, max_skips: int) -> int:
+    """How many of the candidates, nearest first, are tried: all, or up to the one at which
+    more than ``max_skips`` skips are open. A candidate that a nearer one has as its own
+    predecessor (``seen``) and that isn't the best so far opens a skip, one that is closes one."""
+    better = total > np.maximum.accumulate(np.r_[start, total])[:-1]
+    walk = np.cumsum(np.where(better, -1, seen.astype(np.int64)))
+    over = np.flatnonzero(walk - np.minimum(np.minimum.accumulate(walk), 0) > max_skips)
+    return int(over[0]) if len(over) else len(total)
+
+
 def link(t: np.ndarray, q: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
     """Best score that ends in each anchor and its predecessor (-1: none). Anchors are
-    sorted by target place. The nearest predecessors are tried first; after
-    ``max_skips`` that a later anchor already had, only the best one left is tried."""
+    sorted by target place. The nearest predecessors are tried first; where trying ends
+    early, the anchor of the highest score in reach is tried as well. That anchor is kept
+    until it is out of reach or beaten; then it is the last one of the highest score."""
     n, reach = len(t), max(o.max_target_gap, o.bw)
     f, p = np.full(n, o.span, np.int64), np.full(n, -1, np.int64)
-    low, seen, top = np.searchsorted(t, t - reach), [-1] * n, -1
+    first, top, mark = np.searchsorted(t, t - reach), -1, np.full(n + 1, -1, np.int64)
     for i in range(n):
-        lo = max(int(low[i]), i - o.max_iterations)
-        if lo >= i:
-            top = i
-            continue
-        s = _scores(q[i] - q[lo:i], t[i] - t[lo:i], o)
-        total = s + f[lo:i]
-        best, at, skips, end = o.span, -1, 0, lo
-        for j in (np.flatnonzero(s > NONE)[::-1] + lo).tolist():
-            if (v := int(total[j - lo])) > best:
-                best, at, skips = v, j, max(skips - 1, 0)
-            elif seen[j] == i:
-                skips += 1
-                if skips > o.max_skips:
-                    end = j
-                    break
-            if p[j] >= 0:
-                seen[p[j]] = i
-        if top < 0 or t[i] - t[top] > reach:
-            first = int(low[i])
-            top = first + len(f[first:i]) - 1 - int(np.argmax(f[first:i][::-1]))
-        if 0 <= top < end:
-            v = int(_scores(q[i] - q[top : top + 1], t[i] - t[top : top + 1], o)[0])
-            if v > NONE and v + f[top] > best:
-                best, at = v + int(f[top]), top
-        f[i], p[i] = best, at
-        if f[i] > f[top]:
+        far = int(first[i])
+        lo = max(far, i - o.max_iterations)
+        if lo < i:
+            near = np.arange(i - 1, lo - 1, -1)
+            s = _scores(q[i] - q[near], t[i] - t[near], o)
+            near, s = near[s > NONE], s[s > NONE]
+            total, n_tried = s + f[near], len(near)
+            if n_tried > o.max_skips:
+                mark[p[near]] = i
+                n_tried = tried(total, mark[near] == i, o.span, o.max_skips)
+            pick = near[:n_tried], total[:n_tried]
+            if top < far:
+                top = i - 1 - int(np.argmax(f[far:i][::-1]))
+            if top < (near[n_tried] if n_tried < len(near) else lo):
+                own = _scores(q[i] - q[top : top + 1], t[i] - t[top : top + 1], o)
+                pick = np.r_[pick[0], top], np.r_[pick[1], np.where(own > NONE, own + f[top], NONE)]
+            if len(pick[1]) and pick[1].max() > o.span:
+                k = int(np.argmax(pick[1]))
+                f[i], p[i] = pick[1][k], pick[0][k]
+        if top < far or f[i] > f[top]:
             top = i
     return f, p
 
@@ -151,6 +156,18 @@ def chains(anchors: DataFrame, o: Options) -> DataFrame:
     return groups.where(F.col("n") >= o.min_anchors).drop("n").mapInArrow(run, FIELDS)
 
 
+def fuzzy_lengths(steps: DataFrame, o: Options) -> DataFrame:
+    """``(qid, tid, rev, chain, match_len, block_len)`` from the anchors of chains, rows with
+    ``chain`` and both places: from the span on, each step adds the longer of its distances
+    to the block, and to the match the shorter one twice, once cut to the span."""
+    key = ["qid", "tid", "rev", "chain"]
+    w = Window.partitionBy(*key).orderBy("t_pos", "q_pos")
+    rows = steps.select(*key, (F.col("t_pos") - F.lag("t_pos").over(w)).alias("dt"), (F.col("q_pos") - F.lag("q_pos").over(w)).alias("dq"))
+    short = F.least("dt", "dq")
+    sums = {"match_len": short + F.least(short, F.lit(o.span)), "block_len": F.greatest("dt", "dq")}
+    return rows.groupBy(*key).agg(*[(F.lit(o.span) + F.coalesce(F.sum(v), F.lit(0))).cast("long").alias(c) for c, v in sums.items()])
+
+
 ORDER = ["score", "cnt", "tid", "rev", "rs", "qs", "re", "qe"]
 
 
@@ -185,6 +202,14 @@ def parents_of(rows: list[tuple[int, int, int, int]], o: Options) -> list[list[i
     return out
 
 
+def worth_keeping(r: dict, parent: dict, o: Options) -> bool:
+    """Whether a secondary may stay: of enough score and not its parent over again, or, if
+    asked for, on the other strand and above the least score."""
+    if r["score"] >= o.pri_ratio * parent["score"]:
+        return any(r[c] != parent[c] for c in ("qs", "qe", "tid", "rs", "re"))
+    return o.check_strand and r["rev"] != parent["rev"] and r["score"] > o.min_score
+
+
 def primaries(found: DataFrame, o: Options) -> DataFrame:
     """Ranked chains with ``parent, subsc, n_sub`` (a rank, the best secondary score, the
     secondaries of as many anchors); chains that are not selected go. The chains of one
@@ -199,7 +224,7 @@ def primaries(found: DataFrame, o: Options) -> DataFrame:
                 for r, (parent, sub, n) in zip(rows, links):
                     own = parent == r["rank"]
                     if not own and not o.all_chains and o.pri_ratio > 0:
-                        if second >= o.best_n or r["score"] < o.pri_ratio * rows[parent]["score"]:
+                        if second >= o.best_n or not worth_keeping(r, rows[parent], o):
                             continue
                         second += 1
                     keep.append(r | {"qid": b.column("qid")[i].as_py(), "parent": parent, "subsc": sub, "n_sub": int(n)})
@@ -210,19 +235,27 @@ def primaries(found: DataFrame, o: Options) -> DataFrame:
     return ranked(found).groupBy("qid").agg(F.collect_list(one).alias("a")).mapInArrow(run, f"{FIELDS}, rank int, parent int, subsc long, n_sub int")
 
 
-def mapq(score: Column, cnt: Column, subsc: Column, n_sub: Column, total: Column, rep_len: Column, o: Options) -> Column:
-    """Mapping quality 0 to 60: ``total`` is the query's sum of primary scores."""
+def mapq(score: Column, cnt: Column, subsc: Column, n_sub: Column, total: Column, rep_len: Column, o: Options, alignment: Column | None = None) -> Column:
+    """Mapping quality 0 to 60: ``total`` is the query's sum of primary scores. With an
+    ``alignment`` score that counts twice in place of the chain's; 0 if it isn't positive."""
     uniq = total / (total + rep_len)
     sure = F.least(F.when(score > 100, 1.0).otherwise(0.01 * score) * uniq, F.when(cnt > 10, 1.0).otherwise(0.1 * cnt))
     rival = F.greatest(subsc, F.lit(o.min_score)) / score
-    q = (sure * 40 * (1 - rival) * F.log(score)).cast("int") - (4.343 * F.log(n_sub + 1.0) + 0.499).cast("int")
+    worth = F.log(score) if alignment is None else F.when(alignment > 0, 2 * F.log(alignment)).otherwise(0.0)
+    q = (sure * 40 * (1 - rival) * worth).cast("int") - (4.343 * F.log(n_sub + 1.0) + 0.499).cast("int")
     return F.greatest(F.least(q, F.lit(60)), F.lit(0))
 
 
-def mapped(n: Column, best_q: Column, mean_q: Column, best_c: Column, mean_c: Column, o: Options) -> Column:
+def mapped(n: Column, best_q: Column, mean_q: Column, best_c: Column, mean_c: Column, o: Options, alignment: Column | None = None) -> Column:
     """Whether the best chain of a query is its mapping: a lone chain of enough quality, or
-    a weighted sum over the threshold, or at the end of the read more than that quality."""
+    a weighted sum over the threshold, or at the end of the read more than that quality.
+    With the best ``alignment`` score of its chains: that is enough for a lone chain at
+    ``dtw_min_score``, and takes the place of the quality in the sum, which then needs it."""
     more = lambda mean, best: F.when(best > 0, F.greatest(F.lit(0.0), 1 - mean / best)).otherwise(0.0)
+    if alignment is not None:
+        total = o.w_bestma * alignment / 50 + o.w_bestmq * more(mean_q, best_q) + o.w_bestmc * more(mean_c, best_c)
+        enough = alignment >= o.dtw_min_score
+        return ((n == 1) & ((best_q >= o.min_mapq) | enough)) | ((n > 1) & (total >= o.w_threshold) & enough) | (best_q > o.min_mapq)
     total = o.w_bestq * F.least(best_q / 30, F.lit(1.0)) + o.w_bestmq * more(mean_q, best_q) + o.w_bestmc * more(mean_c, best_c)
     return ((n == 1) & (best_q >= o.min_mapq)) | ((n > 1) & (total >= o.w_threshold)) | (best_q > o.min_mapq)
 
@@ -234,10 +267,11 @@ def decide(selected: DataFrame, rep: DataFrame | None, o: Options) -> DataFrame:
     w = Window.partitionBy("qid")
     own = F.col("parent") == F.col("rank")
     rows = selected.withColumn("rep_len", F.lit(0)) if rep is None else selected.join(rep, "qid", "left").fillna(0, ["rep_len"])
-    rows = rows.withColumn("total", F.sum(F.when(own, F.col("score")).otherwise(0)).over(w))
-    q = mapq(*[F.col(c) for c in ("score", "cnt", "subsc", "n_sub", "total", "rep_len")], o)
+    scored = F.col("alignment_score") if "alignment_score" in selected.columns else None
+    rows = rows.withColumn("total", F.sum(F.when(own, F.col("score")).otherwise(0)).over(w)).withColumn("n_chains", F.count("*").over(w).cast("int"))
+    q = mapq(*[F.col(c) for c in ("score", "cnt", "subsc", "n_sub", "total", "rep_len")], o, scored)
     rows = rows.withColumn("mapq", F.when(own, q).otherwise(0))
     best = lambda c: F.max(F.when(F.col("rank") == 0, F.col(c))).over(w)
-    yes = mapped(F.count("*").over(w), best("mapq"), F.avg("mapq").over(w), best("score"), F.avg("score").over(w), o)
+    yes = mapped(F.count("*").over(w), best("mapq"), F.avg("mapq").over(w), best("score"), F.avg("score").over(w), o, None if scored is None else F.max(scored).over(w))
     rule = F.col("score") >= o.min_score2 if o.all_chains else (F.col("rank") == 0) & yes
     return rows.withColumn("mapped", rule).drop("total")

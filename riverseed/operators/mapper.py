@@ -1,49 +1,82 @@
-"""Whole runs: map texts read as signals to targets, and overlap all with all."""
+"""Whole runs: map texts or raw signals to targets, and overlap all with all."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import Options
-from . import chain, mapping, sketch
+from ..work import stash
+from . import chain, mapping, signal, sketch
 
 
-def n_letters(text: str = "text"):
-    return F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]", "")).cast("int")
+def n_letters(text: str = "text", alphabet: str = "letters"):
+    """Bases of a text."""
+    return F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]" if alphabet == "letters" else r"[\x20\x09-\x0D]", "")).cast("int")
 
 
-def target_index(targets: DataFrame, key: str, o: Options) -> DataFrame:
+def target_index(targets: DataFrame, key: str, o: Options, pore: np.ndarray | None = None) -> DataFrame:
     """``(id, rev, pos, hash)`` seeds of the forward strand and, if set, the reverse one."""
-    make = lambda s: sketch.seeds(targets, key, s, o.w, o.diff, o.fine_range).withColumn("rev", F.lit(s))
+    make = lambda s: sketch.seeds(targets, key, s, o, pore).withColumn("rev", F.lit(s))
     return make(0).unionByName(make(1)) if o.rev_target else make(0)
 
 
-def rare_matches(queries: DataFrame, index: DataFrame, max_occ: int) -> DataFrame:
-    """Anchors with strands. The index is cut to the queries' hashes, then to rare ones."""
-    wanted = index.join(queries.select("hash").distinct(), "hash", "left_semi")
-    rare = mapping.occurrences(wanted).where(F.col("n_occ") <= max_occ).select("hash")
-    t = wanted.join(rare, "hash").select("hash", F.col("id").alias("tid"), "rev", F.col("pos").alias("t_pos"))
-    return queries.select("hash", F.col("id").alias("qid"), F.col("pos").alias("q_pos")).join(t, "hash").drop("hash")
-
-
-def map_reads(reads: DataFrame, read_key: str, targets: DataFrame, target_key: str, o: Options, max_occ: int = 50) -> DataFrame:
-    """A row for each read: its mapping, or nulls if it has none. Null and short texts
-    have no seeds and stay unmapped; places of reverse mappings are on the forward strand."""
-    queries = sketch.seeds(reads, read_key, 0, o.w, o.diff, o.fine_range)
-    index = target_index(targets, target_key, o)
-    found = chain.chains(rare_matches(queries, index, max_occ), o)
-    rep = mapping.repeat_length(queries, index, max_occ, o.span)
-    best = chain.decide(chain.primaries(found, o), rep, o).where("mapped")
-    lengths = targets.select(F.col(target_key).cast("long").alias("tid"), n_letters().alias("t_len"))
-    best = best.join(lengths, "tid")
+def signal_index(samples: DataFrame, o: Options, detect: bool = True) -> DataFrame:
+    """``(id, rev, pos, hash)`` seeds of targets that are signals ``(read_id, pos, pa)``:
+    whole, one strand; ``detect`` off takes samples for events."""
+    whole = Options(**{**vars(o), "adaptive": False, "min_events": 0})
+    return sketch.signal_seeds(signal.chunk_events(samples, whole, detect), o).withColumn("rev", F.lit(0))
+
+
+def limit_of(index: DataFrame, o: Options, max_occ: int | None = None) -> int:
+    """The occurrence limit: as given, or the quantile of the index's own counts."""
+    if max_occ is not None:
+        return max_occ
+    found = mapping.mid_occ(index, o.mid_occ_frac, o.mid_occ_min, o.mid_occ_max).first()[0]
+    return o.mid_occ_min if found is None else found
+
+
+def placed(queries: DataFrame, index: DataFrame, lengths: DataFrame, o: Options, max_occ: int | None) -> DataFrame:
+    """The accepted chains of queries, with ``nc``, the chains of the query, and places of
+    reverse mappings turned to the forward strand; ``lengths`` are ``(tid, t_len)``."""
+    limit = limit_of(index, o, max_occ)
+    found = chain.chains(mapping.seed_matches(queries, index, limit), o)
+    rep = mapping.repeat_length(queries, index, limit, o.span)
+    best = chain.decide(chain.primaries(found, o), rep, o).where("mapped").join(lengths, "tid")
     flip = F.col("rev") == 1
-    best = best.select("qid", "tid", "rev", "score", "cnt", "mapq", "qs", "qe", F.when(flip, F.col("t_len") + 1 - F.col("re")).otherwise(F.col("rs")).alias("rs"), F.when(flip, F.col("t_len") + 1 - F.col("rs")).otherwise(F.col("re")).alias("re"), "t_len")
-    return reads.select(F.col(read_key).cast("long").alias("qid"), n_letters().alias("q_len")).join(best, "qid", "left")
+    back = lambda c: F.col("t_len") + 1 - F.col(c)
+    return best.select("qid", "tid", "rev", "score", "cnt", "mapq", "qs", "qe", F.when(flip, back("re")).otherwise(F.col("rs")).alias("rs"), F.when(flip, back("rs")).otherwise(F.col("re")).alias("re"), "t_len", F.col("n_chains").alias("nc"))
+
+
+def map_reads(reads: DataFrame, read_key: str, targets: DataFrame, target_key: str, o: Options, max_occ: int | None = None, pore: np.ndarray | None = None) -> DataFrame:
+    """A row for each read (of all-against-all settings, for each of its mappings): its
+    mapping, or nulls if it has none. Null and short texts have no seeds and stay unmapped."""
+    queries = sketch.seeds(reads, read_key, 0, o, pore)
+    index = stash(target_index(targets, target_key, o, pore), "index")
+    lengths = targets.select(F.col(target_key).cast("long").alias("tid"), n_letters("text", o.alphabet).alias("t_len"))
+    best = placed(stash(queries, "seeds"), index, lengths, o, max_occ)
+    return reads.select(F.col(read_key).cast("long").alias("qid"), n_letters("text", o.alphabet).alias("q_len")).join(best, "qid", "left")
+
+
+def map_signals(samples: DataFrame, index: DataFrame, lengths: DataFrame, o: Options, max_occ: int | None = None, detect: bool = True, signal_targets: bool = False) -> DataFrame:
+    """A row for each read of raw signal ``(read_id, pos, pa)``: chunks to events to seeds to
+    chains on an ``index`` ``(id, rev, pos, hash)`` with ``lengths`` ``(tid, t_len)``. Beside the
+    mapping: ``ci`` chunks, ``sl`` samples, ``nc`` chains and the ``events`` counted. Places on
+    the read are scaled from events to bases by the samples a base takes, unless the targets
+    are signals."""
+    chunks = stash(signal.chunk_events(samples, o, detect), "chunks")
+    index = stash(index, "index")
+    best = placed(stash(sketch.signal_seeds(chunks, o), "seeds"), index, lengths, o, max_occ)
+    per = chunks.groupBy(F.col("read_id").cast("long").alias("qid")).agg(F.count("*").cast("int").alias("ci"), F.sum("n_samples").alias("sl"), F.sum(F.when(F.col("used"), F.col("n_events")).otherwise(0)).alias("events"))
+    rows = per.join(best, "qid", "left")
+    scale = F.lit(1.0) if signal_targets else F.when(F.col("events") > 0, F.col("sl") / F.col("events") / F.lit(o.sample_per_base)).otherwise(0.0)
+    at = {c: (scale * F.col(c)).cast("int") for c in ("qs", "qe")}
+    return rows.withColumns({"q_len": (scale * F.coalesce("qe", "events") if not signal_targets else F.col("events")).cast("int")}).withColumns(at)
 
 
-def overlap(reads: DataFrame, key: str, o: Options, max_occ: int = 10) -> DataFrame:
+def overlap(reads: DataFrame, key: str, o: Options, max_occ: int | None = None) -> DataFrame:
     """Chains between reads, each pair once, of at least the second score limit."""
-    index = sketch.seeds(reads, key, 0, o.w, o.diff, o.fine_range)
-    anchors = mapping.all_pairs(index, max_occ).withColumn("rev", F.lit(0))
+    index = stash(sketch.seeds(reads, key, 0, o), "index")
+    anchors = mapping.all_pairs(index, limit_of(index, o, max_occ)).withColumn("rev", F.lit(0))
     return chain.chains(anchors, o).where(F.col("score") >= o.min_score2)

@@ -5,18 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..work import stash
+
 
 def occurrences(index: DataFrame) -> DataFrame:
     return index.groupBy("hash").agg(F.count("*").alias("n_occ"))
 
 
+#: Hashes that may be broadcast (16 bytes each).
+BROADCAST_HASHES = 4_000_000
+
+
+def _hint(hashes: DataFrame) -> DataFrame:
+    """A written table of distinct hashes, broadcast if they are few enough."""
+    return F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
+
+
+def shared_seeds(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """The index's seeds of hashes that the queries have, written; a filter of the scan as
+    long as the queries' hashes can be broadcast."""
+    return stash(index.join(_hint(stash(queries.select("hash").distinct(), "hashes")), "hash", "left_semi"), "shared")
+
+
+def frequent(seeds: DataFrame, max_occ: int) -> DataFrame:
+    """Hashes of more than ``max_occ`` of the seeds, at most ``seeds / max_occ``."""
+    return stash(occurrences(seeds).where(F.col("n_occ") > max_occ).select("hash"), "frequent")
+
+
 def seed_matches(queries: DataFrame, index: DataFrame, max_occ: int) -> DataFrame:
-    """Anchors ``(qid, q_pos, tid, t_pos)``: equal hashes of at most ``max_occ`` places.
-    The index is cut to the queries' hashes and to rare ones before the join."""
-    wanted = index.join(queries.select("hash").distinct(), "hash", "left_semi")
-    rare = occurrences(wanted).where(F.col("n_occ") <= max_occ).select("hash")
-    t = wanted.join(rare, "hash").select("hash", F.col("id").alias("tid"), F.col("pos").alias("t_pos"))
-    return queries.select("hash", F.col("id").alias("qid"), F.col("pos").alias("q_pos")).join(t, "hash").drop("hash")
+    """Anchors ``(qid, q_pos, tid, t_pos)``, and ``rev`` if the index has it: equal hashes of
+    at most ``max_occ`` places. The index is cut to the queries' hashes first; frequent
+    hashes are counted with sums before the shuffle and leave both sides before the join,
+    so that none of them makes a large task."""
+    queries = stash(queries, "queries")
+    found = shared_seeds(queries, index)
+    often = _hint(frequent(found, max_occ))
+    extra = [c for c in ("rev",) if c in index.columns]
+    t = found.join(often, "hash", "left_anti").select("hash", F.col("id").alias("tid"), *extra, F.col("pos").alias("t_pos"))
+    q = queries.join(often, "hash", "left_anti")
+    return q.select("hash", F.col("id").alias("qid"), F.col("pos").alias("q_pos")).join(t, "hash").drop("hash")
 
 
 def diagonal_bins(anchors: DataFrame, width: int = 25) -> DataFrame:
@@ -65,7 +92,7 @@ def repeat_length(queries: DataFrame, index: DataFrame, max_occ: int, span: int)
     """``(qid, rep_len)``: length covered by the seeds dropped for their occurrences, each
     from its place + 1 over span + 1 places. Intervals that only touch stay apart, which
     leaves the sum as it is."""
-    often = occurrences(index).where(F.col("n_occ") > max_occ).select("hash")
+    often = _hint(frequent(shared_seeds(queries, index), max_occ))
     iv = queries.join(often, "hash", "left_semi").select(F.col("id").alias("qid"), (F.col("pos") + 1).alias("st"), (F.col("pos") + 2 + span).alias("en"))
     before = F.max("en").over(Window.partitionBy("qid").orderBy("st", "en").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.col("en") - F.greatest(F.col("st"), F.coalesce(before, F.col("st"))), F.lit(0))
@@ -75,19 +102,33 @@ def repeat_length(queries: DataFrame, index: DataFrame, max_occ: int, span: int)
 def all_pairs(index: DataFrame, max_occ: int) -> DataFrame:
     """Anchors of all against all: pairs of different owners, the lesser name (in byte
     order) as the query, over hashes of at most ``max_occ`` places."""
+    index = stash(index, "all-seeds")
     rare = occurrences(index).where(F.col("n_occ").between(2, max_occ)).select("hash")
-    kept = index.join(rare, "hash")
+    kept = index.join(_hint(frequent(index, max_occ)), "hash", "left_anti").join(rare, "hash", "left_semi")
     q = kept.select("hash", F.col("id").alias("qid"), F.col("pos").alias("q_pos"))
     t = kept.select("hash", F.col("id").alias("tid"), F.col("pos").alias("t_pos"))
     return q.join(t, "hash").where(F.col("qid").cast("string") < F.col("tid").cast("string")).drop("hash")
 
 
+#: The tags of a mapping, their types and what they are without one.
+TAGS = {"mt": ("f", "0.000000"), "ci": ("i", "1"), "sl": ("i", "0"), "cm": ("i", "0"), "nc": ("i", "0"), "s1": ("i", "0"), "sm": ("f", "0")}
+
+
 def paf(rows: DataFrame) -> DataFrame:
     """The twelve columns and the tags as one tab-separated ``line`` for each row; where
-    ``tid`` is null the read is unmapped and its places are ``*``."""
+    ``tid`` is null the read is unmapped and its places are ``*``. Tags are taken from the
+    columns that there are: milliseconds ``mt`` (6 digits), chunks ``ci``, samples ``sl`` (the
+    read's length if absent), anchors ``cnt``, chains ``nc``, ``score``, mean score ``sm``."""
     star = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
     cols = [F.col("qid").cast("string"), F.col("q_len").cast("string"), star("qs"), star("qe"), F.when(F.col("tid").isNull(), "*").when(F.col("rev") == 1, "-").otherwise("+"), star("tid"), star("t_len"), star("rs"), star("re")]
     n_match = F.coalesce((F.col("qe") - F.col("qs") - 1).cast("string"), F.lit("*"))
     block = F.coalesce((F.col("re") - F.col("rs")).cast("string"), F.lit("*"))
-    tags = [F.concat(F.lit("cm:i:"), F.coalesce("cnt", F.lit(0)).cast("string")), F.concat(F.lit("s1:i:"), F.coalesce("score", F.lit(0)).cast("string"))]
+    source = {"cm": "cnt", "s1": "score", "sl": "sl" if "sl" in rows.columns else "q_len"}
+    shown = {"mt": lambda c: F.format_string("%.6f", c.cast("double")), "sm": lambda c: F.format_string("%.2f", c.cast("double"))}
+    tags = []
+    for tag, (kind, none) in TAGS.items():
+        name = source.get(tag, tag)
+        value = shown.get(tag, lambda c: c.cast("string"))(F.col(name)) if name in rows.columns else F.lit(None)
+        value = F.when(F.col(name).isNotNull(), value) if name in rows.columns else value
+        tags.append(F.concat(F.lit(f"{tag}:{kind}:"), F.coalesce(value, F.lit(none))))
     return rows.select("qid", F.concat_ws("\t", *cols, n_match, block, F.coalesce("mapq", F.lit(0)).cast("string"), *tags).alias("line"))

@@ -1,4 +1,4 @@
-"""Seeds of texts read as bases: letters to k-mer levels to buckets to hashed e-grams."""
+"""Seeds of texts read as bases, and of signals: levels to buckets to hashed e-grams."""
 
 from __future__ import annotations
 
@@ -10,20 +10,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signal_math import hash64_np, pore_levels, quantize_np
+from ..options import Options
 
 K, GRAM = 6, 8
 _DROP = bytes(i for i in range(256) if not (65 <= i <= 90 or 97 <= i <= 122))
-
-
-def bases(text: bytes, strand: int = 0) -> np.ndarray:
-    """Base codes of the text's letters; strand 1 is the reverse complement."""
-    base = (np.frombuffer(text.translate(None, _DROP).lower(), np.uint8).astype(np.int64) - 97) % 4
-    return 3 - base[::-1] if strand else base
+_WHITE = b" \t\r\n\x0b\x0c"
+#: The codes of the bases, U as T, in either case; 4 is any other character.
+BASES = {"A": 0, "C": 1, "G": 2, "T": 3, "U": 3}
+_CODE = np.full(256, 4, np.int64)
+for _c, _v in BASES.items():
+    _CODE[[ord(_c), ord(_c.lower())]] = _v
+
+
+def bases(text: bytes, strand: int = 0, alphabet: str = "letters") -> np.ndarray:
+    """Base codes of a text; strand 1 is the reverse complement. ``dna``: A, C, G, T or U;
+    white space is no base, and any other character leaves the k-mer before it as it is, so
+    it is marked 4. ``letters`` folds all letters to four bases and drops the rest."""
+    if alphabet == "letters":
+        base = (np.frombuffer(text.translate(None, _DROP).lower(), np.uint8).astype(np.int64) - 97) % 4
+    elif alphabet == "dna":
+        base = _CODE[np.frombuffer(text.translate(None, _WHITE), np.uint8)]
+    else:
+        raise ValueError(f"no alphabet {alphabet!r}")
+    return np.where(base[::-1] < 4, 3 - base[::-1], 4) if strand else base
 
 
 def kmer_codes(base: np.ndarray, k: int = K) -> np.ndarray:
-    n = len(base) - k + 1
-    return sum(base[i : n + i] << 2 * (k - 1 - i) for i in range(k)) if n > 0 else np.empty(0, np.int64)
+    """The code at each place that has ``k`` characters up to it: that of the last ``k``
+    bases, fewer at the begin, as characters that are no base are passed over."""
+    if len(base) < k:
+        return np.empty(0, np.int64)
+    known = base < 4
+    real = np.r_[np.zeros(k, np.int64), base[known]]
+    codes = sum(real[i + 1 : len(real) - k + i + 1] << 2 * (k - 1 - i) for i in range(k))
+    return np.r_[0, codes][np.cumsum(known)[k - 1 :]]
 
 
 def revcomp_codes(code: np.ndarray, k: int = K) -> np.ndarray:
@@ -61,45 +81,87 @@ def minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(np.lib.stride_tricks.sliding_window_view(pad, w).max(axis=1) == hashes)
 
 
+def pore_of(model: DataFrame | None, k: int) -> np.ndarray:
+    """Levels by code of a pore model ``(code, level)`` of k-mers, at most ``4**k`` rows; of
+    none the model that is made by rule."""
+    if model is None:
+        return pore_levels(k)
+    out = np.full(4**k, np.nan)
+    for r in model.select("code", "level").collect():
+        out[r.code] = r.level
+    if np.isnan(out).any():
+        raise ValueError(f"the pore model lacks {int(np.isnan(out).sum())} of {4**k} k-mers")
+    return out
+
+
+def buckets_of(values: np.ndarray, o: Options) -> np.ndarray:
+    return quantize_np(values, o.fine_range, o.fine_min, o.fine_max, o.q)
+
+
+def sketch_values(values: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds of a run of events."""
+    at = kept(values, o.diff)
+    h = hash64_np(grams(buckets_of(values[at], o), o.e, o.q))
+    pick = minimizers(h, o.w)
+    return at[: len(h)][pick], h[pick]
+
+
 def seed_hashes(text: bytes, buckets: np.ndarray) -> np.ndarray:
     """Hash of the e-gram that starts at each place of the text's letters."""
     return hash64_np(grams(buckets[kmer_codes(bases(text))]))
 
 
-def sketch(text: bytes, levels: np.ndarray, buckets: np.ndarray, strand: int = 0, w: int = 0, diff: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the seeds of a text read as bases."""
-    code = kmer_codes(bases(text, strand))
-    at = kept(levels[code], diff)
-    h = hash64_np(grams(buckets[code[at]]))
-    pick = minimizers(h, w)
-    return at[: len(h)][pick], h[pick]
+def _flat(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    ids = ids.take(pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found])))
+    return pa.record_batch([ids, *[pa.array(np.concatenate([x[i] for x in found] or [np.empty(0)]).astype(t)) for i, t in ((0, np.int32), (1, np.int64))]], names=["id", "pos", "hash"])
 
 
-def seeds(rows: DataFrame, key: str, strand: int = 0, w: int = 0, diff: float = 0.0, fine_range: float = 0.4) -> DataFrame:
-    """``(id, pos, hash)`` of the whole ``text`` of each row; no shuffle."""
-    levels = pore_levels(K)
-    buckets = quantize_np(levels, fine_range)
+def seeds(rows: DataFrame, key: str, strand: int = 0, o: Options | None = None, pore: np.ndarray | None = None, **how) -> DataFrame:
+    """``(id, pos, hash)`` of the whole ``text`` of each row by the settings ``o`` (regular
+    seeds without collapse if none are given, with ``how`` in their place); no shuffle."""
+    o = Options(**{"w": 0, "diff": 0.0, **how}) if o is None else o
+    levels = pore_levels(o.k) if pore is None else pore
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                found = [sketch(t or b"", levels, buckets, strand, w, diff) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                ids = part.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found])))
-                yield pa.record_batch([ids, *[pa.array(np.concatenate([x[i] for x in found]).astype(t)) for i, t in ((0, np.int32), (1, np.int64))]], names=["id", "pos", "hash"])
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                yield _flat(part.column("id"), [sketch_values(levels[kmer_codes(bases(t or b"", strand, o.alphabet), o.k)], o) for t in texts])
 
     return rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, pos int, hash long")
 
 
-def kmers(rows: DataFrame, key: str) -> DataFrame:
+def signal_seeds(chunks: DataFrame, o: Options) -> DataFrame:
+    """``(id, pos, hash)`` of the used chunks of :func:`signal.chunk_events`; no seed crosses
+    a chunk's border, and places are events of the whole read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("events")
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column("n_events").to_numpy())
+            found = [sketch_values(flat[lo:hi], o) for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
+            yield _flat(b.column("id"), [(p + x, h) for (p, h), x in zip(found, b.column("offset").to_pylist(), strict=True)])
+
+    rows = chunks.where("used").select(F.col("read_id").cast("long").alias("id"), "offset", "n_events", "events")
+    return rows.mapInArrow(run, "id long, pos int, hash long")
+
+
+def kmers(rows: DataFrame, key: str, o: Options | None = None, pore: np.ndarray | None = None) -> DataFrame:
     """``(id, pos, code, rc_code, level)`` of each k-mer of the ``text``."""
-    levels = pore_levels(K)
+    o = o or Options()
+    levels = pore_levels(o.k) if pore is None else pore
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-                code = kmer_codes(bases(t or b""))
-                yield pa.record_batch([pa.array(np.full(len(code), i, np.int64)), pa.array(np.arange(len(code), dtype=np.int32)), pa.array(code), pa.array(revcomp_codes(code)), pa.array(levels[code])], names=["id", "pos", "code", "rc_code", "level"])
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                codes = [kmer_codes(bases(t or b"", 0, o.alphabet), o.k) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                n = [len(c) for c in codes]
+                code = np.concatenate([np.empty(0, np.int64), *codes])
+                pos = np.concatenate([np.empty(0, np.int32), *[np.arange(x, dtype=np.int32) for x in n]])
+                ids = part.column("id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.record_batch([ids, pa.array(pos), pa.array(code), pa.array(revcomp_codes(code, o.k)), pa.array(levels[code])], names=["id", "pos", "code", "rc_code", "level"])
 
     return rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, pos int, code long, rc_code long, level double")
 
@@ -107,12 +169,18 @@ def kmers(rows: DataFrame, key: str) -> DataFrame:
 def collapse(rows: DataFrame, diff: float) -> DataFrame:
     """``(read_id, pos, z)`` rows that differ by ``diff`` from the last one kept of their
     read, numbered by ``ev``. A read's values meet in one row (its length bounds that)."""
+    from .signal import rows_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                s = sorted((x["pos"], x["z"]) for x in b.column("s")[i].as_py())
-                at = kept(np.array([z for _, z in s]), diff)
-                yield pa.record_batch([pa.array([b.column("read_id")[i].as_py()] * len(at), pa.int64()), pa.array([s[j][0] for j in at], pa.int32()), pa.array([s[j][1] for j in at], pa.float64()), pa.array(range(len(at)), pa.int32())], names=["read_id", "pos", "z", "ev"])
-
-    return rows.groupBy("read_id").agg(F.collect_list(F.struct("pos", "z")).alias("s")).mapInArrow(run, "read_id long, pos int, z double, ev int")
+            pos, zs, n = [], [], []
+            for p, z in rows_of(b.column("s"), "pos", "z"):
+                at = kept(z, diff)
+                pos.append(p[at])
+                zs.append(z[at])
+                n.append(len(at))
+            ids = b.column("read_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            ev = np.concatenate([np.empty(0, np.int32), *[np.arange(x, dtype=np.int32) for x in n]])
+            yield pa.record_batch([ids, pa.array(np.concatenate([np.empty(0, np.int32), *pos]).astype(np.int32)), pa.array(np.concatenate([np.empty(0), *zs])), pa.array(ev)], names=["read_id", "pos", "z", "ev"])
+
+    return rows.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "z"))).alias("s")).mapInArrow(run, "read_id long, pos int, z double, ev int")

@@ -17,6 +17,7 @@ class Options:
     fine_min: float = -2.0
     fine_max: float = 2.0
     fine_range: float = 0.4
+    alphabet: str = "letters"
     rev_target: bool = True
     seg_windows: tuple[int, int] = (3, 9)
     seg_thresholds: tuple[float, float] = (4.0, 3.5)
@@ -33,6 +34,7 @@ class Options:
     min_anchors: int = 2
     min_score: int = 15
     min_score2: int = 0
+    check_strand: bool = False
     gap_scale: float = 0.8
     skip_scale: float = 0.0
     rmq: bool = False
@@ -44,9 +46,11 @@ class Options:
     min_mapq: int = 2
     max_chunks: int = 10
     chunk_size: int = 4000
+    sample_per_base: float = 4000 / 450
     w_bestq: float = 0.35
     w_bestmq: float = 0.05
     w_bestmc: float = 0.6
+    w_bestma: float = 0.2
     w_threshold: float = 0.45
     all_chains: bool = False
     adaptive: bool = True

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.signal_math import hash64, quantize
-from ..operators import mapping, signal, sketch
+from ..operators import evaluate, mapping, signal, sketch
+from ..options import options
 
 FLAGSHIP = "map_passages"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +90,9 @@ def q07_tstat_long(spark, sf_dir):
 
 @_query()
 def q08_peaks_and_events(spark, sf_dir):
-    return signal.events(_samples(spark, sf_dir), thresholds=(1.5, 1.5)).withColumn("ev", F.round("ev", 6))
+    """Events of chunks of 4,000 values; thresholds for values that are noisier than signals."""
+    o = options(seg_thresholds=(1.5, 1.5), min_events=0)
+    return signal.events(_samples(spark, sf_dir), o).withColumn("ev", F.round("ev", 6))
 
 
 def _quantize_sql(z: str, fr: float) -> str:
@@ -129,13 +132,17 @@ def q18_hash64(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("key")).distinct().withColumn("hash", hash64(F.col("key")))
 
 
-_PORE = f"codes AS (SELECT range::BIGINT AS code FROM range(4096)), {_hash_ctes('codes', 'code', 'code', 'p')}, lv AS (SELECT code, (k % 10000) / 100.0::DOUBLE AS level FROM p7), st AS (SELECT avg(level) AS a, stddev_pop(level) AS d FROM lv), pore AS (SELECT code, (level - a) / d AS z FROM lv, st), pq AS (SELECT code, {_quantize_sql('z', 0.4)} AS b FROM pore)"
+def _pore(fine_range: float) -> str:
+    return f"codes AS (SELECT range::BIGINT AS code FROM range(4096)), {_hash_ctes('codes', 'code', 'code', 'p')}, lv AS (SELECT code, (k % 10000) / 100.0::DOUBLE AS level FROM p7), st AS (SELECT avg(level) AS a, stddev_pop(level) AS d FROM lv), pore AS (SELECT code, (level - a) / d AS z FROM lv, st), pq AS (SELECT code, {_quantize_sql('z', fine_range)} AS b FROM pore)"
 
 
-def _seed_ctes(table: str, key: str, n: str) -> str:
+_PORE = _pore(0.4)
+
+
+def _seed_ctes(table: str, key: str, n: str, e: int = 8) -> str:
     base = f"{n}t AS (SELECT {key}::BIGINT AS id, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM {table}), {n}l AS (SELECT id, p, (ascii(s[p]) - 97) % 4 AS c FROM (SELECT id, s, unnest(range(1, length(s) + 1)) AS p FROM {n}t))"
     code = " + ".join(f"lead(c, {i}) OVER w * {4 ** (5 - i)}" for i in range(6))
-    gram = " + ".join(f"(lead(b, {i}) OVER w)::BIGINT * {16 ** (7 - i)}" for i in range(8))
+    gram = " + ".join(f"(lead(b, {i}) OVER w)::BIGINT * {16 ** (e - 1 - i)}" for i in range(e))
     return f"{base}, {n}k AS (SELECT id, p, {code} AS code FROM {n}l WINDOW w AS (PARTITION BY id ORDER BY p)), {n}q AS (SELECT id, p, b FROM {n}k JOIN pq USING (code)), {n}g AS (SELECT id, p, {gram} AS gram FROM {n}q WINDOW w AS (PARTITION BY id ORDER BY p)), {n}f AS (SELECT id, (p - 1)::INT AS pos, gram FROM {n}g WHERE gram IS NOT NULL), {_hash_ctes(n + 'f', 'gram', 'id, pos', n + 'h')}, {n} AS (SELECT id, pos, k AS hash FROM {n}h7)"
 
 
@@ -173,21 +180,9 @@ def map_passages(spark, sf_dir):
     return mapping.best_placement(mapping.diagonal_bins(_anchors(spark, sf_dir)))
 
 
-@_query("SELECT label, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'tp' WHEN quality = 0 AND toxic = 0 THEN 'fp' WHEN quality = 1 THEN 'fn' ELSE 'tn' END AS label FROM labels) GROUP BY label")
-def q46_confusion(spark, sf_dir):
-    label = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "tp").when((F.col("quality") == 0) & (F.col("toxic") == 0), "fp").when(F.col("quality") == 1, "fn").otherwise("tn")
-    counts = _table(spark, sf_dir, "labels").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
-
-
 @_query("SELECT l_returnflag AS tool, round(avg(1000 * l_extendedprice / l_quantity), 3) AS mean_rate, round(median(1000 * l_extendedprice / l_quantity), 3) AS median_rate FROM lineitem WHERE l_quantity > 0 GROUP BY l_returnflag")
 def q48_throughput(spark, sf_dir):
-    rate = 1000 * F.col("l_extendedprice") / F.col("l_quantity")
-    return _table(spark, sf_dir, "lineitem").where("l_quantity > 0").groupBy(F.col("l_returnflag").alias("tool")).agg(F.round(F.avg(rate), 3).alias("mean_rate"), F.round(F.median(rate), 3).alias("median_rate"))
-
-
-@_query("SELECT source AS target, count(*)::BIGINT AS reads, round(count(*) / sum(count(*)) OVER (), 6) AS read_share, round(sum(n_chars) / sum(sum(n_chars)) OVER (), 6) AS base_share FROM documents GROUP BY source")
-def q51_relative_abundance(spark, sf_dir):
-    g = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("target")).agg(F.count("*").alias("reads"), F.sum("n_chars").alias("b"))
-    w = Window.partitionBy()
-    return g.select("target", "reads", F.round(F.col("reads") / F.sum("reads").over(w), 6).alias("read_share"), F.round(F.col("b") / F.sum("b").over(w), 6).alias("base_share"))
+    """Mappings by tool: return flags for tools, prices for bases, quantities for milliseconds."""
+    t = _table(spark, sf_dir, "lineitem").where("l_quantity > 0")
+    rows = t.select(F.col("l_returnflag").alias("tool"), F.col("l_extendedprice").alias("q_len"), F.col("l_quantity").alias("mt"))
+    return evaluate.throughput(rows, ["tool"]).select("tool", F.round("mean_bases", 3).alias("mean_rate"), F.round("median_bases", 3).alias("median_rate"))

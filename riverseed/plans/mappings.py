@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.signal_math import hash64, quantize
-from ..operators import chain, dtw, mapper, mapping, sketch
+from ..operators import chain, dtw, evaluate, mapper, mapping, sketch
 from ..options import options
+from ..work import stash
 from ..streaming import until
 from ..streaming.reads import stream_map
-from .catalogue import _ANCHORS, _BINS, _PORE, _Q, _S, _T, _Z, MAX_OCC, _anchors, _hash_ctes, _quantize_sql, _query, _samples, _table, q03_zscore_clip
+from .catalogue import _ANCHORS, _BINS, _PORE, _Q, _S, _T, _Z, MAX_OCC, _anchors, _hash_ctes, _pore, _quantize_sql, _query, _samples, _seed_ctes, _table, q03_zscore_clip
 
 DIFF, GRAM, WINDOW = 0.35, 6, 5
 SPAN = sketch.K + sketch.GRAM - 1
@@ -224,16 +225,16 @@ _PAFSQL = f"pf AS (SELECT i.item_id::BIGINT AS qid, {_LEN} AS q_len, d.* EXCLUDE
 def _paf_rows(spark, sf_dir):
     reads = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("qid"), mapper.n_letters().alias("q_len"))
     lengths = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("tid"), mapper.n_letters().alias("t_len"))
-    best = _decisions(spark, sf_dir).where("mapped").withColumn("rev", F.lit(0)).withColumn("cnt", F.col("score")).join(lengths, "tid")
+    best = _decisions(spark, sf_dir).where("mapped").withColumns({"rev": F.lit(0), "cnt": F.col("score"), "nc": F.col("n")}).join(lengths, "tid")
     return reads.join(best, "qid", "left")
 
 
-@_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG}, {_QUAL}, {_DEC}, {_PAFSQL} SELECT qid, concat_ws(chr(9), qid, q_len, qs, qe, '+', tid, t_len, rs, re, qe - qs - 1, re - rs, mapq, 'cm:i:' || score, 's1:i:' || score) AS line FROM pf JOIN tl USING (tid)")
+@_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG}, {_QUAL}, {_DEC}, {_PAFSQL} SELECT qid, concat_ws(chr(9), qid, q_len, qs, qe, '+', tid, t_len, rs, re, qe - qs - 1, re - rs, mapq, 'mt:f:0.000000', 'ci:i:1', 'sl:i:' || q_len, 'cm:i:' || score, 'nc:i:' || n, 's1:i:' || score, 'sm:f:0') AS line FROM pf JOIN tl USING (tid)")
 def q39_paf_rows(spark, sf_dir):
     return mapping.paf(_paf_rows(spark, sf_dir).where("tid IS NOT NULL"))
 
 
-@_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG}, {_QUAL}, {_DEC}, {_PAFSQL} SELECT qid, concat_ws(chr(9), qid, q_len, '*', '*', '*', '*', '*', '*', '*', '*', '*', 0, 'cm:i:0', 's1:i:0') AS line FROM pf WHERE tid IS NULL")
+@_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG}, {_QUAL}, {_DEC}, {_PAFSQL} SELECT qid, concat_ws(chr(9), qid, q_len, '*', '*', '*', '*', '*', '*', '*', '*', '*', 0, 'mt:f:0.000000', 'ci:i:1', 'sl:i:' || q_len, 'cm:i:0', 'nc:i:0', 's1:i:0', 'sm:f:0') AS line FROM pf WHERE tid IS NULL")
 def q40_paf_unmapped(spark, sf_dir):
     return mapping.paf(_paf_rows(spark, sf_dir).where("tid IS NULL"))
 
@@ -282,37 +283,57 @@ def q45_dtw_rescore(spark, sf_dir):
     return scored.select("qid", "tid", "score", "n_aligned", F.round("cost", 6).alias("cost"), F.round("alignment_score", 6).alias("alignment_score"))
 
 
-@_query("WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn FROM labels), p AS (SELECT tp, fp, fn, coalesce(tp / nullif(tp + fp, 0), 0) AS a, coalesce(tp / nullif(tp + fn, 0), 0) AS b FROM c) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(a, 6) AS prec, round(b, 6) AS rec, round(coalesce(2 * a * b / nullif(a + b, 0), 0), 6) AS f1 FROM p")
+#: Tool: the decided bands; truth: the best band of 15 anchors or more. Both with every item.
+_EVAL = f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG}, {_QUAL}, {_DEC}, {_BINS}, tool AS (SELECT item_id::BIGINT AS qid, tid, qs, qe, {_LEN} AS q_len FROM benchmark LEFT JOIN (SELECT * FROM dec WHERE mapped) d ON d.qid = item_id), truth AS (SELECT item_id::BIGINT AS qid, tid FROM benchmark LEFT JOIN (SELECT qid, tid FROM bins WHERE cnt >= 15 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cnt DESC, tid, bin) = 1) b ON b.qid = item_id)"
+_LABELLED = "m AS (SELECT qid, tid, bool_or(f) AS f, bool_or(r) AS r FROM (SELECT qid, tid, true AS f, false AS r FROM tool UNION ALL SELECT qid, tid, false, true FROM truth) GROUP BY ALL), lb AS (SELECT CASE WHEN tid IS NULL THEN 'tn' WHEN f AND r THEN 'tp' WHEN f THEN 'fp' ELSE 'fn' END AS label FROM m), c AS (SELECT count(*) FILTER (label = 'tp') AS tp, count(*) FILTER (label = 'fp') AS fp, count(*) FILTER (label = 'fn') AS fn, count(*) FILTER (label = 'tn') AS tn FROM lb)"
+
+
+def _tool_and_truth(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Mappings of the items by the decision over bands, and by the best large band."""
+    tool = _paf_rows(spark, sf_dir).select("qid", "tid", "qs", "qe", "q_len")
+    best = mapping.best_placement(mapping.diagonal_bins(_anchors(spark, sf_dir))).select("qid", "tid")
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("qid"))
+    return tool, items.join(best, "qid", "left")
+
+
+@_query(f"{_EVAL}, {_LABELLED} SELECT label, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lb GROUP BY label")
+def q46_confusion(spark, sf_dir):
+    counts = evaluate.classified(*_tool_and_truth(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@_query(f"{_EVAL}, {_LABELLED}, p AS (SELECT tp, fp, fn, coalesce(tp / nullif(tp + fp, 0), 0) AS a, coalesce(tp / nullif(tp + fn, 0), 0) AS b FROM c) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(a, 6) AS prec, round(b, 6) AS rec, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM p")
 def q47_prf1(spark, sf_dir):
-    n = lambda cond: F.count(F.when(F.expr(cond), 1))
-    c = _table(spark, sf_dir, "labels").agg(n("quality = 1 AND toxic = 0").alias("tp"), n("quality = 0 AND toxic = 0").alias("fp"), n("quality = 1 AND toxic <> 0").alias("fn"))
-    safe = lambda x, y: F.when(y != 0, x / y).otherwise(0.0)
-    c = c.withColumn("a", safe(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("b", safe(F.col("tp"), F.col("tp") + F.col("fn")))
-    return c.select("tp", "fp", "fn", F.round("a", 6).alias("prec"), F.round("b", 6).alias("rec"), F.round(safe(2 * F.col("a") * F.col("b"), F.col("a") + F.col("b")), 6).alias("f1"))
+    c = evaluate.confusion(evaluate.classified(*_tool_and_truth(spark, sf_dir)))
+    return c.select("tp", "fp", "fn", *[F.round(x, 6).alias(x) for x in ("prec", "rec", "f1")])
 
 
 @_query("SELECT l_returnflag AS tool, round(avg(l_extendedprice), 3) AS mean_time, round(median(l_extendedprice), 3) AS median_time, round(avg(l_extendedprice / l_quantity), 3) AS mean_chunk_time, round(median(l_extendedprice / l_quantity), 3) AS median_chunk_time FROM lineitem WHERE l_quantity > 0 GROUP BY l_returnflag")
 def q49_time_per_chunk(spark, sf_dir):
-    t, c = F.col("l_extendedprice"), F.col("l_extendedprice") / F.col("l_quantity")
-    aggs = {"mean_time": F.avg(t), "median_time": F.median(t), "mean_chunk_time": F.avg(c), "median_chunk_time": F.median(c)}
-    return _table(spark, sf_dir, "lineitem").where("l_quantity > 0").groupBy(F.col("l_returnflag").alias("tool")).agg(*[F.round(v, 3).alias(k) for k, v in aggs.items()])
+    """Return flags for tools, prices for milliseconds, quantities for chunks."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tool"), F.col("l_extendedprice").alias("mt"), F.col("l_quantity").alias("ci"))
+    names = ("mean_time", "median_time", "mean_chunk_time", "median_chunk_time")
+    return evaluate.times(rows, ["tool"]).select("tool", *[F.round(c, 3).alias(c) for c in names])
 
 
-@_query("SELECT count(*)::BIGINT AS n, round(avg(n_chars), 6) AS mean_all, round(avg(n_chars) FILTER (quality = 1), 6) AS mean_mapped, round(avg(n_chars) FILTER (quality IS DISTINCT FROM 1), 6) AS mean_unmapped FROM documents LEFT JOIN labels USING (doc_id)")
+@_query(f"{_EVAL} SELECT count(*)::BIGINT AS n, round(avg(q_len), 6) AS mean_all, round(avg(q_len) FILTER (tid IS NOT NULL), 6) AS mean_mapped, round(avg(q_len) FILTER (tid IS NULL), 6) AS mean_unmapped FROM tool")
 def q50_bases_mapped_unmapped(spark, sf_dir):
-    """Labelled good documents stand for mapped reads."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
-    good = F.coalesce(F.col("quality") == 1, F.lit(False))
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_all"), F.round(F.avg(F.when(good, F.col("n_chars"))), 6).alias("mean_mapped"), F.round(F.avg(F.when(~good, F.col("n_chars"))), 6).alias("mean_unmapped"))
+    tool, _ = _tool_and_truth(spark, sf_dir)
+    return evaluate.sequenced(tool).select("n", *[F.round(c, 6).alias(c) for c in ("mean_all", "mean_mapped", "mean_unmapped")])
+
+
+@_query(f"{_EVAL}, g AS (SELECT coalesce(source, 'none') AS target, count(*) AS reads, sum(qe - qs) AS b FROM tool JOIN documents ON doc_id = tid WHERE qe >= qs GROUP BY 1) SELECT target, reads::BIGINT AS reads, round(reads / sum(reads) OVER (), 6) AS read_share, round(b / sum(b) OVER (), 6) AS base_share FROM g")
+def q51_relative_abundance(spark, sf_dir):
+    """Mapped items by the source of their documents."""
+    tool, _ = _tool_and_truth(spark, sf_dir)
+    rows = tool.join(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("tid"), "source"), "tid")
+    g = evaluate.relative_abundance(rows, F.coalesce("source", F.lit("none")))
+    return g.select("target", "reads", F.round("read_share", 6).alias("read_share"), F.round("base_share", 6).alias("base_share"))
 
 
-@_query("SELECT count(*) FILTER (m = t)::BIGINT AS tp, count(*) FILTER ((t IS NOT NULL AND m IS DISTINCT FROM t) OR (t IS NULL AND m IS NOT NULL))::BIGINT AS fp, count(*) FILTER (t IS NOT NULL AND m IS NULL)::BIGINT AS fn, count(*) FILTER (t IS NULL AND m IS NULL)::BIGINT AS tn FROM (SELECT quality AS t, CASE WHEN n_chars >= 500 THEN 1 WHEN n_chars < 100 THEN 0 END AS m FROM documents LEFT JOIN labels USING (doc_id))")
+@_query(f"{_EVAL} SELECT count(*) FILTER (m = t)::BIGINT AS tp, count(*) FILTER ((t IS NOT NULL AND m IS DISTINCT FROM t) OR (t IS NULL AND m IS NOT NULL))::BIGINT AS fp, count(*) FILTER (t IS NOT NULL AND m IS NULL)::BIGINT AS fn, count(*) FILTER (t IS NULL AND m IS NULL)::BIGINT AS tn FROM (SELECT tool.tid AS m, truth.tid AS t FROM tool JOIN truth USING (qid))")
 def q52_abundance_accuracy(spark, sf_dir):
-    """Truth by read: an unmapped read that has a truth is both a false positive and negative."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("t")), "doc_id", "left")
-    rows = rows.withColumn("m", F.when(F.col("n_chars") >= 500, 1).when(F.col("n_chars") < 100, 0))
-    conds = {"tp": "m = t", "fp": "(t IS NOT NULL AND NOT (m <=> t)) OR (t IS NULL AND m IS NOT NULL)", "fn": "t IS NOT NULL AND m IS NULL", "tn": "t IS NULL AND m IS NULL"}
-    return rows.agg(*[F.count(F.when(F.expr(c), 1)).alias(k) for k, c in conds.items()])
+    return evaluate.abundance_accuracy(*_tool_and_truth(spark, sf_dir))
 
 
 @_query()
@@ -343,6 +364,77 @@ def q57_overlap_end_to_end(spark, sf_dir):
     return mapper.overlap(_table(spark, sf_dir, "documents"), "doc_id", options("ava"))
 
 
+@_query(f"WITH {_PORE}, {_T} SELECT code::BIGINT AS code, count(*)::BIGINT AS n, round(z, 6) AS z FROM tsk JOIN pore USING (code) GROUP BY code, z")
+def q12_pore_zscore(spark, sf_dir):
+    """The z-scored level of each k-mer that the documents have, and how often they have it."""
+    k = sketch.kmers(_table(spark, sf_dir, "documents"), "doc_id")
+    return k.groupBy("code", "level").agg(F.count("*").alias("n")).select("code", "n", F.round("level", 6).alias("z"))
+
+
+@_query(f"WITH {_PORE}, {_seed_ctes('benchmark', 'item_id', 'vs', 6)} SELECT id, pos, hash FROM vs")
+def q63_sketch_viral(spark, sf_dir):
+    return _items(spark, sf_dir, o=options("viral", diff=0.0))
+
+
+@_query(f"WITH {_pore(0.6)}, {_seed_ctes('benchmark', 'item_id', 'fs', 11)}, {_minimizer_ctes('fs', 3)} SELECT id, pos, hash FROM fsm")
+def q64_sketch_faster(spark, sf_dir):
+    return _items(spark, sf_dir, o=options("faster", diff=0.0))
+
+
+def _simulated(spark, sf_dir) -> DataFrame:
+    """Raw signals of the items, ``(read_id, pos, pa)``: the level of each k-mer held for nine
+    samples with a little noise from a hash, as picoamperes."""
+    k = sketch.kmers(_table(spark, sf_dir, "benchmark"), "item_id")
+    rows = k.select(F.col("id").alias("read_id"), "level", "pos", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))
+    noise = (F.pmod(F.xxhash64("read_id", "pos", "i"), F.lit(1000)) - 500) / 5000.0
+    return rows.select("read_id", (F.col("pos") * 9 + F.col("i")).alias("pos"), (90.0 + 12.0 * (F.col("level") + noise)).alias("pa"))
+
+
+def _signal_options():
+    return options("viral", diff=0.0, fine_range=0.4, min_mapq=1)
+
+
+@_query()
+def q59_map_signals(spark, sf_dir):
+    """Items as raw signals, mapped through chunks, events, seeds and chains to the documents."""
+    o = _signal_options()
+    docs = _table(spark, sf_dir, "documents")
+    lengths = docs.select(F.col("doc_id").cast("long").alias("tid"), mapper.n_letters().alias("t_len"))
+    return mapper.map_signals(_simulated(spark, sf_dir), mapper.target_index(docs, "doc_id", o), lengths, o)
+
+
+@_query()
+def q60_signal_targets(spark, sf_dir):
+    """The values of users as signals, each mapped to an index of those signals."""
+    o = options("viral", seg_thresholds=(1.5, 1.5), min_events=0, diff=0.0, e=4)
+    samples = _samples(spark, sf_dir)
+    lengths = samples.groupBy(F.col("read_id").alias("tid")).agg(F.count("*").cast("int").alias("t_len"))
+    return mapper.map_signals(samples, mapper.signal_index(samples, o), lengths, o, signal_targets=True)
+
+
+@_query()
+def q61_tool_comparison(spark, sf_dir):
+    """Presets as tools, against the mapping of the texts by the best large band."""
+    _, truth = _tool_and_truth(spark, sf_dir)
+    tools = {}
+    for preset in ("sensitive", "fast", "viral"):
+        rows = mapper.map_reads(_table(spark, sf_dir, "benchmark"), "item_id", _table(spark, sf_dir, "documents"), "doc_id", options(preset))
+        tools[preset] = rows.select("qid", "tid", "q_len", F.lit(1.0).alias("mt"), F.lit(1).alias("ci"), F.col("q_len").alias("sl"))
+    out = evaluate.compared(tools, stash(truth, "truth"))
+    return out.select("tool", *evaluate.LABELS, *[F.round(c, 6).alias(c) for c in ("prec", "rec", "f1", "mean_all", "mean_mapped", "mean_unmapped", "mean_all_chunks")])
+
+
+@_query()
+def q62_contamination(spark, sf_dir):
+    """Mappings with the depletion settings to the documents of one source, against the best large band."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = mapper.map_reads(_table(spark, sf_dir, "benchmark"), "item_id", docs, "doc_id", options("viral", depletion=True))
+    _, truth = _tool_and_truth(spark, sf_dir)
+    first = docs.agg(F.min("source").alias("source"))
+    c = evaluate.contamination(rows, truth, docs.join(F.broadcast(first), "source").select(F.col("doc_id").cast("long").alias("tid")))
+    return c.select(*evaluate.LABELS, *[F.round(x, 6).alias(x) for x in ("prec", "rec", "f1")])
+
+
 @_query()
 def q58_stream_map(spark, sf_dir):
     return stream_map(spark, f"{sf_dir}/benchmark.parque[t]", "item_id", _table(spark, sf_dir, "documents"), "doc_id", options("fast", chunk_size=120))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Name endings by format.
@@ -43,7 +43,7 @@ def slow5(spark: SparkSession, path: str) -> DataFrame:
     go by the first eight, which the format fixes."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.slow5").text(path)
     c = F.split("value", "\t")
-    rows = rows.where(~F.col("value").rlike("^[#@]") & (F.trim("value") != "")).select(c[0].alias("read_id"), *[c[i].cast("double").alias(n) for i, n in ((2, "digitisation"), (3, "offset"), (4, "range"))], F.split(c[7], ",").cast("array<double>").alias("raw"))
+    rows = rows.where(~F.col("value").rlike("^[#@]") & (F.trim("value") != "")).select(F.get(c, 0).alias("read_id"), *[F.get(c, i).cast("double").alias(n) for i, n in ((2, "digitisation"), (3, "offset"), (4, "range"))], F.split(F.get(c, 7), ",").cast("array<double>").alias("raw"))
     return rows.select("read_id", calibrated(F.col("raw"), F.col("range") / F.col("digitisation"), F.col("offset")).alias("signal"))
 
 
@@ -62,19 +62,27 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, comment, text, qual)`` of four-line FASTQ files. Records are split where a
-    line ``@`` follows a line break and the third line of the record starts with +. A file
-    is read as one row, since quality lines may start with @ too: keep files moderate."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.expr(r"regexp_extract_all(value, '@[^\\r\\n]*\\r?\\n[^\\r\\n]*\\r?\\n\\+[^\\r\\n]*\\r?\\n[^\\r\\n]*', 0)")).alias("v"))
-    c = F.split("v", r"\r?\n")
-    return rows.select(F.regexp_extract(c[0], r"^@(\S*)", 1).alias("name"), F.regexp_extract(c[0], r"^\S*\s+(.*)$", 1).alias("comment"), F.translate(c[1], "Uu", "Tt").alias("text"), c[3].alias("qual"))
+    """``(name, comment, text, qual)`` of four-line FASTQ files. Records are cut where ``@``
+    follows a line break, so that a file is read in splits. A quality line that starts with
+    ``@`` comes out as a piece of its own, which the piece before it, lacking one, is joined
+    to; at a split's end that is the first piece of the next split."""
+    w = Window.partitionBy("file", "block").orderBy("at")
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("length")]
+    lines = F.split(F.regexp_replace("value", r"[\r\n]+\z", ""), r"\r?\n")
+    rows = spark.read.option("lineSep", "\n@").text(path).select(*block, F.monotonically_increasing_id().alias("at"), lines.alias("c")).where("c[0] <> '' OR size(c) > 1")
+    first = rows.groupBy("file", "block").agg(F.min_by(F.get("c", 0), "at").alias("across")).withColumnRenamed("block", "end")
+    rows = rows.withColumns({"next": F.lead(F.get("c", 0)).over(w), "end": F.col("block") + F.col("length"), "begins": (F.col("block") == 0) & F.lag("at").over(w).isNull()}).where("size(c) >= 3").join(first, ["file", "end"], "left")
+    c = lambda i: F.get("c", i)
+    qual = F.when(F.size("c") >= 4, c(3)).otherwise(F.concat(F.lit("@"), F.coalesce("next", "across")))
+    head = F.when(F.col("begins"), F.regexp_replace(c(0), "^@", "")).otherwise(c(0))  # only a file's first @ is left
+    return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.regexp_extract(head, r"^\S*\s+(.*)$", 1).alias("comment"), F.translate(c(1), "Uu", "Tt").alias("text"), qual.alias("qual"))
 
 
 def pore_model(spark: SparkSession, path: str, level_column: int = 1) -> DataFrame:
     """``(kmer, code, level)`` of a pore model: tab-separated, an optional header line that
     starts with kmer. Codes are base-4 numbers of the k-mers; levels are z-scored."""
     c = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").rlike("(?i)^(kmer|#)") & (F.trim("value") != "")).select(c[0].alias("kmer"), c[level_column].cast("double").alias("x"))
+    rows = spark.read.text(path).where(~F.col("value").rlike("(?i)^(kmer|#)") & (F.trim("value") != "")).select(F.get(c, 0).alias("kmer"), F.get(c, level_column).cast("double").alias("x"))
     code = F.conv(F.translate(F.upper("kmer"), "ACGTU", "01233"), 4, 10).cast("long")
     stats = rows.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
     return rows.select("kmer", code.alias("code"), ((F.col("x") - F.lit(stats.m)) / F.lit(stats.s)).alias("level"))
@@ -84,7 +92,7 @@ def paf(spark: SparkSession, path: str) -> DataFrame:
     """The twelve columns and the tags of PAF files; ``*`` is null."""
     c = F.split("value", "\t")
     kinds = {"qid": "string", "q_len": "long", "qs": "long", "qe": "long", "strand": "string", "tid": "string", "t_len": "long", "rs": "long", "re": "long", "n_match": "long", "block_len": "long", "mapq": "int"}
-    cols = [F.when(c[i] != "*", c[i]).cast(t).alias(n) for i, (n, t) in enumerate(kinds.items())]
+    cols = [F.when(F.get(c, i) != "*", F.get(c, i)).cast(t).alias(n) for i, (n, t) in enumerate(kinds.items())]
     tag = lambda name, kind: F.expr(f"try_cast(nullif(regexp_extract(value, '\\\\t{name}:[a-zA-Z]:([^\\\\t]*)', 1), '') AS {kind})").alias(name)
     return spark.read.text(path).where("trim(value) <> ''").select(*cols, *[tag(n, k) for n, k in (("mt", "double"), ("ci", "int"), ("sl", "int"), ("cm", "int"), ("nc", "int"), ("s1", "int"))])
 

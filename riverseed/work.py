@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
@@ -16,3 +16,10 @@ def work_dir(spark: SparkSession, what: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="riverseed-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, lineage cut."""
+    path = work_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

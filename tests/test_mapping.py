@@ -132,9 +132,12 @@ def test_repeat_length(spark):
 
 def test_paf_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, 50, 2, 40, 0, 7, 900, 10, 48, 9, 60, 33), (2, 20, *[None] * 10)], "qid long, q_len int, qs int, qe int, rev int, tid long, t_len int, rs int, re int, cnt int, mapq int, score int")
+    rows = rows.withColumns({"mt": F.when(F.col("qid") == 1, 1.5), "nc": F.when(F.col("qid") == 1, 3), "sm": F.when(F.col("qid") == 1, 12.346)})
     signals.write_paf(mapping.paf(rows), f"{tmp_path}/out")
     back = signals.paf(spark, f"{tmp_path}/out").orderBy("qid").collect()
-    assert (back[0].qs, back[0].n_match, back[0].block_len, back[0].cm, back[0].s1, back[0].mt) == (2, 37, 38, 9, 33, None)
+    assert (back[0].qs, back[0].n_match, back[0].block_len, back[0].cm, back[0].s1, back[0].mt, back[0].ci, back[0].sl, back[0].nc) == (2, 37, 38, 9, 33, 1.5, 1, 50, 3)
+    lines = [r.line.split("\t")[12:] for r in mapping.paf(rows).orderBy("qid").collect()]
+    assert lines == [["mt:f:1.500000", "ci:i:1", "sl:i:50", "cm:i:9", "nc:i:3", "s1:i:33", "sm:f:12.35"], ["mt:f:0.000000", "ci:i:1", "sl:i:20", "cm:i:0", "nc:i:0", "s1:i:0", "sm:f:0"]]
     assert back[1].tid is None and back[1].strand is None and back[1].mapq == 0
 
 
@@ -145,6 +148,14 @@ def test_sources(spark, tmp_path):
     assert got == [("one", "first", "ACGTac"), ("two", "", "GG>T"), ("three", "", "")]
     (tmp_path / "b.fq").write_text("@r1 x\nACGU\n+\n@@II\n@r2\nGG\n+r2\nII\n")
     assert [tuple(r) for r in signals.fastq(spark, str(tmp_path / "b.fq")).collect()] == [("r1", "x", "ACGT", "@@II"), ("r2", "", "GG", "II")]
+    # in splits of some 40 bytes, with quality lines of any characters
+    rng = np.random.default_rng(1)
+    records = [(f"n{i}", letters(n, rng).upper(), "".join(rng.choice(list("@I+!"), n))) for i, n in enumerate(rng.integers(1, 30, 60))]
+    (tmp_path / "c.fq").write_text("".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in records))
+    for size in ("40b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = [(r.name, r.text, r.qual) for r in signals.fastq(spark, str(tmp_path / "c.fq")).collect()]
+        assert sorted(got) == sorted(records), size
     (tmp_path / "p.tsv").write_text("kmer\tlevel_mean\nAA\t1\nAC\t2\nTT\t3\n")
     pore = signals.pore_model(spark, str(tmp_path / "p.tsv")).orderBy("code").collect()
     assert [r.code for r in pore] == [0, 1, 15] and abs(sum(r.level for r in pore)) < 1e-9
@@ -182,7 +193,7 @@ def test_stream_equals_steps(spark):
     o = options("fast", chunk_size=120)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {tuple(r) for r in reads.stream_map(spark, f"{SF}/benchmark.parque[t]", "item_id", docs, "doc_id", o).collect()}
-    rows = reads.chunk_anchors(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", reads.rare_index(docs, "doc_id", o, 50), o)
+    rows = reads.chunk_anchors(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", reads.rare_index(docs, "doc_id", o), o)
     by = {}
     for r in rows.collect():
         by.setdefault(r.qid, {}).setdefault(r.chunk_no, []).append((r.tid, r.rev, r.t_pos, r.q_pos))
