@@ -457,6 +457,17 @@ def test_rollup(spark):
     assert r.totals().agg(F.sum("docs")).first()[0] == 2 * len(DOCS) - 1
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k", "byte_bpe_50k"])
+def test_token_counter_is_whole_text_encoding(name):
+    c = token_counts.TokenCounter(queries.tokenizer_path(f"{name}.json"))
+    rng, letters = random.Random(5), list("abzAÉß 's'll €†\n\t ́Σς1②<|endoftext|>#!中\U0001f600\x00\u00a0\u3000") + [" ", " ", "the", "ing"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    plain = ["the cats sat, on 12 mats\nand it's well."] * 3
+    got = c.count(plain) + c.count(texts)
+    assert got == [len(c.tokenizer.encode(t, add_special_tokens=False).ids) for t in plain + texts]
+    assert c.words.by_word is (name == "word_bpe_49k") and (c.by_piece or c.words.by_word)
+
+
 def test_token_counts_brute_force(spark):
     from tokenizers import Tokenizer
 
