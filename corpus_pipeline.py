@@ -4,6 +4,12 @@ decontamination, mixing to target weights, token files.
 Each stage takes ``(spark, docs, sf_dir)``: ``docs`` is what the stage before it
 returned, written and read again. All but the last return the columns of
 ``documents``, the mixture also where each row stands in it.
+
+Edge cases: a null, empty or wordless text fails the base rule of the first stage; in
+the second it is in no group and stays, rows equal in id and text stay once, and rows
+that only share an id, or have none, stay apart; in the third it has no passage and
+stays; in the mixture it isn't. Null ids and sources are kept as they are; a table
+without rows gives none in each stage; other columns are left out.
 """
 
 from __future__ import annotations
