@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, lm_score, mixing, near_dup, pii, quality_rules, token_counts, token_files, warc
+from . import decontaminate, html_extract, lm_score, mixing, near_dup, pii, quality_rules, token_counts, token_files, warc, whitening
 from .common import skew_join, stash, work_dir
 
 
@@ -102,7 +102,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_main_text, op2_quality_rules, op3_token_files, op4_near_duplicates, op5_warc, op6_lm_scores, op7_token_counts, op8_mixture, op9_decontamination, op10_personal_data)
+    for f in (op1_html_main_text, op2_quality_rules, op3_token_files, op4_near_duplicates, op5_warc, op6_lm_scores, op7_token_counts, op8_mixture, op9_decontamination, op10_personal_data, op13_whitening)
 }
