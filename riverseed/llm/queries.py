@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, lm_score, mixing, near_dup, pii, quality_model, quality_rules, token_counts, token_files, warc, whitening
+from . import decontaminate, html_extract, lm_score, mixing, near_dup, pii, quality_model, quality_rules, search, token_counts, token_files, warc, whitening
 from .common import skew_join, stash, work_dir
 
 
@@ -108,11 +108,15 @@ def op11_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(in_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_main_text, op2_quality_rules, op3_token_files, op4_near_duplicates, op5_warc, op6_lm_scores, op7_token_counts, op8_mixture, op9_decontamination, op10_personal_data, op11_quality_scores, op13_whitening)
+    for f in (op1_html_main_text, op2_quality_rules, op3_token_files, op4_near_duplicates, op5_warc, op6_lm_scores, op7_token_counts, op8_mixture, op9_decontamination, op10_personal_data, op11_quality_scores, op12_ranked_search, op13_whitening)
 }

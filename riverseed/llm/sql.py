@@ -40,4 +40,19 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_near_duplicates": OP4, "op5_warc": OP5, "op9_decontamination": OP9}
+_TERMS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')".format(_LOWER)
+OP12 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), i AS (SELECT item_id, {_TERMS} AS ts FROM benchmark),
+docs AS (SELECT doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+size AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nt FROM docs),
+tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t),
+q AS (SELECT item_id, t, count(*)::BIGINT AS c FROM (SELECT item_id, unnest(ts) AS t FROM i) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, size),
+s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN tf USING (t) JOIN docs USING (doc_id), size GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op4_near_duplicates": OP4, "op5_warc": OP5, "op9_decontamination": OP9, "op12_ranked_search": OP12}
