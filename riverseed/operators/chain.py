@@ -7,13 +7,17 @@ Ties are broken by score, count, target, strand and place, in that order.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import replace
+from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.range_max import RangeMaxima
 from ..options import Options
 
 NONE = -(2**31)
@@ -82,28 +86,82 @@ def link(t: np.ndarray, q: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarr
 
 
 def link_ranges(t: np.ndarray, q: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
-    """As ``link`` by range maxima: of all predecessors in both gap limits that of the
-    largest ``f + gap / 2 * (t + q)``, and every one within the inner distance."""
-    n, reach = len(t), max(o.max_target_gap, o.bw)
-    f, p = np.full(n, o.span, np.int64), np.full(n, -1, np.int64)
-    low = np.searchsorted(t, t - reach)
+    """As ``link`` by range maxima. Predecessors lie at a lesser target place, within the
+    larger gap limit (or the band) on both sides; a query place may be the same. The one of
+    the largest ``f + gap / 2 * (t + q)``, which a tree over query places gives, is tried
+    first. Unless it fits exactly (no gap, within the span), those before it on the query
+    and within the inner distance on both sides are tried as well, from the next query
+    place down, until skips end it as in ``link``. At most ``rmq_cap`` anchors are in reach,
+    the last ones. Anchors are sorted by target place."""
+    n, reach = len(t), max(o.max_target_gap, o.max_query_gap, o.bw)
+    inner = o.rmq_inner if 0 < o.rmq_inner < reach else 0
+    f, p, mark = np.full(n, o.span, np.int64), np.full(n, -1, np.int64), np.full(n + 1, -1, np.int64)
+    by_query = np.lexsort((np.arange(n), q))
+    place = np.empty(n, np.int64)
+    place[by_query] = np.arange(n)
+    sorted_q = q[by_query]
+    lows, highs = np.searchsorted(sorted_q, q - reach).tolist(), (np.searchsorted(sorted_q, q, "right") - 1).tolist()
+    inner_lows, inner_highs = np.searchsorted(sorted_q, q - inner).tolist(), np.searchsorted(sorted_q, q).tolist()
+    at, ts, qs = place.tolist(), t.tolist(), q.tolist()
+    tree, close = RangeMaxima(n), []  # all in reach; places of those in the inner distance, ascending
+    entered = left = left_inner = 0
     for i in range(n):
-        lo = int(low[i])
-        dq, dr = q[i] - q[lo:i], t[i] - t[lo:i]
-        ok = (dq > 0) & (dq <= max(o.max_query_gap, o.bw)) & (dr > 0)
-        if not ok.any():
+        if ts[entered] != ts[i]:
+            for j in range(entered, i):
+                tree.insert(j, at[j], float(f[j]) + 0.5 * o.gap * (ts[j] + qs[j]))
+                if inner:
+                    insort(close, at[j])
+            entered = i
+        while left < entered and (ts[i] > ts[left] + reach or len(tree) > o.rmq_cap):
+            tree.drop(left, at[left])
+            left += 1
+        while inner and left_inner < entered and (ts[i] > ts[left_inner] + inner or len(close) > o.rmq_cap):
+            del close[bisect_left(close, at[left_inner])]
+            left_inner += 1
+        j = tree.best(lows[i], highs[i])
+        if j < 0:
             continue
-        s = _scores(dq, dr, o, limits=False) + f[lo:i]
-        worth = np.where(ok, f[lo:i] + 0.5 * o.gap * (t[lo:i] + q[lo:i]), -np.inf)
-        tried = ok & (dr <= o.rmq_inner) & (np.abs(dr - dq) <= o.bw)
-        tried[int(np.argmax(worth))] = True
-        s = np.where(tried, s, NONE)
-        at = len(s) - 1 - int(np.argmax(s[::-1]))
-        if s[at] > o.span:
-            f[i], p[i] = s[at], lo + at
+        dq, dr = qs[i] - qs[j], ts[i] - ts[j]
+        dd, dg = abs(dr - dq), min(dr, dq)
+        best, own = o.span, int(f[j]) + min(o.span, dg) - (int(o.gap * dd + o.skip * dg + 0.5 * log2(dd + 1)) if dd or dg > o.span else 0)
+        if dd <= o.bw and own > best:
+            best, p[i] = own, j
+        if inner and (dd or dg > o.span):
+            lo, hi = bisect_left(close, inner_lows[i]), bisect_left(close, inner_highs[i])
+            best = _inner(i, t, q, f, p, mark, by_query, close, lo, hi, best, o)
+        f[i] = best
     return f, p
 
 
+def _inner(i: int, t: np.ndarray, q: np.ndarray, f: np.ndarray, p: np.ndarray, mark: np.ndarray, by_query: np.ndarray, close: list[int], lo: int, hi: int, best: int, o: Options) -> int:
+    """The best score of anchor ``i`` with the predecessors ``close[lo:hi]`` (their places in
+    the order of ``by_query``), in blocks from the last down; sets ``p``."""
+    skips, size = 0, 16
+    while lo < hi:
+        near = by_query[close[max(lo, hi - size) : hi][::-1]]
+        hi, size = hi - len(near), min(2 * size, 1024)
+        dq, dr = q[i] - q[near], t[i] - t[near]
+        ok = np.abs(dr - dq) <= o.bw
+        if not ok.all():
+            near, dq, dr = near[ok], dq[ok], dr[ok]
+        if not len(near):
+            continue
+        total = _scores(dq, dr, o, limits=False) + f[near]
+        mark[p[near]] = i
+        better = total > np.maximum.accumulate(np.r_[best, total])[:-1]
+        walk = skips + np.cumsum(np.where(better, -1, (mark[near] == i).astype(np.int64)))
+        walk -= np.minimum(np.minimum.accumulate(walk), 0)
+        over = np.flatnonzero(walk > o.max_skips)
+        n_tried = int(over[0]) if len(over) else len(near)
+        if n_tried and total[:n_tried].max() > best:
+            at = int(np.argmax(total[:n_tried]))
+            best, p[i] = int(total[at]), near[at]
+        if len(over):
+            break
+        skips = int(walk[-1])
+    return best
+
+
 def trace(f: np.ndarray, p: np.ndarray, o: Options) -> list[tuple[int, list[int]]]:
     """Disjoint chains ``(score, anchors in order)``, best ends first. A chain begins where
     going further back lowers its score by more than the band."""
@@ -130,10 +188,15 @@ def trace(f: np.ndarray, p: np.ndarray, o: Options) -> list[tuple[int, list[int]
 
 
 def chains_of(t: np.ndarray, q: np.ndarray, o: Options) -> list[tuple]:
-    """``(score, cnt, qs, qe, rs, re, anchors)`` of one group of anchors in any order."""
+    """``(score, cnt, qs, qe, rs, re, anchors)`` of one group of anchors in any order. With
+    ``bw_long`` over the band, chains are linked again to longer ones."""
     order = np.lexsort((q, t))
     t, q = t[order], q[order]
     found = trace(*(link_ranges if o.rmq else link)(t, q, o), o)
+    if o.bw_long > o.bw and found:  # the chains' anchors once more, by range maxima in the wider band
+        used = np.sort(np.concatenate([a for _, a in found]))
+        t, q, o = t[used], q[used], replace(o, bw=o.bw_long)
+        found = trace(*link_ranges(t, q, o), o)
     return [(s, len(a), int(q[a[0]]), int(q[a[-1]]) + 1, int(t[a[0]]), int(t[a[-1]]) + 1, [(int(t[x]), int(q[x])) for x in a]) for s, a in found]
 
 

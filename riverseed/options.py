@@ -27,6 +27,7 @@ class Options:
     mid_occ_max: int = 500_000
     min_events: int = 50
     bw: int = 500
+    bw_long: int = 0
     max_target_gap: int = 2500
     max_query_gap: int = 2500
     max_iterations: int = 200
@@ -39,6 +40,7 @@ class Options:
     skip_scale: float = 0.0
     rmq: bool = False
     rmq_inner: int = 1000
+    rmq_cap: int = 100_000
     mask_level: float = 0.5
     mask_len: int = 2**31 - 1
     best_n: int = 0

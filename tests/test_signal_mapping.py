@@ -68,7 +68,7 @@ CHANGES = {
     "seg_windows": ((4, 12), {}), "seg_thresholds": ((1.0, 1.0), {}), "seg_height": (2.0, {}), "min_events": (10**6, {}), "chunk_size": (300, {}), "max_chunks": (1, {"chunk_size": 300}), "adaptive": (False, {"chunk_size": 300}),
     "sample_per_base": (5.0, {}), "mid_occ_frac": (0.9, {"mid_occ_min": 1}), "mid_occ_min": (7, {"mid_occ_frac": 0.99}), "mid_occ_max": (3, {"mid_occ_min": 1}),
     "bw": (3, {}), "max_target_gap": (4, {"bw": 1}), "max_query_gap": (4, {"bw": 1}), "max_iterations": (1, {}), "max_skips": (0, {}), "min_anchors": (60, {}), "min_score": (60, {}), "gap_scale": (30.0, {}), "skip_scale": (30.0, {}),
-    "rmq": (True, {"max_iterations": 1}), "rmq_inner": (1, {"rmq": True}),
+    "rmq": (True, {"max_iterations": 1}), "rmq_inner": (1, {"rmq": True}), "rmq_cap": (1, {"rmq": True}), "bw_long": (100, {"bw": 3}),
     "min_score2": (10**6, {"all_chains": True}), "check_strand": (True, {}), "mask_level": (0.99, {}), "mask_len": (0, {}), "best_n": (5, {}), "pri_ratio": (0.99, {"best_n": 5}), "all_chains": (True, {}),
     "min_mapq": (60, {}), "w_bestq": (0.0, {}), "w_bestmq": (9.0, {}), "w_bestmc": (9.0, {}), "w_threshold": (0.0, {}), "w_bestma": (9.0, {}), "dtw_min_score": (0.0, {}), "dtw_band": (0.5, {}), "dtw_match_bonus": (9.0, {}),
     "su_threshold": (0.0, {}), "su_samples": (2, {}), "su_every": (50, {}), "su_min_reads": (300, {}),
@@ -105,7 +105,7 @@ def test_segment_settings_change_events(spark, name):
     assert found(options(**base)) != found(options(**base | {name: value}))
 
 
-@pytest.mark.parametrize("name", ["bw", "max_target_gap", "max_query_gap", "max_iterations", "max_skips", "min_anchors", "min_score", "gap_scale", "skip_scale", "rmq", "rmq_inner"])
+@pytest.mark.parametrize("name", ["bw", "max_target_gap", "max_query_gap", "max_iterations", "max_skips", "min_anchors", "min_score", "gap_scale", "skip_scale", "rmq", "rmq_inner", "rmq_cap", "bw_long"])
 def test_chain_settings_change_chains(name):
     t = np.sort(RNG.integers(0, 2000, 150))
     q = np.abs(t + RNG.integers(-40, 40, 150))
