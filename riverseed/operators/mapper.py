@@ -41,8 +41,9 @@ def placed(queries: DataFrame, index: DataFrame, lengths: DataFrame, o: Options,
     """The accepted chains of queries, with ``nc``, the chains of the query, and places of
     reverse mappings turned to the forward strand; ``lengths`` are ``(tid, t_len)``."""
     limit = limit_of(index, o, max_occ)
-    found = chain.chains(mapping.seed_matches(queries, index, limit), o)
-    rep = mapping.repeat_length(queries, index, limit, o.span)
+    shared = mapping.share(queries, index, limit)
+    found = chain.chains(mapping.match(shared), o)
+    rep = mapping.repeat_length(shared, o.span)
     best = chain.decide(chain.primaries(found, o), rep, o).where("mapped").join(lengths, "tid")
     flip = F.col("rev") == 1
     back = lambda c: F.col("t_len") + 1 - F.col(c)
@@ -55,7 +56,7 @@ def map_reads(reads: DataFrame, read_key: str, targets: DataFrame, target_key: s
     queries = sketch.seeds(reads, read_key, 0, o, pore)
     index = stash(target_index(targets, target_key, o, pore), "index")
     lengths = targets.select(F.col(target_key).cast("long").alias("tid"), n_letters("text", o.alphabet).alias("t_len"))
-    best = placed(stash(queries, "seeds"), index, lengths, o, max_occ)
+    best = placed(queries, index, lengths, o, max_occ)
     return reads.select(F.col(read_key).cast("long").alias("qid"), n_letters("text", o.alphabet).alias("q_len")).join(best, "qid", "left")
 
 
@@ -67,7 +68,7 @@ def map_signals(samples: DataFrame, index: DataFrame, lengths: DataFrame, o: Opt
     are signals."""
     chunks = stash(signal.chunk_events(samples, o, detect), "chunks")
     index = stash(index, "index")
-    best = placed(stash(sketch.signal_seeds(chunks, o), "seeds"), index, lengths, o, max_occ)
+    best = placed(sketch.signal_seeds(chunks, o), index, lengths, o, max_occ)
     per = chunks.groupBy(F.col("read_id").cast("long").alias("qid")).agg(F.count("*").cast("int").alias("ci"), F.sum("n_samples").alias("sl"), F.sum(F.when(F.col("used"), F.col("n_events")).otherwise(0)).alias("events"))
     rows = per.join(best, "qid", "left")
     scale = F.lit(1.0) if signal_targets else F.when(F.col("events") > 0, F.col("sl") / F.col("events") / F.lit(o.sample_per_base)).otherwise(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,29 +23,89 @@ def _hint(hashes: DataFrame) -> DataFrame:
     return F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
 
 
-def shared_seeds(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """The index's seeds of hashes that the queries have, written; a filter of the scan as
-    long as the queries' hashes can be broadcast."""
-    return stash(index.join(_hint(stash(queries.select("hash").distinct(), "hashes")), "hash", "left_semi"), "shared")
+@dataclass(frozen=True)
+class Shared:
+    """Seeds of queries and the index's seeds of the same hashes, both written, and how many
+    of each a hash has: ``counts`` are ``(hash, nq, nt)``, written once for all that follows."""
 
+    queries: DataFrame
+    index: DataFrame
+    counts: DataFrame
+    max_occ: int
 
-def frequent(seeds: DataFrame, max_occ: int) -> DataFrame:
-    """Hashes of more than ``max_occ`` of the seeds, at most ``seeds / max_occ``."""
-    return stash(occurrences(seeds).where(F.col("n_occ") > max_occ).select("hash"), "frequent")
+    def often(self) -> DataFrame:
+        """Hashes of more than ``max_occ`` places in the index."""
+        return _hint(stash(self.counts.where(F.col("nt") > self.max_occ).select("hash"), "frequent"))
 
 
-def seed_matches(queries: DataFrame, index: DataFrame, max_occ: int) -> DataFrame:
-    """Anchors ``(qid, q_pos, tid, t_pos)``, and ``rev`` if the index has it: equal hashes of
-    at most ``max_occ`` places. The index is cut to the queries' hashes first; frequent
-    hashes are counted with sums before the shuffle and leave both sides before the join,
-    so that none of them makes a large task."""
+def share(queries: DataFrame, index: DataFrame, max_occ: int) -> Shared:
+    """The index is cut to the queries' hashes by a filter of its scan as long as those can
+    be broadcast; hashes are counted with sums before their one shuffle."""
     queries = stash(queries, "queries")
-    found = shared_seeds(queries, index)
-    often = _hint(frequent(found, max_occ))
-    extra = [c for c in ("rev",) if c in index.columns]
-    t = found.join(often, "hash", "left_anti").select("hash", F.col("id").alias("tid"), *extra, F.col("pos").alias("t_pos"))
-    q = queries.join(often, "hash", "left_anti")
-    return q.select("hash", F.col("id").alias("qid"), F.col("pos").alias("q_pos")).join(t, "hash").drop("hash")
+    found = stash(index.join(_hint(stash(queries.select("hash").distinct(), "hashes")), "hash", "left_semi"), "shared")
+    one = queries.select("hash", F.lit(1).alias("q"), F.lit(0).alias("t")).unionByName(found.select("hash", F.lit(0).alias("q"), F.lit(1).alias("t")))
+    return Shared(queries, found, stash(one.groupBy("hash").agg(F.sum("q").alias("nq"), F.sum("t").alias("nt")), "counts"), max_occ)
+
+
+#: Pairs of a hash that one task makes at least; a hash of fewer is never split.
+LEAST_PAIRS = 10_000
+
+
+def pieces(shared: Shared, tasks: int, least: int | None = None) -> DataFrame | None:
+    """``(hash, pq, pt)`` of hashes whose pairs of places are more than a tenth of a task's
+    even share: into how many pieces the queries' and the index's seeds are dealt, so that
+    each pair of pieces has about that many pairs at most. A side is split to the root of
+    that number or left whole where it is shorter, so a seed is copied no oftener than the
+    other side has pieces. There are ten such hashes for each task at most; None if none."""
+    kept = shared.counts.where((F.col("nq") > 0) & F.col("nt").between(1, shared.max_occ)).withColumn("pairs", F.col("nq") * F.col("nt"))
+    total = kept.agg(F.coalesce(F.sum(F.col("pairs").cast("double")), F.lit(0.0))).first()[0]
+    limit = max(total / (10 * max(tasks, 1)), LEAST_PAIRS if least is None else least)
+    side = max(int(limit**0.5), 1)
+    hot = kept.where(F.col("pairs") > limit)
+    longer = F.greatest("nq", "nt")
+    few = F.greatest(F.ceil(F.least("nq", "nt") / side), F.lit(1))  # pieces of the shorter side
+    many = F.greatest(F.ceil(longer * F.ceil(F.least("nq", "nt") / few) / limit), F.lit(1))
+    of_query = F.when(F.col("nq") >= F.col("nt"), many).otherwise(few)
+    of_index = F.when(F.col("nq") >= F.col("nt"), few).otherwise(many)
+    hot = stash(hot.select("hash", of_query.cast("int").alias("pq"), of_index.cast("int").alias("pt")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def match(shared: Shared, least: int | None = None) -> DataFrame:
+    """Anchors ``(qid, q_pos, tid, t_pos)``, and ``rev`` if the index has it: equal hashes of
+    at most ``max_occ`` places. Frequent hashes leave both sides before the join. A hash with
+    many pairs is split on both sides: each seed goes to one piece of its own side and is
+    copied for every piece of the other, so that each pair meets once and no hash makes a
+    large task."""
+    spark = shared.queries.sparkSession
+    often = shared.often()
+    extra = [c for c in ("rev",) if c in shared.index.columns]
+    t = shared.index.join(often, "hash", "left_anti").select("hash", F.col("id").alias("tid"), *extra, F.col("pos").alias("t_pos"))
+    q = shared.queries.join(often, "hash", "left_anti").select("hash", F.col("id").alias("qid"), F.col("pos").alias("q_pos"))
+    hot = pieces(shared, int(spark.conf.get("spark.sql.shuffle.partitions")), least)
+    if hot is None:
+        return q.join(t, "hash").drop("hash")
+    hot = F.broadcast(hot)
+
+    def dealt(rows: DataFrame, own: str, other: str, names: tuple[str, str], of: list[str]) -> DataFrame:
+        rows = rows.join(hot, "hash")
+        rows = rows.withColumn(names[0], F.pmod(F.xxhash64(*of), F.col(own)).cast("int"))
+        return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("pq", "pt")
+
+    whole = lambda rows: rows.join(hot, "hash", "left_anti").withColumns({"a": F.lit(0), "b": F.lit(0)})
+    q = whole(q).unionByName(dealt(q, "pq", "pt", ("a", "b"), ["qid", "q_pos"]))
+    t = whole(t).unionByName(dealt(t, "pt", "pq", ("b", "a"), ["tid", "t_pos", *extra]))
+    return q.join(t, ["hash", "a", "b"]).drop("hash", "a", "b")
+
+
+def seed_matches(queries: DataFrame, index: DataFrame, max_occ: int) -> DataFrame:
+    """:func:`match` of seeds that nothing else is asked of."""
+    return match(share(queries, index, max_occ))
+
+
+def frequent(seeds: DataFrame, max_occ: int) -> DataFrame:
+    """Hashes of more than ``max_occ`` of the seeds, at most ``seeds / max_occ``."""
+    return stash(occurrences(seeds).where(F.col("n_occ") > max_occ).select("hash"), "frequent")
 
 
 def diagonal_bins(anchors: DataFrame, width: int = 25) -> DataFrame:
@@ -66,11 +128,14 @@ def mid_occ(index: DataFrame, frac: float = 0.01, low: int = 50, high: int = 500
     return h.where(F.col("upto") > at).agg(F.least(F.greatest(F.min("n_occ") + 1, F.lit(low)), F.lit(high)).cast("long").alias("mid_occ"))
 
 
-def match_counts(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Anchors of each query and target without a limit, as products of counts by hash:
-    frequent hashes make no pairs of places."""
-    q = queries.groupBy("hash", F.col("id").alias("qid")).agg(F.count("*").alias("nq"))
-    t = index.groupBy("hash", F.col("id").alias("tid")).agg(F.count("*").alias("nt"))
+def match_counts(queries: DataFrame, index: DataFrame, max_occ: int | None = None) -> DataFrame:
+    """Anchors of each query and target as products of counts by hash, over hashes of at
+    most ``max_occ`` places in the index, if given: a hash makes a row for each query and
+    target that have it, no pairs of places."""
+    shared = share(queries, index, 2**62 if max_occ is None else max_occ)
+    often = shared.often()
+    q = shared.queries.join(often, "hash", "left_anti").groupBy("hash", F.col("id").alias("qid")).agg(F.count("*").alias("nq"))
+    t = shared.index.join(often, "hash", "left_anti").groupBy("hash", F.col("id").alias("tid")).agg(F.count("*").alias("nt"))
     return q.join(t, "hash").groupBy("qid", "tid").agg(F.sum(F.col("nq") * F.col("nt")).alias("n_anchors"))
 
 
@@ -88,12 +153,11 @@ def tandem(queries: DataFrame) -> DataFrame:
     return queries.withColumn("tandem", same(F.lag("hash")) | same(F.lead("hash")))
 
 
-def repeat_length(queries: DataFrame, index: DataFrame, max_occ: int, span: int) -> DataFrame:
+def repeat_length(shared: Shared, span: int) -> DataFrame:
     """``(qid, rep_len)``: length covered by the seeds dropped for their occurrences, each
     from its place + 1 over span + 1 places. Intervals that only touch stay apart, which
     leaves the sum as it is."""
-    often = _hint(frequent(shared_seeds(queries, index), max_occ))
-    iv = queries.join(often, "hash", "left_semi").select(F.col("id").alias("qid"), (F.col("pos") + 1).alias("st"), (F.col("pos") + 2 + span).alias("en"))
+    iv = shared.queries.join(shared.often(), "hash", "left_semi").select(F.col("id").alias("qid"), (F.col("pos") + 1).alias("st"), (F.col("pos") + 2 + span).alias("en"))
     before = F.max("en").over(Window.partitionBy("qid").orderBy("st", "en").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.col("en") - F.greatest(F.col("st"), F.coalesce(before, F.col("st"))), F.lit(0))
     return iv.select("qid", new.alias("x")).groupBy("qid").agg(F.sum("x").alias("rep_len"))

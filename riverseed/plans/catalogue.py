@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.signal_math import hash64, quantize
-from ..operators import evaluate, mapping, signal, sketch
+from ..operators import evaluate, mapper, mapping, signal, sketch
 from ..options import options
+from ..work import stash
 
 FLAGSHIP = "map_passages"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MAX_OCC = 50
 
 
 def _query(sql: str | None = None):
@@ -160,11 +160,24 @@ def q23_occ_histogram(spark, sf_dir):
     return mapping.occurrences(sketch.seeds(_table(spark, sf_dir, "documents"), "doc_id")).groupBy("n_occ").agg(F.count("*").alias("n_hashes"))
 
 
-_ANCHORS = f"o AS (SELECT hash FROM ts GROUP BY hash HAVING count(*) <= {MAX_OCC}), an AS (SELECT qs.id AS qid, qs.pos AS q_pos, ts.id AS tid, ts.pos AS t_pos FROM qs JOIN o USING (hash) JOIN ts USING (hash))"
+_LIMIT = "n_of AS (SELECT hash, count(*) AS n_occ FROM ts GROUP BY hash), mo AS (SELECT coalesce(max(least(greatest(n_occ + 1, 50), 500000)), 50) AS most FROM (SELECT n_occ, row_number() OVER (ORDER BY n_occ) - 1 AS i, count(*) OVER () AS n FROM n_of) WHERE i = floor((1 - 0.01)::DOUBLE * n))"
+_ANCHORS = f"{_LIMIT}, o AS (SELECT hash FROM n_of, mo WHERE n_occ <= most), an AS (SELECT qs.id AS qid, qs.pos AS q_pos, ts.id AS tid, ts.pos AS t_pos FROM qs JOIN o USING (hash) JOIN ts USING (hash))"
+
+
+def _index(spark, sf_dir) -> DataFrame:
+    """The seeds of all documents, written once for a query."""
+    return stash(sketch.seeds(_table(spark, sf_dir, "documents"), "doc_id"), "index")
+
+
+def _shared(spark, sf_dir, index: DataFrame | None = None) -> mapping.Shared:
+    """The passages' seeds and those of the index with the same hashes; the occurrence limit
+    follows from the index."""
+    index = _index(spark, sf_dir) if index is None else index
+    return mapping.share(sketch.seeds(_table(spark, sf_dir, "benchmark"), "item_id"), index, mapper.limit_of(index, options()))
 
 
 def _anchors(spark, sf_dir):
-    return mapping.seed_matches(sketch.seeds(_table(spark, sf_dir, "benchmark"), "item_id"), sketch.seeds(_table(spark, sf_dir, "documents"), "doc_id"), MAX_OCC)
+    return mapping.match(_shared(spark, sf_dir))
 
 
 @_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS} SELECT qid, q_pos, tid, t_pos FROM an")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..options import options
 from ..work import stash
 from ..streaming import until
 from ..streaming.reads import stream_map
-from .catalogue import _ANCHORS, _BINS, _PORE, _Q, _S, _T, _Z, MAX_OCC, _anchors, _hash_ctes, _pore, _quantize_sql, _query, _samples, _seed_ctes, _table, q03_zscore_clip
+from .catalogue import _ANCHORS, _BINS, _PORE, _Q, _S, _T, _Z, _anchors, _hash_ctes, _index, _LIMIT, _pore, _quantize_sql, _query, _samples, _seed_ctes, _shared, _table, q03_zscore_clip
 
 DIFF, GRAM, WINDOW = 0.35, 6, 5
 SPAN = sketch.K + sketch.GRAM - 1
@@ -101,9 +103,10 @@ def q24_mid_occ(spark, sf_dir):
     return mapping.mid_occ(_docs(spark, sf_dir))
 
 
-@_query(f"WITH {_PORE}, {_Q}, {_T}, a AS (SELECT hash, id AS qid, count(*) AS nq FROM qs GROUP BY ALL), b AS (SELECT hash, id AS tid, count(*) AS nt FROM ts GROUP BY ALL) SELECT qid, tid, sum(nq * nt)::BIGINT AS n_anchors FROM a JOIN b USING (hash) GROUP BY ALL")
+@_query(f"WITH {_PORE}, {_Q}, {_T}, {_LIMIT}, o AS (SELECT hash FROM n_of, mo WHERE n_occ <= most), a AS (SELECT hash, id AS qid, count(*) AS nq FROM qs SEMI JOIN o USING (hash) GROUP BY ALL), b AS (SELECT hash, id AS tid, count(*) AS nt FROM ts GROUP BY ALL) SELECT qid, tid, sum(nq * nt)::BIGINT AS n_anchors FROM a JOIN b USING (hash) GROUP BY ALL")
 def q25_seed_join(spark, sf_dir):
-    return mapping.match_counts(_items(spark, sf_dir), _docs(spark, sf_dir))
+    index = _index(spark, sf_dir)
+    return mapping.match_counts(_items(spark, sf_dir), index, mapper.limit_of(index, options()))
 
 
 @_query(f"WITH {_PORE}, {_Q} SELECT id, pos, coalesce(lag(hash) OVER w = hash, false) OR coalesce(lead(hash) OVER w = hash, false) AS tandem FROM qs WINDOW w AS (PARTITION BY id ORDER BY pos)")
@@ -117,7 +120,14 @@ _REP = f"f AS (SELECT hash FROM ts GROUP BY hash HAVING count(*) > {_OFTEN}), cv
 
 @_query(f"WITH {_PORE}, {_Q}, {_T}, {_REP} SELECT qid, rep_len FROM rep")
 def q28_repeat_length(spark, sf_dir):
-    return mapping.repeat_length(_items(spark, sf_dir), _docs(spark, sf_dir), _OFTEN, SPAN)
+    return mapping.repeat_length(mapping.share(_items(spark, sf_dir), _docs(spark, sf_dir), _OFTEN), SPAN)
+
+
+def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Anchors, written, and repeat lengths from one sketch of both tables and one count of
+    their hashes; all that a query derives from mappings starts here."""
+    shared = _shared(spark, sf_dir)
+    return stash(mapping.match(shared), "anchors"), mapping.repeat_length(replace(shared, max_occ=_OFTEN), SPAN)
 
 
 @_query(f"WITH {_PORE}, {_T}, {_minimizer_ctes('ts')}, o AS (SELECT hash FROM tsm GROUP BY hash HAVING count(*) BETWEEN 2 AND 10), r AS (SELECT * FROM tsm SEMI JOIN o USING (hash)) SELECT a.id AS qid, b.id AS tid, count(*)::BIGINT AS n FROM r a JOIN r b USING (hash) WHERE a.id::VARCHAR < b.id::VARCHAR GROUP BY ALL")
@@ -158,25 +168,25 @@ def q33_chain_rmq(spark, sf_dir):
 _REG = "reg AS (SELECT qid, tid, floor((t_pos - q_pos) / 25.0)::BIGINT AS bin, count(*)::BIGINT AS score, min(q_pos) AS qs, max(q_pos) + 1 AS qe, min(t_pos) AS rs, max(t_pos) + 1 AS re FROM an GROUP BY ALL HAVING count(*) >= 2), rk AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid, bin) - 1)::INT AS rank FROM reg)"
 
 
-def _regions(spark, sf_dir):
+def _regions(anchors: DataFrame) -> DataFrame:
     places = [F.min("q_pos").alias("qs"), (F.max("q_pos") + 1).alias("qe"), F.min("t_pos").alias("rs"), (F.max("t_pos") + 1).alias("re")]
     bins = F.floor((F.col("t_pos") - F.col("q_pos")) / 25).cast("long").alias("bin")
-    return _anchors(spark, sf_dir).groupBy("qid", "tid", bins).agg(F.count("*").alias("score"), *places).where("score >= 2")
+    return anchors.groupBy("qid", "tid", bins).agg(F.count("*").alias("score"), *places).where("score >= 2")
 
 
-def _band_ranks(spark, sf_dir):
+def _band_ranks(regions: DataFrame) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "tid", "bin")
-    return _regions(spark, sf_dir).withColumn("rank", F.row_number().over(w) - 1)
+    return regions.withColumn("rank", F.row_number().over(w) - 1)
 
 
 @_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG} SELECT qid, tid, bin, score, qs, qe, rs, re FROM reg")
 def q34_chain_regions(spark, sf_dir):
-    return _regions(spark, sf_dir)
+    return _regions(_anchors(spark, sf_dir))
 
 
 @_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG} SELECT qid, tid, bin, score, rank FROM rk")
 def q35_chain_rank(spark, sf_dir):
-    return _band_ranks(spark, sf_dir).select("qid", "tid", "bin", "score", "rank")
+    return _band_ranks(_regions(_anchors(spark, sf_dir))).select("qid", "tid", "bin", "score", "rank")
 
 
 @_query()
@@ -188,12 +198,11 @@ def q36_primary_secondary(spark, sf_dir):
 _QUAL = f"{_REP}, sc AS (SELECT rk.*, coalesce(rep_len, 0) AS rep_len, sum(score) OVER w AS total, coalesce(max(score) FILTER (rank > 0) OVER w, 0) AS sub, count(*) FILTER (rank > 0 AND score >= 30) OVER w AS nsub FROM rk LEFT JOIN rep USING (qid) WINDOW w AS (PARTITION BY qid)), mq AS (SELECT *, greatest(least((trunc(least((CASE WHEN score > 100 THEN 1.0::DOUBLE ELSE 0.01::DOUBLE * score END) * (total / (total + rep_len)), CASE WHEN score > 10 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE * score END) * 40 * (1 - greatest(sub, 15) / score) * ln(score)) - trunc(4.343::DOUBLE * ln(nsub + 1.0) + 0.499::DOUBLE))::INT, 60), 0) AS mapq FROM sc WHERE rank = 0)"
 
 
-def _qualities(spark, sf_dir):
+def _qualities(regions: DataFrame, rep: DataFrame) -> DataFrame:
     """The best band of each query; the others count as its secondaries."""
     w = Window.partitionBy("qid")
     other = F.col("rank") > 0
-    rep = q28_repeat_length(spark, sf_dir)
-    rows = _band_ranks(spark, sf_dir).join(rep, "qid", "left").fillna(0, ["rep_len"])
+    rows = _band_ranks(regions).join(rep, "qid", "left").fillna(0, ["rep_len"])
     rows = rows.select("*", F.sum("score").over(w).alias("total"), F.coalesce(F.max(F.when(other, F.col("score"))).over(w), F.lit(0)).alias("sub"), F.count(F.when(other & (F.col("score") >= 30), 1)).over(w).alias("nsub"))
     q = chain.mapq(F.col("score"), F.col("score"), F.col("sub"), F.col("nsub"), F.col("total"), F.col("rep_len"), options())
     return rows.where("rank = 0").withColumn("mapq", q)
@@ -201,31 +210,33 @@ def _qualities(spark, sf_dir):
 
 @_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG}, {_QUAL} SELECT qid, tid, score, sub, nsub, mapq FROM mq")
 def q37_mapq(spark, sf_dir):
-    return _qualities(spark, sf_dir).select("qid", "tid", "score", "sub", "nsub", "mapq")
+    anchors, rep = _run(spark, sf_dir)
+    return _qualities(_regions(anchors), rep).select("qid", "tid", "score", "sub", "nsub", "mapq")
 
 
 _DEC = "cq AS (SELECT qid, count(*) AS n, avg(score) AS mc FROM rk GROUP BY qid), dec AS (SELECT mq.*, n, (n = 1 AND mapq >= 2) OR (n > 1 AND 0.35::DOUBLE * least(mapq / 30, 1.0::DOUBLE) + 0.05::DOUBLE * (CASE WHEN mapq > 0 THEN greatest(0, 1 - (mapq / n) / mapq) ELSE 0 END) + 0.6::DOUBLE * (CASE WHEN score > 0 THEN greatest(0, 1 - mc / score) ELSE 0 END) >= 0.45::DOUBLE) OR mapq > 2 AS mapped FROM mq JOIN cq USING (qid))"
 
 
-def _decisions(spark, sf_dir):
-    n = _regions(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+def _decisions(anchors: DataFrame, rep: DataFrame) -> DataFrame:
+    regions = stash(_regions(anchors), "regions")
+    n = regions.groupBy("qid").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
     yes = chain.mapped(F.col("n"), F.col("mapq"), F.col("mapq") / F.col("n"), F.col("score"), F.col("mean_score"), options())
-    return _qualities(spark, sf_dir).join(n, "qid").withColumn("mapped", yes)
+    return _qualities(regions, rep).join(n, "qid").withColumn("mapped", yes)
 
 
 @_query(f"WITH {_PORE}, {_Q}, {_T}, {_ANCHORS}, {_REG}, {_QUAL}, {_DEC} SELECT qid, tid, n, mapq, mapped FROM dec")
 def q38_decision(spark, sf_dir):
-    return _decisions(spark, sf_dir).select("qid", "tid", "n", "mapq", "mapped")
+    return _decisions(*_run(spark, sf_dir)).select("qid", "tid", "n", "mapq", "mapped")
 
 
 _LEN = "length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
 _PAFSQL = f"pf AS (SELECT i.item_id::BIGINT AS qid, {_LEN} AS q_len, d.* EXCLUDE (qid) FROM benchmark i LEFT JOIN (SELECT * FROM dec WHERE mapped) d ON d.qid = i.item_id), tl AS (SELECT doc_id::BIGINT AS tid, {_LEN} AS t_len FROM documents)"
 
 
-def _paf_rows(spark, sf_dir):
+def _paf_rows(spark, sf_dir, run: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     reads = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("qid"), mapper.n_letters().alias("q_len"))
     lengths = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("tid"), mapper.n_letters().alias("t_len"))
-    best = _decisions(spark, sf_dir).where("mapped").withColumns({"rev": F.lit(0), "cnt": F.col("score"), "nc": F.col("n")}).join(lengths, "tid")
+    best = _decisions(*(run or _run(spark, sf_dir))).where("mapped").withColumns({"rev": F.lit(0), "cnt": F.col("score"), "nc": F.col("n")}).join(lengths, "tid")
     return reads.join(best, "qid", "left")
 
 
@@ -290,8 +301,9 @@ _LABELLED = "m AS (SELECT qid, tid, bool_or(f) AS f, bool_or(r) AS r FROM (SELEC
 
 def _tool_and_truth(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Mappings of the items by the decision over bands, and by the best large band."""
-    tool = _paf_rows(spark, sf_dir).select("qid", "tid", "qs", "qe", "q_len")
-    best = mapping.best_placement(mapping.diagonal_bins(_anchors(spark, sf_dir))).select("qid", "tid")
+    run = _run(spark, sf_dir)
+    tool = _paf_rows(spark, sf_dir, run).select("qid", "tid", "qs", "qe", "q_len")
+    best = mapping.best_placement(mapping.diagonal_bins(run[0])).select("qid", "tid")
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("qid"))
     return tool, items.join(best, "qid", "left")
 

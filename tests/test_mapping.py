@@ -127,7 +127,7 @@ def test_overlap_takes_each_pair_once(spark):
 def test_repeat_length(spark):
     q = spark.createDataFrame([(1, 0, 5), (1, 3, 5), (1, 50, 5), (1, 70, 6)], "id long, pos int, hash long")
     t = spark.createDataFrame([(9, i, 5) for i in range(4)] + [(9, 9, 6)], "id long, pos int, hash long")
-    assert [tuple(r) for r in mapping.repeat_length(q, t, 3, 10).collect()] == [(1, 3 + 11 + 11)]
+    assert [tuple(r) for r in mapping.repeat_length(mapping.share(q, t, 3), 10).collect()] == [(1, 3 + 11 + 11)]
 
 
 def test_paf_round_trip(spark, tmp_path):
