@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signal_math import hash64_np, pore_levels, quantize_np
 from ..options import Options
+from ..work import spread
 
 K, GRAM = 6, 8
 _DROP = bytes(i for i in range(256) if not (65 <= i <= 90 or 97 <= i <= 122))
@@ -116,9 +117,16 @@ def _flat(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Recor
     return pa.record_batch([ids, *[pa.array(np.concatenate([x[i] for x in found] or [np.empty(0)]).astype(t)) for i, t in ((0, np.int32), (1, np.int64))]], names=["id", "pos", "hash"])
 
 
+def _texts(rows: DataFrame, key: str) -> DataFrame:
+    """``(id, text)``; a stream stays as it is."""
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return rows if rows.isStreaming else spread(rows)
+
+
 def seeds(rows: DataFrame, key: str, strand: int = 0, o: Options | None = None, pore: np.ndarray | None = None, **how) -> DataFrame:
     """``(id, pos, hash)`` of the whole ``text`` of each row by the settings ``o`` (regular
-    seeds without collapse if none are given, with ``how`` in their place); no shuffle."""
+    seeds without collapse if none are given, with ``how`` in their place); no shuffle but
+    that of a small table to all cores."""
     o = Options(**{"w": 0, "diff": 0.0, **how}) if o is None else o
     levels = pore_levels(o.k) if pore is None else pore
 
@@ -129,7 +137,7 @@ def seeds(rows: DataFrame, key: str, strand: int = 0, o: Options | None = None,
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 yield _flat(part.column("id"), [sketch_values(levels[kmer_codes(bases(t or b"", strand, o.alphabet), o.k)], o) for t in texts])
 
-    return rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, pos int, hash long")
+    return _texts(rows, key).mapInArrow(run, "id long, pos int, hash long")
 
 
 def signal_seeds(chunks: DataFrame, o: Options) -> DataFrame:
@@ -163,7 +171,7 @@ def kmers(rows: DataFrame, key: str, o: Options | None = None, pore: np.ndarray
                 ids = part.column("id").take(pa.array(np.repeat(np.arange(len(n)), n)))
                 yield pa.record_batch([ids, pa.array(pos), pa.array(code), pa.array(revcomp_codes(code, o.k)), pa.array(levels[code])], names=["id", "pos", "code", "rc_code", "level"])
 
-    return rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, pos int, code long, rc_code long, level double")
+    return _texts(rows, key).mapInArrow(run, "id long, pos int, code long, rc_code long, level double")
 
 
 def collapse(rows: DataFrame, diff: float) -> DataFrame:

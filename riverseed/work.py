@@ -23,3 +23,17 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes up to which a table in few files is dealt to all cores.
+SMALL_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it comes from fewer files than there are cores and is
+    small: a file of one row group is read by one task. Beyond that the scan's own tasks do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = 0 < len(df.inputFiles()) < cores
+    if not few or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(cores)
