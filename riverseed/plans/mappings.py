@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.signal_math import hash64, quantize
 from ..operators import chain, dtw, evaluate, mapper, mapping, sketch
 from ..options import options
-from ..work import stash
+from ..work import stash, work_dir
 from ..streaming import until
-from ..streaming.reads import stream_map
+from ..streaming.reads import rare_index, stream_map
+from ..streaming.signals import SignalRun, chunk_files
 from .catalogue import _ANCHORS, _BINS, _PORE, _Q, _S, _T, _Z, _anchors, _hash_ctes, _index, _LIMIT, _pore, _quantize_sql, _query, _samples, _seed_ctes, _shared, _table, q03_zscore_clip
 
 DIFF, GRAM, WINDOW = 0.35, 6, 5
@@ -450,3 +451,14 @@ def q62_contamination(spark, sf_dir):
 @_query()
 def q58_stream_map(spark, sf_dir):
     return stream_map(spark, f"{sf_dir}/benchmark.parque[t]", "item_id", _table(spark, sf_dir, "documents"), "doc_id", options("fast", chunk_size=120))
+
+
+@_query()
+def q65_signal_stream(spark, sf_dir):
+    """Items as raw signals that arrive in chunks, eight files of them, mapped as they come;
+    a decided read's later chunks are neither segmented nor sketched."""
+    o = replace(_signal_options(), chunk_size=500, max_chunks=8)
+    chunks = work_dir(spark, "chunk-files")
+    chunk_files(_simulated(spark, sf_dir), o, chunks, 8)
+    index = stash(rare_index(_table(spark, sf_dir, "documents"), "doc_id", o), "index")
+    return SignalRun(spark, index, o).run(chunks)
