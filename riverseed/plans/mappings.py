@@ -453,12 +453,22 @@ def q58_stream_map(spark, sf_dir):
     return stream_map(spark, f"{sf_dir}/benchmark.parque[t]", "item_id", _table(spark, sf_dir, "documents"), "doc_id", options("fast", chunk_size=120))
 
 
+@_query()
+def q66_dtw_diagonal_band(spark, sf_dir):
+    """Each vector against the next within twelve places of the diagonal; the first lacks
+    eight values at both ends, so the corner is sixteen places off and out of reach, but not
+    for the whole ones."""
+    whole = dtw.distances(_vector_pairs(spark, sf_dir), ["vec_id"], radius=12).withColumn("kind", F.lit("whole"))
+    cut = dtw.distances(_vector_pairs(spark, sf_dir, 8), ["vec_id"], radius=12).withColumn("kind", F.lit("cut"))
+    return _rounded(whole.unionByName(cut))
+
+
 @_query()
 def q65_signal_stream(spark, sf_dir):
-    """Items as raw signals that arrive in chunks, eight files of them, mapped as they come;
+    """Items as raw signals that arrive in chunks, three files of them, mapped as they come;
     a decided read's later chunks are neither segmented nor sketched."""
-    o = replace(_signal_options(), chunk_size=500, max_chunks=8)
+    o = replace(_signal_options(), chunk_size=800, max_chunks=8)
     chunks = work_dir(spark, "chunk-files")
-    chunk_files(_simulated(spark, sf_dir), o, chunks, 8)
+    chunk_files(_simulated(spark, sf_dir), o, chunks, 3)
     index = stash(rare_index(_table(spark, sf_dir, "documents"), "doc_id", o), "index")
     return SignalRun(spark, index, o).run(chunks)
