@@ -38,10 +38,13 @@ def limit_of(index: DataFrame, o: Options, max_occ: int | None = None) -> int:
 
 
 def placed(queries: DataFrame, index: DataFrame, lengths: DataFrame, o: Options, max_occ: int | None) -> DataFrame:
+    """:func:`accepted` chains on an index of seeds ``(id, rev, pos, hash)``."""
+    return accepted(mapping.share(queries, index, limit_of(index, o, max_occ)), lengths, o)
+
+
+def accepted(shared: mapping.Shared, lengths: DataFrame, o: Options) -> DataFrame:
     """The accepted chains of queries, with ``nc``, the chains of the query, and places of
     reverse mappings turned to the forward strand; ``lengths`` are ``(tid, t_len)``."""
-    limit = limit_of(index, o, max_occ)
-    shared = mapping.share(queries, index, limit)
     found = chain.chains(mapping.match(shared), o)
     rep = mapping.repeat_length(shared, o.span)
     best = chain.decide(chain.primaries(found, o), rep, o).where("mapped").join(lengths, "tid")
@@ -60,6 +63,13 @@ def map_reads(reads: DataFrame, read_key: str, targets: DataFrame, target_key: s
     return reads.select(F.col(read_key).cast("long").alias("qid"), n_letters("text", o.alphabet).alias("q_len")).join(best, "qid", "left")
 
 
+def map_stored(reads: DataFrame, read_key: str, stored: mapping.Stored, o: Options, pore: np.ndarray | None = None) -> DataFrame:
+    """:func:`map_reads` on a saved index and the settings that it was made with, or others
+    that sketch alike."""
+    best = accepted(mapping.share_stored(sketch.seeds(reads, read_key, 0, o, pore), stored), stored.lengths, o)
+    return reads.select(F.col(read_key).cast("long").alias("qid"), n_letters("text", o.alphabet).alias("q_len")).join(best, "qid", "left")
+
+
 def map_signals(samples: DataFrame, index: DataFrame, lengths: DataFrame, o: Options, max_occ: int | None = None, detect: bool = True, signal_targets: bool = False) -> DataFrame:
     """A row for each read of raw signal ``(read_id, pos, pa)``: chunks to events to seeds to
     chains on an ``index`` ``(id, rev, pos, hash)`` with ``lengths`` ``(tid, t_len)``. Beside the

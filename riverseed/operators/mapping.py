@@ -47,6 +47,26 @@ def share(queries: DataFrame, index: DataFrame, max_occ: int) -> Shared:
     return Shared(queries, found, stash(one.groupBy("hash").agg(F.sum("q").alias("nq"), F.sum("t").alias("nt")), "counts"), max_occ)
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A saved index: ``seeds`` ``(id, rev, pos, hash)`` and ``counts`` ``(hash, n_occ)`` in
+    buckets by hash, ``lengths`` ``(tid, t_len)``, and its occurrence limit."""
+
+    seeds: DataFrame
+    counts: DataFrame
+    lengths: DataFrame
+    max_occ: int
+
+
+def share_stored(queries: DataFrame, stored: Stored) -> Shared:
+    """As :func:`share` with a saved index: nothing of it is counted, written or shuffled
+    again; only the queries are dealt to its buckets."""
+    queries = stash(queries, "queries")
+    mine = queries.groupBy("hash").agg(F.count("*").alias("nq"))
+    counts = mine.join(stored.counts, "hash").select("hash", "nq", F.col("n_occ").alias("nt"))
+    return Shared(queries, stored.seeds, stash(counts, "counts"), stored.max_occ)
+
+
 #: Pairs of a hash that one task makes at least; a hash of fewer is never split.
 LEAST_PAIRS = 10_000
 
@@ -92,10 +112,9 @@ def match(shared: Shared, least: int | None = None) -> DataFrame:
         rows = rows.withColumn(names[0], F.pmod(F.xxhash64(*of), F.col(own)).cast("int"))
         return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("pq", "pt")
 
-    whole = lambda rows: rows.join(hot, "hash", "left_anti").withColumns({"a": F.lit(0), "b": F.lit(0)})
-    q = whole(q).unionByName(dealt(q, "pq", "pt", ("a", "b"), ["qid", "q_pos"]))
-    t = whole(t).unionByName(dealt(t, "pt", "pq", ("b", "a"), ["tid", "t_pos", *extra]))
-    return q.join(t, ["hash", "a", "b"]).drop("hash", "a", "b")
+    cold = lambda rows: rows.join(hot, "hash", "left_anti")
+    split = dealt(q, "pq", "pt", ("a", "b"), ["qid", "q_pos"]).join(dealt(t, "pt", "pq", ("b", "a"), ["tid", "t_pos", *extra]), ["hash", "a", "b"])
+    return cold(q).join(cold(t), "hash").drop("hash").unionByName(split.drop("hash", "a", "b"))
 
 
 def seed_matches(queries: DataFrame, index: DataFrame, max_occ: int) -> DataFrame:

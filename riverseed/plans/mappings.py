@@ -11,6 +11,7 @@ from ..functions.signal_math import hash64, quantize
 from ..operators import chain, dtw, evaluate, mapper, mapping, sketch
 from ..options import options
 from ..work import stash, work_dir
+from ..sources import index as stored_index
 from ..streaming import until
 from ..streaming.reads import rare_index, stream_map
 from ..streaming.signals import SignalRun, chunk_files
@@ -453,6 +454,15 @@ def q58_stream_map(spark, sf_dir):
     return stream_map(spark, f"{sf_dir}/benchmark.parque[t]", "item_id", _table(spark, sf_dir, "documents"), "doc_id", options("fast", chunk_size=120))
 
 
+@_query()
+def q67_map_stored(spark, sf_dir):
+    """Items mapped to an index of the documents that was saved and loaded again."""
+    at = work_dir(spark, "saved-index")
+    stored_index.save(_table(spark, sf_dir, "documents"), "doc_id", at, options("fast"))
+    stored, o = stored_index.load(spark, at)
+    return mapper.map_stored(_table(spark, sf_dir, "benchmark"), "item_id", stored, o)
+
+
 @_query()
 def q66_dtw_diagonal_band(spark, sf_dir):
     """Each vector against the next within twelve places of the diagonal; the first lacks

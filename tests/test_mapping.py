@@ -173,9 +173,30 @@ def test_index_round_trip(spark, tmp_path):
     o = options("faster")
     assert not index.is_index(spark, f"{tmp_path}/ix")
     index.save(t, "id", f"{tmp_path}/ix", o, 4)
-    seeds, targets, back = index.load(spark, f"{tmp_path}/ix")
-    assert index.is_index(spark, f"{tmp_path}/ix") and back == o and targets.count() == 2
-    assert seeds.exceptAll(mapper.target_index(t, "id", o).select(seeds.columns)).isEmpty() and seeds.count() > 0
+    stored, back = index.load(spark, f"{tmp_path}/ix")
+    assert index.is_index(spark, f"{tmp_path}/ix") and back == o and stored.lengths.count() == 2
+    made = mapper.target_index(t, "id", o)
+    assert stored.seeds.exceptAll(made.select(stored.seeds.columns)).isEmpty() and stored.seeds.count() == made.count() > 0
+    assert {tuple(r) for r in stored.counts.collect()} == {tuple(r) for r in mapping.occurrences(made).collect()} and stored.max_occ == mapper.limit_of(made, o)
+
+
+def test_runs_on_a_saved_index(spark, tmp_path):
+    """Same rows as a run that makes its index, and no exchange on the index's side."""
+    docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    o = options("fast")
+    index.save(docs, "doc_id", f"{tmp_path}/ix", o, 4)
+    stored, back = index.load(spark, f"{tmp_path}/ix")
+    again, _ = index.load(spark, f"{tmp_path}/ix")
+    want = {tuple(r) for r in mapper.map_reads(items, "item_id", docs, "doc_id", o).collect()}
+    got = {tuple(r) for r in mapper.map_stored(items, "item_id", stored, back).collect()}
+    assert got == want and any(r[2] is not None for r in got) and again.max_occ == stored.max_occ
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mapping.match(mapping.share_stored(sketch.seeds(items, "item_id", 0, o), stored))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan[plan.index("SortMergeJoin") :]
+    assert "Bucketed: true" in join and "SelectedBucketsCount: 4 out of 4" in join and join.count("Exchange hashpartitioning") == 1
 
 
 def test_options():

@@ -44,7 +44,7 @@ def test_both_sides_are_split(spark):
 
 
 def test_a_hash_in_every_read_makes_no_large_task(spark):
-    """Anchors by task of the join: none has more than twice the median."""
+    """Anchors by task: the pieces of the hot hash are even, none is much over an even share."""
     rng = random.Random(5)
     q = [(i, p, rng.randrange(4000)) for i in range(3000) for p in range(3)] + [(i, 3, 7) for i in range(3000)]
     t = [(i, p, rng.randrange(4000)) for i in range(900) for p in range(4)] + [(10_000 + i, 0, 7) for i in range(40)]
@@ -58,7 +58,7 @@ def test_a_hash_in_every_read_makes_no_large_task(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(whole) == sum(split) and whole[-1] > 3 * whole[len(whole) // 2]
-    assert len(split) == 4 and split[-1] <= 2 * split[len(split) // 2]
+    assert len(split) == 8 and split[-1] <= 2 * split[5] and split[-1] < 1.5 * sum(split) / 4  # four tasks have the hot hash
 
 
 def test_counts_with_and_without_a_limit(spark):
