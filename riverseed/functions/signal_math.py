@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The mask, and the shifts 21, 24, 3 and 8, 14, 2 and 4, 28, 31 of the hash in both forms below.
 MASK = 0xFFFFFFFF
 
 
