@@ -200,8 +200,17 @@ def chains_of(t: np.ndarray, q: np.ndarray, o: Options) -> list[tuple]:
     return [(s, len(a), int(q[a[0]]), int(q[a[-1]]) + 1, int(t[a[0]]), int(t[a[-1]]) + 1, [(int(t[x]), int(q[x])) for x in a]) for s, a in found]
 
 
-def chains(anchors: DataFrame, o: Options) -> DataFrame:
-    """Chains of all groups; groups of too few anchors go before they are gathered."""
+def _steps(rows: list[tuple]) -> pa.Array:
+    """The anchors of chains, ``rows[i][9]``, as lists of ``(t_pos, q_pos)``."""
+    ends = np.cumsum([0, *[len(r[9]) for r in rows]])
+    flat = np.array([x for r in rows for x in r[9]], np.int32).reshape(-1, 2)
+    places = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["t_pos", "q_pos"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)
+
+
+def chains(anchors: DataFrame, o: Options, steps: bool = False) -> DataFrame:
+    """Chains of all groups; groups of too few anchors go before they are gathered. With
+    ``steps`` each has its anchors, ``(t_pos, q_pos)`` in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,13 +219,13 @@ def chains(anchors: DataFrame, o: Options) -> DataFrame:
                 a = b.column("a")[i].values
                 key = tuple(b.column(c)[i].as_py() for c in ("qid", "tid", "rev"))
                 t, q = (a.field(c).to_numpy().astype(np.int64) for c in ("t_pos", "q_pos"))
-                rows += [key + x[:6] for x in chains_of(t, q, o)]
-            names = [f.split()[0] for f in FIELDS.split(", ")]
+                rows += [key + x for x in chains_of(t, q, o)]
+            names = [f.split()[0] for f in FIELDS.split(", ")] + ["steps"] * steps
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.int32()] * 4
-            yield pa.record_batch([pa.array([r[j] for r in rows], x) for j, x in enumerate(types)], names=names)
+            yield pa.record_batch([*[pa.array([r[j] for r in rows], x) for j, x in enumerate(types)], *([_steps(rows)] if steps else [])], names=names)
 
     groups = anchors.groupBy("qid", "tid", "rev").agg(F.count("*").alias("n"), F.collect_list(F.struct("t_pos", "q_pos")).alias("a"))
-    return groups.where(F.col("n") >= o.min_anchors).drop("n").mapInArrow(run, FIELDS)
+    return groups.where(F.col("n") >= o.min_anchors).drop("n").mapInArrow(run, FIELDS + (", steps array<struct<t_pos:int,q_pos:int>>" if steps else ""))
 
 
 def fuzzy_lengths(steps: DataFrame, o: Options) -> DataFrame:
@@ -295,7 +304,8 @@ def primaries(found: DataFrame, o: Options) -> DataFrame:
 
     schema = pa.schema([("qid", pa.int64()), ("tid", pa.int64()), ("rev", pa.int32()), ("score", pa.int64()), ("cnt", pa.int64()), *[(c, pa.int32()) for c in ("qs", "qe", "rs", "re", "rank", "parent")], ("subsc", pa.int64()), ("n_sub", pa.int32())])
     one = F.struct("tid", "rev", "score", "cnt", "qs", "qe", "rs", "re", "rank")
-    return ranked(found).groupBy("qid").agg(F.collect_list(one).alias("a")).mapInArrow(run, f"{FIELDS}, rank int, parent int, subsc long, n_sub int")
+    found = found if "rank" in found.columns else ranked(found)
+    return found.groupBy("qid").agg(F.collect_list(one).alias("a")).mapInArrow(run, f"{FIELDS}, rank int, parent int, subsc long, n_sub int")
 
 
 def mapq(score: Column, cnt: Column, subsc: Column, n_sub: Column, total: Column, rep_len: Column, o: Options, alignment: Column | None = None) -> Column:
@@ -313,20 +323,30 @@ def mapped(n: Column, best_q: Column, mean_q: Column, best_c: Column, mean_c: Co
     """Whether the best chain of a query is its mapping: a lone chain of enough quality, or
     a weighted sum over the threshold, or at the end of the read more than that quality.
     With the best ``alignment`` score of its chains: that is enough for a lone chain at
-    ``dtw_min_score``, and takes the place of the quality in the sum, which then needs it."""
+    ``dtw_min_score``, and takes the place of the quality in the sum, which then needs it
+    (:func:`aligned_sum`)."""
     more = lambda mean, best: F.when(best > 0, F.greatest(F.lit(0.0), 1 - mean / best)).otherwise(0.0)
     if alignment is not None:
-        total = o.w_bestma * alignment / 50 + o.w_bestmq * more(mean_q, best_q) + o.w_bestmc * more(mean_c, best_c)
-        enough = alignment >= o.dtw_min_score
-        return ((n == 1) & ((best_q >= o.min_mapq) | enough)) | ((n > 1) & (total >= o.w_threshold) & enough) | (best_q > o.min_mapq)
+        by_sum = aligned_sum(best_q, mean_q, best_c, mean_c, alignment, o)
+        return ((n == 1) & ((best_q >= o.min_mapq) | (alignment >= o.dtw_min_score))) | ((n > 1) & by_sum) | (best_q > o.min_mapq)
     total = o.w_bestq * F.least(best_q / 30, F.lit(1.0)) + o.w_bestmq * more(mean_q, best_q) + o.w_bestmc * more(mean_c, best_c)
     return ((n == 1) & (best_q >= o.min_mapq)) | ((n > 1) & (total >= o.w_threshold)) | (best_q > o.min_mapq)
 
 
+def aligned_sum(best_q: Column, mean_q: Column, best_c: Column, mean_c: Column, alignment: Column, o: Options) -> Column:
+    """Whether the weighted sum with the best ``alignment`` score is over the threshold;
+    ``best_q`` and ``best_c`` are of the chain of that score, which must be high enough."""
+    more = lambda mean, best: F.when(best > 0, F.greatest(F.lit(0.0), 1 - mean / best)).otherwise(0.0)
+    total = o.w_bestma * F.greatest(alignment, F.lit(0.0)) / 50 + o.w_bestmq * more(mean_q, best_q) + o.w_bestmc * more(mean_c, best_c)
+    return (alignment >= o.dtw_min_score) & (total >= o.w_threshold)
+
+
 def decide(selected: DataFrame, rep: DataFrame | None, o: Options) -> DataFrame:
     """Selected chains with ``mapq`` (0 for secondaries) and ``mapped``, which holds for
     the best chain of a mapped query, or with ``all_chains`` for each one of the second
-    score limit. ``rep`` gives the repeat length by ``qid``."""
+    score limit. ``rep`` gives the repeat length by ``qid``. With an
+    ``alignment_score`` the mapping is the chain of the best one, the first by rank of equal
+    ones, if the weighted sum says so; else the first by rank, by its quality."""
     w = Window.partitionBy("qid")
     own = F.col("parent") == F.col("rank")
     rows = selected.withColumn("rep_len", F.lit(0)) if rep is None else selected.join(rep, "qid", "left").fillna(0, ["rep_len"])
@@ -335,6 +355,14 @@ def decide(selected: DataFrame, rep: DataFrame | None, o: Options) -> DataFrame:
     q = mapq(*[F.col(c) for c in ("score", "cnt", "subsc", "n_sub", "total", "rep_len")], o, scored)
     rows = rows.withColumn("mapq", F.when(own, q).otherwise(0))
     best = lambda c: F.max(F.when(F.col("rank") == 0, F.col(c))).over(w)
-    yes = mapped(F.count("*").over(w), best("mapq"), F.avg("mapq").over(w), best("score"), F.avg("score").over(w), o, None if scored is None else F.max(scored).over(w))
-    rule = F.col("score") >= o.min_score2 if o.all_chains else (F.col("rank") == 0) & yes
-    return rows.withColumn("mapped", rule).drop("total")
+    n, mean_q, mean_c = F.count("*").over(w), F.avg("mapq").over(w), F.avg("score").over(w)
+    if o.all_chains:
+        rule = F.col("score") >= o.min_score2
+    elif scored is None:
+        rule = (F.col("rank") == 0) & mapped(n, best("mapq"), mean_q, best("score"), mean_c, o)
+    else:
+        rows = rows.withColumn("lead", F.max(F.struct(scored.alias("a"), (-F.col("rank")).alias("at"), F.col("mapq").alias("q"), F.col("score").alias("c"))).over(w))
+        by_sum = aligned_sum(F.col("lead.q"), mean_q, F.col("lead.c"), mean_c, F.col("lead.a"), o)
+        lone = (n == 1) & ((best("mapq") >= o.min_mapq) | (F.col("lead.a") >= o.dtw_min_score))
+        rule = F.when(lone, F.col("rank") == 0).when(by_sum, F.col("rank") == -F.col("lead.at")).otherwise((F.col("rank") == 0) & (best("mapq") > o.min_mapq))
+    return rows.withColumn("mapped", rule).drop("total", "lead")

@@ -42,12 +42,19 @@ def table(a: np.ndarray, b: np.ndarray, semiglobal: bool = False, band: float |
     return d[:, 1:, 1:]
 
 
-def open_rows(n: int, m: int, band: float | None = None, radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def open_rows(n: int, m: int, band: float | None = None, radius: int | None = None, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The first and last row ``i`` of the open cells ``(i, s - i)`` of each antidiagonal
     ``s``; first above last where there is none. ``band``: the slanted band of ``table``;
-    ``radius``: at most so many places off the diagonal."""
+    ``radius``: at most so many places off the diagonal; ``reach``: for each place of the
+    longer sequence those of the shorter one at most so far from its share of the way, which
+    leaves both corners open whatever the lengths are."""
     s = np.arange(n + m - 1)
     lo, hi = np.maximum(0, s - m + 1), np.minimum(n - 1, s)
+    if reach is not None:
+        long, short = max(n, m), min(n, m)
+        on = np.arange(long) + np.arange(long) * short // long  # the antidiagonals of the band's middle
+        first, last = np.searchsorted(on, s - reach), np.searchsorted(on, s + reach, "right") - 1
+        return (np.maximum(lo, first), np.minimum(hi, last)) if n >= m else (np.maximum(lo, s - last), np.minimum(hi, s - first))
     if band is None and radius is None:
         return lo, hi
     if radius is not None:
@@ -74,13 +81,13 @@ def _part(d: np.ndarray, start: int, lo: int, hi: int) -> np.ndarray:
     return out
 
 
-def costs(a: np.ndarray, b: np.ndarray, semiglobal: bool = False, band: float | None = None, radius: int | None = None) -> np.ndarray:
+def costs(a: np.ndarray, b: np.ndarray, semiglobal: bool = False, band: float | None = None, radius: int | None = None, reach: int | None = None) -> np.ndarray:
     """The cost of each pair; of empty sequences 0, and ``FAR`` if only one is empty or the
     band misses the corner."""
     if not a.shape[1] or not b.shape[1]:
         return np.full(len(a), 0.0 if a.shape[1] == b.shape[1] or (semiglobal and not a.shape[1]) else FAR)
     k, n, m = len(a), a.shape[1], b.shape[1]
-    first, last = (x.tolist() for x in open_rows(n, m, band, radius))
+    first, last = (x.tolist() for x in open_rows(n, m, band, radius, reach))
     back = b[:, ::-1]  # so that an antidiagonal's values of b run forward
     one, two, at_one, at_two = np.empty((k, 0)), np.empty((k, 0)), 0, 0
     best = np.full(k, np.inf)
@@ -114,7 +121,7 @@ def path(a: np.ndarray, b: np.ndarray, semiglobal: bool = False) -> tuple[float,
     return cost, out[::-1]
 
 
-def _arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+def arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
     """Each row's values by views of the batch; null as empty."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
@@ -129,7 +136,7 @@ def _apply(pairs: DataFrame, value: Callable[[np.ndarray, np.ndarray], list], fi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (list(_arrays(b.column(c))) for c in "ab")
+            x, y = (list(arrays(b.column(c))) for c in "ab")
             same, out = defaultdict(list), [None] * b.num_rows
             for i, (u, v) in enumerate(zip(x, y)):
                 same[len(u), len(v)].append(i)

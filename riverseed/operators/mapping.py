@@ -50,12 +50,14 @@ def share(queries: DataFrame, index: DataFrame, max_occ: int) -> Shared:
 @dataclass(frozen=True)
 class Stored:
     """A saved index: ``seeds`` ``(id, rev, pos, hash)`` and ``counts`` ``(hash, n_occ)`` in
-    buckets by hash, ``lengths`` ``(tid, t_len)``, and its occurrence limit."""
+    buckets by hash, ``lengths`` ``(tid, t_len)``, its occurrence limit, and, if they were
+    saved, the targets' ``events`` ``(id, rev, block, values)`` in buckets by place."""
 
     seeds: DataFrame
     counts: DataFrame
     lengths: DataFrame
     max_occ: int
+    events: DataFrame | None = None
 
 
 def share_stored(queries: DataFrame, stored: Stored) -> Shared:

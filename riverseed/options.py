@@ -56,6 +56,8 @@ class Options:
     w_threshold: float = 0.45
     all_chains: bool = False
     adaptive: bool = True
+    dtw: str = ""
+    dtw_full: bool = False
     dtw_band: float = 0.1
     dtw_match_bonus: float = 0.4
     dtw_min_score: float = 20.0

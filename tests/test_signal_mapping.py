@@ -70,7 +70,7 @@ CHANGES = {
     "bw": (3, {}), "max_target_gap": (4, {"bw": 1}), "max_query_gap": (4, {"bw": 1}), "max_iterations": (1, {}), "max_skips": (0, {}), "min_anchors": (60, {}), "min_score": (60, {}), "gap_scale": (30.0, {}), "skip_scale": (30.0, {}),
     "rmq": (True, {"max_iterations": 1}), "rmq_inner": (1, {"rmq": True}), "rmq_cap": (1, {"rmq": True}), "bw_long": (100, {"bw": 3}),
     "min_score2": (10**6, {"all_chains": True}), "check_strand": (True, {}), "mask_level": (0.99, {}), "mask_len": (0, {}), "best_n": (5, {}), "pri_ratio": (0.99, {"best_n": 5}), "all_chains": (True, {}),
-    "min_mapq": (60, {}), "w_bestq": (0.0, {}), "w_bestmq": (9.0, {}), "w_bestmc": (9.0, {}), "w_threshold": (0.0, {}), "w_bestma": (9.0, {}), "dtw_min_score": (0.0, {}), "dtw_band": (0.5, {}), "dtw_match_bonus": (9.0, {}),
+    "min_mapq": (60, {}), "w_bestq": (0.0, {}), "w_bestmq": (9.0, {}), "w_bestmc": (9.0, {}), "w_threshold": (0.0, {}), "w_bestma": (9.0, {}), "dtw_min_score": (0.0, {}), "dtw_band": (0.5, {}), "dtw": ("sparse", {}), "dtw_full": (True, {}), "dtw_match_bonus": (9.0, {}),
     "su_threshold": (0.0, {}), "su_samples": (2, {}), "su_every": (50, {}), "su_min_reads": (300, {}),
 }
 
@@ -79,10 +79,10 @@ def test_every_setting_is_read():
     """No setting without an operator that reads it."""
     import inspect
 
-    from riverseed.operators import dtw
+    from riverseed.operators import align, dtw
     from riverseed.streaming import reads, until
 
-    text = "".join(inspect.getsource(m) for m in (chain, dtw, mapper, mapping, signal, sketch, reads, until)) + inspect.getsource(Options.gap.fget) + inspect.getsource(Options.skip.fget) + inspect.getsource(Options.span.fget)
+    text = "".join(inspect.getsource(m) for m in (align, chain, dtw, mapper, mapping, signal, sketch, reads, until)) + inspect.getsource(Options.gap.fget) + inspect.getsource(Options.skip.fget) + inspect.getsource(Options.span.fget)
     assert set(CHANGES) == {f.name for f in fields(Options)}
     assert not [f for f in CHANGES if f"o.{f}" not in text and f"self.{f}" not in text]
 

@@ -66,3 +66,14 @@ def test_long_sequences_in_one_task(spark):
     got = {r.id: r.cost for r in dtw.distances(rows, ["id"], band=0.0005).collect()}
     assert time.time() - began < 120 and got[2] == dtw.FAR and got[3] == 0
     assert got[1] < np.abs(x - np.r_[x[:3], x[:-3]]).sum() / 100  # the shift is followed
+
+
+@pytest.mark.parametrize("n,m", [*SIZES, (2, 40), (40, 2), (1, 30)])
+@pytest.mark.parametrize("reach", [0, 1, 2, 7])
+def test_reach_of_the_shorter_sequence(n, m, reach):
+    """Every place of the longer sequence has its share of the way in the shorter one open."""
+    rng = np.random.default_rng(n + m)
+    a, b = rng.integers(0, 9, (3, n)).astype(float), rng.integers(0, 9, (3, m)).astype(float)
+    rule = (lambda i, j: abs(i * m // n - j) <= reach) if n >= m else (lambda i, j: abs(j * n // m - i) <= reach)
+    got = dtw.costs(a, b, reach=reach)
+    assert np.allclose(got, [closed_cells(x, y, rule) for x, y in zip(a, b)]) and (got < dtw.FAR).all()
