@@ -14,9 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..options import Options
 
 FAR = 1e10  # fixed value: the cost when the band misses the corner
 
@@ -162,9 +160,3 @@ def paths(pairs: DataFrame, keep: list[str], semiglobal: bool = False) -> DataFr
     """``path`` of each row's pair: ``i:j`` cells, comma-joined."""
     text = lambda a, b: [",".join(f"{i}:{j}" for i, j in path(u, v, semiglobal)[1]) for u, v in zip(a, b)]
     return _apply(pairs, text, "path string", pa.string(), keep, lambda n, m: (n + 1) * (m + 1))
-
-
-def rescore(placed: DataFrame, keep: list[str], o: Options) -> DataFrame:
-    """``alignment_score``: the bonus for each aligned value of ``a`` less the banded cost."""
-    scored = distances(placed.withColumn("n_aligned", F.size("a")), [*keep, "n_aligned"], band=o.dtw_band)
-    return scored.withColumn("alignment_score", F.col("n_aligned") * F.lit(o.dtw_match_bonus) - F.col("cost"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.signal_math import hash64, quantize
-from ..operators import chain, dtw, evaluate, mapper, mapping, sketch
+from ..operators import align, chain, dtw, evaluate, mapper, mapping, sketch
 from ..options import options
 from ..work import stash, work_dir
 from ..sources import index as stored_index
@@ -285,15 +285,22 @@ def q44_dtw_traceback(spark, sf_dir):
 
 @_query()
 def q45_dtw_rescore(spark, sf_dir):
-    """Best chains scored again over the expected events of both their stretches."""
-    o = options()
-    best = chain.ranked(q32_chain_dp(spark, sf_dir)).where("rank = 0")
-    q = sketch.kmers(_table(spark, sf_dir, "benchmark"), "item_id").select(F.col("id").alias("qid"), "pos", "level")
-    t = sketch.kmers(_table(spark, sf_dir, "documents").join(best.select(F.col("tid").alias("doc_id")).distinct(), "doc_id", "left_semi"), "doc_id").select(F.col("id").alias("tid"), "pos", "level")
-    part = lambda e, key, lo, hi, name: best.join(e, key).where(F.col("pos").between(F.col(lo), F.col(hi) - 1)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "level"))).getField("level").alias(name))
-    both = best.select("qid", "tid", "score").join(part(q, "qid", "qs", "qe", "a"), "qid").join(part(t, "tid", "rs", "re", "b"), "qid")
-    scored = dtw.rescore(both, ["qid", "tid", "score"], o)
-    return scored.select("qid", "tid", "score", "n_aligned", F.round("cost", 6).alias("cost"), F.round("alignment_score", 6).alias("alignment_score"))
+    """The chains of the items, each scored again between its anchors, over the events of the
+    documents in blocks."""
+    o = options(dtw="sparse")
+    events = stash(align.text_events(_table(spark, sf_dir, "documents"), "doc_id", o, reverse=False), "events")
+    rows = mapper.selected(_plus(_anchors(spark, sf_dir)), o, align.text_reads(_table(spark, sf_dir, "benchmark"), "item_id", o), events)
+    return rows.select("qid", "rank", "tid", "score", "n_aligned", *[F.round(c, 6).alias(c) for c in ("cost", "alignment_score")])
+
+
+@_query()
+def q68_map_aligned(spark, sf_dir):
+    """Items mapped by alignment scores to an index of the documents that was saved with
+    their events."""
+    at = work_dir(spark, "saved-index")
+    stored_index.save(_table(spark, sf_dir, "documents"), "doc_id", at, options("fast", dtw="sparse"), events=True)
+    stored, o = stored_index.load(spark, at)
+    return mapper.map_stored(_table(spark, sf_dir, "benchmark"), "item_id", stored, o)
 
 
 #: Tool: the decided bands; truth: the best band of 15 anchors or more. Both with every item.
