@@ -15,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-
 FAR = 1e10  # fixed value: the cost when the band misses the corner
 
 

@@ -52,11 +52,12 @@ def revcomp_codes(code: np.ndarray, k: int = K) -> np.ndarray:
     return sum((3 - (code >> 2 * i & 3)) << 2 * (k - 1 - i) for i in range(k))
 
 
-def kept(levels: np.ndarray, diff: float) -> np.ndarray:
-    """Places of the values that differ by ``diff`` or more from the last one kept."""
+def kept(levels: np.ndarray, diff: float, last: float = np.inf) -> np.ndarray:
+    """Places of the values that differ by ``diff`` or more from the last one kept, of which
+    ``last`` is the one before them."""
     if diff <= 0 or not len(levels):
         return np.arange(len(levels))
-    out, last = [], np.inf
+    out = []
     for i, v in enumerate(levels.tolist()):
         if abs(v - last) >= diff:
             out.append(i)
@@ -172,23 +173,3 @@ def kmers(rows: DataFrame, key: str, o: Options | None = None, pore: np.ndarray
                 yield pa.record_batch([ids, pa.array(pos), pa.array(code), pa.array(revcomp_codes(code, o.k)), pa.array(levels[code])], names=["id", "pos", "code", "rc_code", "level"])
 
     return _texts(rows, key).mapInArrow(run, "id long, pos int, code long, rc_code long, level double")
-
-
-def collapse(rows: DataFrame, diff: float) -> DataFrame:
-    """``(read_id, pos, z)`` rows that differ by ``diff`` from the last one kept of their
-    read, numbered by ``ev``. A read's values meet in one row (its length bounds that)."""
-    from .signal import rows_of
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pos, zs, n = [], [], []
-            for p, z in rows_of(b.column("s"), "pos", "z"):
-                at = kept(z, diff)
-                pos.append(p[at])
-                zs.append(z[at])
-                n.append(len(at))
-            ids = b.column("read_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
-            ev = np.concatenate([np.empty(0, np.int32), *[np.arange(x, dtype=np.int32) for x in n]])
-            yield pa.record_batch([ids, pa.array(np.concatenate([np.empty(0, np.int32), *pos]).astype(np.int32)), pa.array(np.concatenate([np.empty(0), *zs])), pa.array(ev)], names=["read_id", "pos", "z", "ev"])
-
-    return rows.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "z"))).alias("s")).mapInArrow(run, "read_id long, pos int, z double, ev int")

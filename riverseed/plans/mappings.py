@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signal_math import hash64, quantize
 from ..operators import align, chain, dtw, evaluate, mapper, mapping, sketch
+from ..operators.collapse import collapse
 from ..options import options
 from ..work import stash, work_dir
 from ..sources import index as stored_index
@@ -62,7 +63,7 @@ _KEPT = f"{_Z.replace('WITH ', 'WITH RECURSIVE ', 1)}, zn AS (SELECT *, row_numb
 
 
 def _kept(spark, sf_dir):
-    return sketch.collapse(q03_zscore_clip(spark, sf_dir), DIFF)
+    return collapse(q03_zscore_clip(spark, sf_dir), DIFF)
 
 
 @_query(f"{_KEPT} SELECT read_id, pos, z, ev FROM kept")
