@@ -7,6 +7,7 @@ Ties are broken by score, count, target, strand and place, in that order.
 
 from __future__ import annotations
 
+import time
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import replace
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.range_max import RangeMaxima
 from ..options import Options
+from .clock import marks
 
 NONE = -(2**31)
 FIELDS = "qid long, tid long, rev int, score long, cnt long, qs int, qe int, rs int, re int"
@@ -208,24 +210,28 @@ def _steps(rows: list[tuple]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)
 
 
-def chains(anchors: DataFrame, o: Options, steps: bool = False) -> DataFrame:
+def chains(anchors: DataFrame, o: Options, steps: bool = False, clock: bool = False) -> DataFrame:
     """Chains of all groups; groups of too few anchors go before they are gathered. With
-    ``steps`` each has its anchors, ``(t_pos, q_pos)`` in order."""
+    ``steps`` each has its anchors, ``(t_pos, q_pos)`` in order; with ``clock`` there are
+    :func:`clock.marks`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, us = [], []
             for i in range(b.num_rows):
+                began = time.perf_counter_ns()
                 a = b.column("a")[i].values
                 key = tuple(b.column(c)[i].as_py() for c in ("qid", "tid", "rev"))
                 t, q = (a.field(c).to_numpy().astype(np.int64) for c in ("t_pos", "q_pos"))
                 rows += [key + x for x in chains_of(t, q, o)]
+                us.append((time.perf_counter_ns() - began) // 1000)
             names = [f.split()[0] for f in FIELDS.split(", ")] + ["steps"] * steps
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.int32()] * 4
-            yield pa.record_batch([*[pa.array([r[j] for r in rows], x) for j, x in enumerate(types)], *([_steps(rows)] if steps else [])], names=names)
+            out = pa.record_batch([*[pa.array([r[j] for r in rows], x) for j, x in enumerate(types)], *([_steps(rows)] if steps else [])], names=names)
+            yield from marks(out, b.column("qid"), us) if clock else [out]
 
     groups = anchors.groupBy("qid", "tid", "rev").agg(F.count("*").alias("n"), F.collect_list(F.struct("t_pos", "q_pos")).alias("a"))
-    return groups.where(F.col("n") >= o.min_anchors).drop("n").mapInArrow(run, FIELDS + (", steps array<struct<t_pos:int,q_pos:int>>" if steps else ""))
+    return groups.where(F.col("n") >= o.min_anchors).drop("n").mapInArrow(run, FIELDS + ", steps array<struct<t_pos:int,q_pos:int>>" * steps + ", us long" * clock)
 
 
 def fuzzy_lengths(steps: DataFrame, o: Options) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..options import Options
 from ..work import stash
 from . import align, chain, mapping, signal, sketch
+from .clock import Clock
 
 
 def n_letters(text: str = "text", alphabet: str = "letters"):
@@ -37,45 +38,60 @@ def limit_of(index: DataFrame, o: Options, max_occ: int | None = None) -> int:
     return o.mid_occ_min if found is None else found
 
 
-def placed(queries: DataFrame, index: DataFrame, lengths: DataFrame, o: Options, max_occ: int | None, reads: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+def placed(queries: DataFrame, index: DataFrame, lengths: DataFrame, o: Options, max_occ: int | None, reads: DataFrame | None = None, events: DataFrame | None = None, clock: Clock | None = None) -> DataFrame:
     """:func:`accepted` chains on an index of seeds ``(id, rev, pos, hash)``."""
-    return accepted(mapping.share(queries, index, limit_of(index, o, max_occ)), lengths, o, reads, events)
+    return accepted(mapping.share(queries, index, limit_of(index, o, max_occ)), lengths, o, reads, events, clock)
 
 
-def selected(anchors: DataFrame, o: Options, reads: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+def selected(anchors: DataFrame, o: Options, reads: DataFrame | None = None, events: DataFrame | None = None, clock: Clock | None = None) -> DataFrame:
     """The selected chains of all groups of ``anchors``; with ``dtw`` set also ``n_aligned``,
     ``cost`` and ``alignment_score`` over the events of ``reads`` and of the targets
-    (see :func:`align.scores`)."""
+    (see :func:`align.scores`). A ``clock`` gets the time of each query."""
+    found = chain.chains(anchors, o, bool(o.dtw), clock is not None)
+    found = found if clock is None else clock.split(found, "qid", "score")
     if not o.dtw:
-        return chain.primaries(chain.chains(anchors, o), o)
+        return chain.primaries(found, o)
     if reads is None or events is None:
         raise ValueError("alignment scores need the events of reads and targets; an index has them if they were saved with it")
-    found = stash(chain.ranked(chain.chains(anchors, o, steps=True)), "chains")
+    found = stash(chain.ranked(found), "chains")
     rows = stash(chain.primaries(found, o), "selected")
     kept = stash(rows.select("qid", "tid", "rev", "rank", "rs", "re").join(found.select("qid", "rank", "steps"), ["qid", "rank"]), "kept")
-    return rows.join(stash(align.scores(kept, reads, events, o), "scores"), ["qid", "rank"])
+    scores = stash(align.scores(kept, reads, events, o), "scores")
+    if clock is not None:
+        clock.add(scores, "qid")
+    return rows.join(scores.drop("us"), ["qid", "rank"])
 
 
-def accepted(shared: mapping.Shared, lengths: DataFrame, o: Options, reads: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+def accepted(shared: mapping.Shared, lengths: DataFrame, o: Options, reads: DataFrame | None = None, events: DataFrame | None = None, clock: Clock | None = None) -> DataFrame:
     """The accepted chains of queries, with ``nc``, the chains of the query, and places of
     reverse mappings turned to the forward strand; ``lengths`` are ``(tid, t_len)``. With
     ``dtw`` set :func:`selected` gets ``reads`` and ``events``, and rows have ``alignment_score``."""
     rep = mapping.repeat_length(shared, o.span)
-    best = chain.decide(selected(mapping.match(shared), o, reads, events), rep, o).where("mapped").join(lengths, "tid")
+    best = chain.decide(selected(mapping.match(shared), o, reads, events, clock), rep, o).where("mapped").join(lengths, "tid")
     flip = F.col("rev") == 1
     back = lambda c: F.col("t_len") + 1 - F.col(c)
     return best.select("qid", "tid", "rev", "score", "cnt", "mapq", "qs", "qe", F.when(flip, back("re")).otherwise(F.col("rs")).alias("rs"), F.when(flip, back("rs")).otherwise(F.col("re")).alias("re"), "t_len", F.col("n_chains").alias("nc"), *["alignment_score"] * bool(o.dtw))
 
 
-def map_reads(reads: DataFrame, read_key: str, targets: DataFrame, target_key: str, o: Options, max_occ: int | None = None, pore: np.ndarray | None = None) -> DataFrame:
+def map_reads(reads: DataFrame, read_key: str, targets: DataFrame, target_key: str, o: Options, max_occ: int | None = None, pore: np.ndarray | None = None, timed: bool = False) -> DataFrame:
     """A row for each read (of all-against-all settings, for each of its mappings): its
-    mapping, or nulls if it has none. Null and short texts have no seeds and stay unmapped."""
-    queries = sketch.seeds(reads, read_key, 0, o, pore)
+    mapping, or nulls if it has none. Null and short texts have no seeds and stay unmapped.
+    ``timed`` adds ``mt``, the milliseconds spent on the read's seeds, chains and alignments,
+    with ``ci`` 1 and ``sl`` its length."""
+    clock = Clock() if timed else None
+    queries = sketch.seeds(reads, read_key, 0, o, pore, timed)
+    queries = queries if clock is None else clock.split(queries, "id", "hash")
     index = stash(target_index(targets, target_key, o, pore), "index")
     lengths = targets.select(F.col(target_key).cast("long").alias("tid"), n_letters("text", o.alphabet).alias("t_len"))
-    events = (align.text_reads(reads, read_key, o, pore), align.text_events(targets, target_key, o, pore)) if o.dtw else ()
-    best = placed(queries, index, lengths, o, max_occ, *events)
-    return reads.select(F.col(read_key).cast("long").alias("qid"), n_letters("text", o.alphabet).alias("q_len")).join(best, "qid", "left")
+    events = (align.text_reads(reads, read_key, o, pore), align.text_events(targets, target_key, o, pore)) if o.dtw else (None, None)
+    best = placed(queries, index, lengths, o, max_occ, *events, clock)
+    rows = reads.select(F.col(read_key).cast("long").alias("qid"), n_letters("text", o.alphabet).alias("q_len")).join(best, "qid", "left")
+    return rows if clock is None else _with_times(rows, clock).withColumns({"ci": F.lit(1), "sl": F.col("q_len")})
+
+
+def _with_times(rows: DataFrame, clock: Clock) -> DataFrame:
+    """``mt`` of each read; 0 where no pass met it."""
+    return rows.join(clock.total(), "qid", "left").fillna(0.0, ["mt"])
 
 
 def map_stored(reads: DataFrame, read_key: str, stored: mapping.Stored, o: Options, pore: np.ndarray | None = None) -> DataFrame:
@@ -86,18 +102,23 @@ def map_stored(reads: DataFrame, read_key: str, stored: mapping.Stored, o: Optio
     return reads.select(F.col(read_key).cast("long").alias("qid"), n_letters("text", o.alphabet).alias("q_len")).join(best, "qid", "left")
 
 
-def map_signals(samples: DataFrame, index: DataFrame, lengths: DataFrame, o: Options, max_occ: int | None = None, detect: bool = True, signal_targets: bool = False, events: DataFrame | None = None) -> DataFrame:
+def map_signals(samples: DataFrame, index: DataFrame, lengths: DataFrame, o: Options, max_occ: int | None = None, detect: bool = True, signal_targets: bool = False, events: DataFrame | None = None, timed: bool = False) -> DataFrame:
     """A row for each read of raw signal ``(read_id, pos, pa)``: chunks to events to seeds to
     chains on an ``index`` ``(id, rev, pos, hash)`` with ``lengths`` ``(tid, t_len)``. Beside the
     mapping: ``ci`` chunks, ``sl`` samples, ``nc`` chains and the ``events`` counted. Places on
     the read are scaled from events to bases by the samples a base takes, unless the targets
     are signals. With ``dtw`` set chains are scored again over the targets' ``events``
-    (:func:`align.text_events` or :func:`align.signal_events`)."""
+    (:func:`align.text_events` or :func:`align.signal_events`). ``timed`` adds ``mt`` as in
+    :func:`map_reads`; segmenting is not in it."""
+    clock = Clock() if timed else None
     chunks = stash(signal.chunk_events(samples, o, detect), "chunks")
     index = stash(index, "index")
-    best = placed(sketch.signal_seeds(chunks, o), index, lengths, o, max_occ, align.chunk_reads(chunks), events)
+    queries = sketch.signal_seeds(chunks, o, timed)
+    queries = queries if clock is None else clock.split(queries, "id", "hash")
+    best = placed(queries, index, lengths, o, max_occ, align.chunk_reads(chunks), events, clock)
     per = chunks.groupBy(F.col("read_id").cast("long").alias("qid")).agg(F.count("*").cast("int").alias("ci"), F.sum("n_samples").alias("sl"), F.sum(F.when(F.col("used"), F.col("n_events")).otherwise(0)).alias("events"))
     rows = per.join(best, "qid", "left")
+    rows = rows if clock is None else _with_times(rows, clock)
     scale = F.lit(1.0) if signal_targets else F.when(F.col("events") > 0, F.col("sl") / F.col("events") / F.lit(o.sample_per_base)).otherwise(0.0)
     at = {c: (scale * F.col(c)).cast("int") for c in ("qs", "qe")}
     return rows.withColumns({"q_len": (scale * F.coalesce("qe", "events") if not signal_targets else F.col("events")).cast("int")}).withColumns(at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.signal_math import hash64_np, pore_levels, quantize_np
 from ..options import Options
 from ..work import spread
+from .clock import marks
 
 K, GRAM = 6, 8
+SEEDS = "id long, pos int, hash long"
 _DROP = bytes(i for i in range(256) if not (65 <= i <= 90 or 97 <= i <= 122))
 _WHITE = b" \t\r\n\x0b\x0c"
 #: The codes of the bases, U as T, in either case; 4 is any other character.
@@ -118,16 +121,24 @@ def _flat(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Recor
     return pa.record_batch([ids, *[pa.array(np.concatenate([x[i] for x in found] or [np.empty(0)]).astype(t)) for i, t in ((0, np.int32), (1, np.int64))]], names=["id", "pos", "hash"])
 
 
+def _marked(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]], at: list[int], clock: bool) -> Iterator[pa.RecordBatch]:
+    """The seeds of each id, and with ``clock`` the time from one of ``at`` to the next."""
+    if not clock:
+        yield _flat(ids, found)
+    else:
+        yield from marks(_flat(ids, found), ids, [(y - x) // 1000 for x, y in zip(at[:-1], at[1:])])
+
+
 def _texts(rows: DataFrame, key: str) -> DataFrame:
     """``(id, text)``; a stream stays as it is."""
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows if rows.isStreaming else spread(rows)
 
 
-def seeds(rows: DataFrame, key: str, strand: int = 0, o: Options | None = None, pore: np.ndarray | None = None, **how) -> DataFrame:
+def seeds(rows: DataFrame, key: str, strand: int = 0, o: Options | None = None, pore: np.ndarray | None = None, clock: bool = False, **how) -> DataFrame:
     """``(id, pos, hash)`` of the whole ``text`` of each row by the settings ``o`` (regular
     seeds without collapse if none are given, with ``how`` in their place); no shuffle but
-    that of a small table to all cores."""
+    that of a small table to all cores. With ``clock`` there are :func:`clock.marks`."""
     o = Options(**{"w": 0, "diff": 0.0, **how}) if o is None else o
     levels = pore_levels(o.k) if pore is None else pore
 
@@ -136,24 +147,33 @@ def seeds(rows: DataFrame, key: str, strand: int = 0, o: Options | None = None,
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
                 texts = part.column("text").cast(pa.binary()).to_pylist()
-                yield _flat(part.column("id"), [sketch_values(levels[kmer_codes(bases(t or b"", strand, o.alphabet), o.k)], o) for t in texts])
+                found, at = [], [time.perf_counter_ns()]
+                for t in texts:
+                    found.append(sketch_values(levels[kmer_codes(bases(t or b"", strand, o.alphabet), o.k)], o))
+                    at.append(time.perf_counter_ns())
+                yield from _marked(part.column("id"), found, at, clock)
 
-    return _texts(rows, key).mapInArrow(run, "id long, pos int, hash long")
+    return _texts(rows, key).mapInArrow(run, SEEDS + ", us long" * clock)
 
 
-def signal_seeds(chunks: DataFrame, o: Options) -> DataFrame:
+def signal_seeds(chunks: DataFrame, o: Options, clock: bool = False) -> DataFrame:
     """``(id, pos, hash)`` of the used chunks of :func:`signal.chunk_events`; no seed crosses
-    a chunk's border, and places are events of the whole read."""
+    a chunk's border, and places are events of the whole read. With ``clock`` there are
+    :func:`clock.marks`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column("events")
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column("n_events").to_numpy())
-            found = [sketch_values(flat[lo:hi], o) for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
-            yield _flat(b.column("id"), [(p + x, h) for (p, h), x in zip(found, b.column("offset").to_pylist(), strict=True)])
+            found, at = [], [time.perf_counter_ns()]
+            for lo, hi, x in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), b.column("offset").to_pylist(), strict=True):
+                p, h = sketch_values(flat[lo:hi], o)
+                found.append((p + x, h))
+                at.append(time.perf_counter_ns())
+            yield from _marked(b.column("id"), found, at, clock)
 
     rows = chunks.where("used").select(F.col("read_id").cast("long").alias("id"), "offset", "n_events", "events")
-    return rows.mapInArrow(run, "id long, pos int, hash long")
+    return rows.mapInArrow(run, SEEDS + ", us long" * clock)
 
 
 def kmers(rows: DataFrame, key: str, o: Options | None = None, pore: np.ndarray | None = None) -> DataFrame:

@@ -457,6 +457,19 @@ def q62_contamination(spark, sf_dir):
     return c.select(*evaluate.LABELS, *[F.round(x, 6).alias(x) for x in ("prec", "rec", "f1")])
 
 
+@_query()
+def q69_run_speeds(spark, sf_dir):
+    """Presets as tools: their reads, and the speeds and times that their runs measured, which
+    differ from run to run."""
+    tools = []
+    for preset in ("sensitive", "fast"):
+        rows = mapper.map_reads(_table(spark, sf_dir, "benchmark"), "item_id", _table(spark, sf_dir, "documents"), "doc_id", options(preset), timed=True)
+        tools.append(stash(rows.select("qid", "q_len", "mt", "ci", "sl").withColumn("tool", F.lit(preset)), "timed"))
+    rows = tools[0].unionByName(tools[1])
+    counts = rows.groupBy("tool").agg(F.count("*").alias("reads"), F.sum("mt").alias("total_ms"))
+    return counts.join(evaluate.throughput(rows, ["tool"]), "tool", "left").join(evaluate.times(rows, ["tool"]), "tool", "left")
+
+
 @_query()
 def q58_stream_map(spark, sf_dir):
     return stream_map(spark, f"{sf_dir}/benchmark.parque[t]", "item_id", _table(spark, sf_dir, "documents"), "doc_id", options("fast", chunk_size=120))
