@@ -3,10 +3,15 @@
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from riverseed.operators import mapping
+from riverseed.functions.signal_math import pore_levels
+from riverseed.operators import mapping, sketch
+from riverseed.operators.sketch import buckets_of
+from riverseed.options import options
+from riverseed.plans import catalogue, mappings
 
 
 def seeds(spark, rows):
@@ -67,3 +72,44 @@ def test_counts_with_and_without_a_limit(spark):
         want = Counter((a, b) for a, _, b, _ in plain(q, t, limit or 10**9).elements())
         got = {(r.qid, r.tid): r.n_anchors for r in mapping.match_counts(seeds(spark, q), seeds(spark, t), limit).collect()}
         assert got == want
+
+
+def counted(t, q):
+    many = Counter((h, b) for b, _, h in t if h is not None)
+    out = Counter()
+    for (h, a), n in Counter((h, a) for a, _, h in q if h is not None).items():
+        for (k, b), m in many.items():
+            if h == k:
+                out[a, b] += n * m
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 40, 10**9])
+@pytest.mark.parametrize("limit", [20, None])
+def test_counts_are_the_same_however_split(spark, least, limit):
+    q, t = skewed(4, 60)
+    q += [(i % 7, 20 + i, 999) for i in range(50)]
+    many = Counter(h for *_, h in t)
+    kept = [x for x in t if limit is None or many[x[2]] <= limit]
+    got = {(r.qid, r.tid): r.n_anchors for r in mapping.match_counts(seeds(spark, q), seeds(spark, t), limit, least).collect()}
+    assert got == counted(kept, q)
+
+
+def test_the_query_counts_hashes_of_every_frequency(spark, tmp_path):
+    """A passage of 120 documents, far over any occurrence limit, links its item to each."""
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choices("abcd", k=n))
+    common = letters(60)
+    items = [(1, common), (2, letters(40) + common), (3, letters(80)), (4, None), (5, "abc")]
+    docs = [(i, letters(50) + common * (1 + i % 2) + letters(30)) for i in range(120)] + [(1000 + i, letters(200)) for i in range(30)] + [(2000, None), (2001, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.qid, r.tid): r.n_anchors for r in mappings.q25_seed_join(spark, str(tmp_path)).collect()}
+    levels = buckets_of(pore_levels(sketch.K), options())
+    hashes = lambda rows: [(i, 0, h) for i, text in rows for h in sketch.seed_hashes((text or "").encode(), levels).tolist()]
+    assert got == counted(hashes(docs), hashes(items))
+    assert {(i, d) for i in (1, 2) for d in range(120)} <= set(got)
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == {(a, b): n for a, b, n in con.execute(catalogue.SQL["q25_seed_join"]).fetchall()}
