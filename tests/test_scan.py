@@ -99,3 +99,14 @@ def test_many_queries_are_joined(spark, monkeypatch):
     few = run()
     monkeypatch.setattr(scan, "FEW_SEEDS", 10)
     assert run() == few
+
+
+def test_queries_of_anchors_write_no_index(spark, monkeypatch):
+    from riverseed.plans import catalogue, mappings
+
+    names = []
+    for m in (catalogue, mappings, mapping, scan):
+        monkeypatch.setattr(m, "stash", lambda df, what, f=m.stash: (names.append(what), f(df, what))[1])
+    for f in (catalogue.q26_seed_join, mappings.q45_dtw_rescore, mappings.q50_bases_mapped_unmapped, mappings.q51_relative_abundance):
+        assert f(spark, "/root/testdata/sf0.001").count() > 0
+    assert not {"index", "shared"} & set(names)
