@@ -110,3 +110,22 @@ def test_queries_of_anchors_write_no_index(spark, monkeypatch):
     for f in (catalogue.q26_seed_join, mappings.q45_dtw_rescore, mappings.q50_bases_mapped_unmapped, mappings.q51_relative_abundance):
         assert f(spark, "/root/testdata/sf0.001").count() > 0
     assert not {"index", "shared"} & set(names)
+
+
+def test_stream_writes_no_index(spark, tmp_path, monkeypatch):
+    """Two files, the second of which has a read of the first again: the rows are as with an
+    index that is joined, which is written only where a batch is too large."""
+    from riverseed.streaming import reads
+
+    names = []
+    for m in (reads, mapping, scan):
+        monkeypatch.setattr(m, "stash", lambda df, what, f=m.stash: (names.append(what), f(df, what))[1])
+    docs, items = passages()
+    docs = [d for d in docs if d[0] is not None]
+    texts(spark, items[:5]).coalesce(1).write.parquet(f"{tmp_path}/r/a")
+    texts(spark, items[4:]).coalesce(1).write.parquet(f"{tmp_path}/r/b")
+    run = lambda: sorted(map(tuple, reads.stream_map(spark, f"{tmp_path}/r/*", "id", texts(spark, docs), "id", options("fast", chunk_size=60, mid_occ_min=5)).collect()))
+    few = run()
+    assert len(few) >= 5 and not {"index", "shared"} & set(names)
+    monkeypatch.setattr(scan, "FEW_SEEDS", 10)
+    assert run() == few and "index" in names
