@@ -129,3 +129,48 @@ def test_stream_writes_no_index(spark, tmp_path, monkeypatch):
     assert len(few) >= 5 and not {"index", "shared"} & set(names)
     monkeypatch.setattr(scan, "FEW_SEEDS", 10)
     assert run() == few and "index" in names
+
+
+def ranked_chains(r, n):
+    rows = [{"qs": s, "qe": s + int(r.integers(1, 120)), "score": int(r.integers(5, 60)), "cnt": int(r.integers(2, 6)), "tid": int(r.integers(0, 9)), "rev": int(r.integers(0, 2)), "rs": int(r.integers(0, 50)), "re": int(r.integers(50, 99))} for s in r.integers(0, 200, n).tolist()]
+    rows.sort(key=lambda x: (-x["score"], -x["cnt"], *[x[c] for c in chain.ORDER[2:]]))
+    return rows
+
+
+@pytest.mark.parametrize("given", [{}, {"best_n": 2}, {"best_n": 5, "check_strand": True, "mask_len": 10}])
+def test_primaries_of_blocks_and_of_a_whole_query(given):
+    """Chains that come in blocks leave what the rule over all of a query's chains leaves."""
+    o, r = options(**given), np.random.default_rng(4)
+    for _ in range(60):
+        rows = ranked_chains(r, int(r.integers(1, 150)))
+        keep, second = [], 0
+        for k, (x, (p, sub, n)) in enumerate(zip(rows, chain.parents_of([(x["qs"], x["qe"], x["score"], x["cnt"]) for x in rows], o))):
+            if p != k:
+                if second >= o.best_n or not chain.worth_keeping(x, rows[p], o):
+                    continue
+                second += 1
+            keep.append(x | {"rank": k, "parent": p, "subsc": sub, "n_sub": n, "qid": 1})
+        query, cut = chain._Query(o), int(r.integers(0, len(rows) + 1))
+        for part in (rows[:cut], rows[cut:]):
+            query.add({c: np.array([x[c] for x in part], np.int64) for c in rows[0]})
+        assert sorted(query.kept(1), key=lambda x: x["rank"]) == keep
+
+
+def test_no_query_is_gathered(spark):
+    """The chains of a query stream through a task; null ids are a query of their own."""
+    rows = [(qid, x["tid"], x["rev"], x["score"], x["cnt"], x["qs"], x["qe"], x["rs"], x["re"]) for qid in (None, 0, 3) for x in ranked_chains(np.random.default_rng(7), 300)]
+    found = chain.primaries(spark.createDataFrame(rows, chain.FIELDS), options(best_n=3))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = found.collect()
+    by = [sorted(tuple(r)[1:] for r in got if r.qid == q) for q in (None, 0, 3)]
+    assert by[0] == by[1] == by[2] and sum(r.parent != r.rank for r in got) == 9
+
+
+def test_times_go_to_the_queries(spark):
+    docs, items = (texts(spark, x) for x in passages())
+    o = options("fast", mid_occ_min=1000)
+    located = scan.locate(sketch.seeds(items, "id", 0, o), mapper.text_index(docs, "id", o))
+    rows = located.chains(o, True).collect()
+    names = [f.split()[0] for f in chain.FIELDS.split(", ")]
+    assert sorted((tuple(r[c] for c in names) for r in rows if r.us is None), key=repr) == sorted(map(tuple, located.chains(o).collect()), key=repr)
+    assert {r.qid for r in rows if r.us is not None} >= {r.qid for r in rows if r.us is None} and all(r.us >= 0 for r in rows if r.us is not None)
